@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from ..session import table
 
 
+def op1_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .sharding import shard_slots
+
+    return shard_slots(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
