@@ -15,12 +15,30 @@ def op1_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(table(spark, sf_dir, "documents"))
 
 
+def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .warc import read_archives, write_archives
+
+    return read_archives(write_archives(table(spark, sf_dir, "pages")))
+
+
+def op5_prefix_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .fingerprints import fingerprint_documents
+
+    return fingerprint_documents(table(spark, sf_dir, "documents"))
+
+
 def op6_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op7_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .matroska import media_columns
+
+    return media_columns(table(spark, sf_dir, "documents"))
+
+
 def op8_tier_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -46,4 +64,14 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL of those operators that SQL can express; tests hold the others against brute force."""
+    return {
+        "op4_seekable_warc": """
+            WITH p AS (SELECT page_id, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes, sha256(coalesce(html, '')) AS payload_digest FROM pages),
+            f AS (SELECT *, CASE WHEN payload_bytes >= 100 THEN min(page_id) OVER (PARTITION BY payload_digest) END AS first_id FROM p)
+            SELECT page_id, payload_bytes, payload_digest,
+                   CASE WHEN first_id IS NULL OR first_id IS NOT DISTINCT FROM page_id THEN 'response' ELSE 'revisit' END AS record_type,
+                   CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
+            FROM f
+        """,
+    }
