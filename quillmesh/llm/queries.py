@@ -15,6 +15,14 @@ def op1_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(table(spark, sf_dir, "documents"))
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from .bpe import encode_documents, read_ranks
+
+    return encode_documents(table(spark, sf_dir, "documents"), read_ranks(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+
+
 def op4_seekable_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .warc import read_archives, write_archives
 
