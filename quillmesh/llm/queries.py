@@ -15,6 +15,12 @@ def op1_two_pass_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shard_slots(table(spark, sf_dir, "documents"))
 
 
+def op2_wrapper_induction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .extraction import extract_pages
+
+    return extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
