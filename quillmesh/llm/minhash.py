@@ -5,10 +5,11 @@ Tensored banding: a table's key is a pair (A_i, B_j) of half keys, each half key
 with Jaccard J share a table with probability (1 - (1 - J^5)^24)^2: 0.9998 at J = 0.8, under 0.0002 at J = 0.22. A half
 key that no other text has is dropped before pairs are formed, so texts without near copies form none.
 
-Rows with equal shingle sets are one class. In a table's bucket no pair list of the bucket is made: pivots (first the
-one of lowest priority, then 16, 256 ... by priority until the bucket is used up) meet only members that are not yet in
-the pivot's component and whose set sizes allow the threshold. Links are confirmed on full 64-bit shingle sets in
-integers. So all candidates of a bucket are either confirmed, refuted, or known to be connected.
+Rows with equal shingle sets are one class. No pair list of a bucket is made. First each bucket's most central member
+(its half keys are shared most) meets the others. Then the members of buckets that still hold two components are joined
+exactly, by prefix filtering: two sets of J >= t share a token among their rarest |x| - overlap + 1, where the overlap
+they need is known for each class of sizes. Edited copies have tokens of their own in front, so they meet few others.
+Only pairs across components are formed. Links are confirmed on full 64-bit shingle sets, in integers.
 """
 
 from __future__ import annotations
@@ -23,7 +24,8 @@ from pyspark.sql import functions as F
 from .common import U64, Words, as_bytes, blocks, bound_batches, forget, materialize, mix
 
 HALVES, ROWS = 24, 5
-PIVOTS = (1, 16, 256, 4096)
+#: Edges up to which one task finds the components; above it, label propagation does, with the same result.
+ONE_TASK_EDGES = 300_000
 
 
 class Shingler:
@@ -133,12 +135,32 @@ def _confirm(percent: int):
     return run
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
-    """(v, root) of the graph of edges (p, x): smallest reachable label, by propagation with pointer jumping.
+def _forest(batches):
+    """mapInArrow over all edges in one task: (v, root) by union-find, roots smallest."""
+    up: dict[bytes, bytes] = {}
 
-    Each round's labels are a written table; the loop ends when no label changes. An empty table gives none.
+    def find(v: bytes) -> bytes:
+        while up.setdefault(v, v) != v:
+            up[v] = v = up[up[v]]
+        return v
+
+    for b in batches:
+        for x, y in zip(b.column("p").to_pylist(), b.column("x").to_pylist(), strict=True):
+            x, y = find(x), find(y)
+            up[max(x, y)] = min(x, y)
+    vs = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(vs, pa.binary()), pa.array([find(v) for v in vs], pa.binary())], names=["v", "root"])
+
+
+def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, rounds: int = 60) -> DataFrame:
+    """(v, root) of the graph of a written table of edges (p, x): smallest reachable label.
+
+    Few edges are united by one task. Otherwise labels spread by propagation with pointer jumping, each round's labels a
+    written table, until none changes. An empty table gives none.
     """
     spark = edges.sparkSession
+    if edges.count() <= one_task:
+        return materialize(edges.select("p", "x").coalesce(1).mapInArrow(_forest, "v binary, root binary"), "cc-labels")
     both = materialize(edges.select("p", "x").union(edges.select(F.col("x").alias("p"), F.col("p").alias("x"))).distinct(), "cc-edges")
     labels = materialize(both.groupBy(F.col("p").alias("v")).agg(F.least(F.min("x"), F.col("p")).alias("root")), "cc-labels")
     for _ in range(rounds):
@@ -150,14 +172,12 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         forget(spark, labels)
         labels = new
         if not changed:
-            break
-    else:
-        raise RuntimeError(f"components did not settle in {rounds} rounds")
-    return labels.select("v", "root")
+            return labels.select("v", "root")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept, n_links of its class.
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
 
     docs needs doc_id and text; other columns are ignored, so their names can't clash. Null and empty texts have no
     shingles, are linked with nothing and are kept. Rows with a null doc_id take part; a component's id is its smallest
@@ -173,93 +193,102 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halve
     classes = materialize(
         filled.groupBy("sid").agg(F.min("doc_id").alias("doc_id"), F.min("rid").alias("rid"), F.any_value("n_shingles").alias("n"), F.any_value("halves").alias("halves")), "mh-classes"
     )
-    half = classes.select("sid", F.posexplode("halves").alias("pos", "key"))
-    alive = half.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1").select("key")
-    sides = half.join(alive, "key").groupBy("sid").agg(F.collect_list(F.when(F.col("pos") < halves, F.col("key"))).alias("a"), F.collect_list(F.when(F.col("pos") >= halves, F.col("key"))).alias("b"))
-    tensor = (
-        sides.join(classes.select("sid", "n"), "sid")
-        .select("sid", "n", F.explode("a").alias("a"), "b")
-        .select("sid", "n", "a", F.explode("b").alias("b"))
-        .select(F.xxhash64("a", "b").alias("key"), "sid", "n", F.xxhash64("sid").alias("u"))
-    )
-    sized = tensor.groupBy("key").agg(F.count("*").alias("size"), F.min("u").alias("first")).filter("size > 1")
+    half = classes.select("sid", "n", F.posexplode("halves").alias("pos", "key"))
+    alive = half.groupBy("key").agg(F.count("*").alias("c")).filter("c > 1")
+    pick = lambda on: F.collect_list(F.when(on, F.col("key")))
+    sides = half.join(alive, "key").groupBy("sid", "n").agg(pick(F.col("pos") < halves).alias("a"), pick(F.col("pos") >= halves).alias("b"), F.sum("c").alias("c"))
+    # Centrality above a hash that breaks ties, in one long.
+    rank = F.shiftleft(F.least("c", F.lit(1 << 30)), 32) + F.pmod(F.xxhash64("sid"), F.lit(1 << 32))
+    tensor = sides.select("sid", "n", rank.alias("u"), F.explode("a").alias("a"), "b").select("sid", "n", "u", "a", F.explode("b").alias("b")).select(F.xxhash64("a", "b").alias("key"), "sid", "n", "u")
+    sized = tensor.groupBy("key").agg(F.count("*").alias("size"), F.max("u").alias("first")).filter("size > 1").drop("size")
     buckets = materialize(tensor.join(sized, "key"), "mh-buckets")
-    edges, comp, done, open_ = [], None, 0, buckets
-    spent: list[DataFrame] = [buckets]
-    for turn, upto in enumerate((*PIVOTS, None)):
-        here = open_ if comp is None else open_.join(comp, open_.sid == comp.v, "left").select(open_["*"], F.coalesce("root", "sid").alias("root"))
-        if turn:
-            # A bucket is open while it has members of two components and pivots that have not had their turn.
-            mixed = here.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.max("size").alias("size"))
-            here = here.join(mixed.filter((F.col("r0") != F.col("r1")) & (F.col("size") > _used(done))).select("key"), "key")
-            here = materialize(here.select("key", "sid", "n", "u", "size", "first", "root"), "mh-open")
-            spent.append(here)
-            if not here.limit(1).count():
-                break
-        pivot = F.col("u") == F.col("first") if not turn else _is_pivot(upto)
-        fresh = here if not turn else here.filter(~_was_pivot(done))
-        p = fresh.filter(pivot).select("key", F.col("sid").alias("p"), F.col("n").alias("pn"), F.col("u").alias("pu"), *([F.col("root").alias("pr")] if turn else []))
-        pairs = fresh.join(p, "key").filter((F.col("sid") != F.col("p")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
-        if turn:
-            pairs = pairs.filter(F.col("root") != F.col("pr"))
-        pairs = materialize(pairs.select(F.least("p", "sid").alias("p"), F.greatest("p", "sid").alias("x")).distinct(), "mh-pairs")
-        spent.append(pairs)
-        found = materialize(_confirmed(rows_in, classes, pairs, width, percent, spent), "mh-links")
-        edges.append(found)
-        if found.limit(1).count():
-            merged = edges[0]
-            for e in edges[1:]:
-                merged = merged.union(e)
-            comp = components(merged)
-        elif comp is None:
-            comp = components(found)
-        done, open_ = upto, here.drop("root") if turn else buckets
-    links = edges[0]
-    for e in edges[1:]:
-        links = links.union(e)
-    degree = links.select(F.explode(F.array("p", "x")).alias("sid")).groupBy("sid").agg(F.count("*").alias("n_links"))
-    linked = classes.select("sid", "doc_id").join(comp.withColumnRenamed("v", "sid"), "sid", "left").join(degree, "sid", "left")
+    sets = materialize(_member_sets(rows_in, classes, buckets, width), "mh-sets")
+    pivots = buckets.filter("u = first").select("key", F.col("sid").alias("p"), F.col("n").alias("pn"))
+    meet = buckets.join(pivots, "key").filter((F.col("sid") != F.col("p")) & (100 * F.least("n", "pn") >= percent * F.greatest("n", "pn")))
+    links = materialize(_confirmed(sets, meet.select(F.least("p", "sid").alias("p"), F.greatest("p", "sid").alias("x")).distinct(), percent), "mh-links")
+    comp = components(links)
+    rooted = buckets.select("key", "sid").join(comp, buckets.sid == comp.v, "left").select("key", "sid", F.coalesce("root", "sid").alias("root"))
+    mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("size")).filter("r0 <> r1 and size > 2").select("key")
+    open_ = materialize(rooted.join(mixed, "key").select("sid", "root").distinct(), "mh-open")
+    if open_.limit(1).count():
+        found = materialize(_confirmed(sets, _prefix_pairs(sets.join(open_, "sid"), percent), percent), "mh-links")
+        links = materialize(links.union(found), "mh-links")
+        comp = components(links)
+    spent = [buckets, sets, open_]
+    linked = classes.select("sid", "doc_id").join(comp.withColumnRenamed("v", "sid"), "sid", "left")
     linked = linked.withColumn("root", F.coalesce("root", "sid"))
     least = linked.groupBy("root").agg(F.min("doc_id").alias("component"))
-    named = linked.join(least, "root").select("sid", "component", F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    named = linked.join(least, "root").select("sid", "component")
     own = signed.withColumn("sid", F.coalesce("sid", F.unhex(F.hex("rid"))))
     out = own.join(named, "sid", "left").select(
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
-        F.coalesce("n_links", F.lit(0)).cast("long").alias("n_links"),
     )
     forget(spark, *spent)
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"), "n_links")
+    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
-def _used(done: int) -> Column:
-    """The size up to which buckets have no pair left after this turn."""
-    return F.lit(max(2, done))
+def _member_sets(rows_in: DataFrame, classes: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
+    """(sid, members): the set of each class that shares a bucket, from a row of the class."""
+    rids = buckets.select("sid").distinct().join(classes.select("sid", "rid"), "sid")
+    return rows_in.select("rid", "text").join(rids, "rid").select("sid", "text").mapInArrow(_sets(width), "sid binary, members binary").dropDuplicates(["sid"])
 
 
-def _share(upto: int) -> Column:
-    """Whether a member's place in [0, 1) by its hash falls into the first `upto` of its bucket, as expected."""
-    return F.col("u").cast("double") / F.lit(2.0**64) + F.lit(0.5) < F.lit(float(upto)) / F.col("size")
+def _size_class(n: Column) -> Column:
+    """Classes of sizes about a twentieth apart."""
+    return F.floor(F.log(n.cast("double")) / F.lit(0.05)).cast("int")
 
 
-def _is_pivot(upto: int | None) -> Column:
-    return F.lit(True) if upto is None else (F.col("size") <= upto) | _share(upto)
+def _need(x: Column, y: Column, percent: int) -> Column:
+    """The overlap that sizes x and y need to reach the threshold, or one less where rounding could ask too much."""
+    return F.floor(F.lit(percent / (100.0 + percent)) * (x + y) - F.lit(1e-6)).cast("int")
 
 
-def _was_pivot(done: int) -> Column:
-    """Pivots of the turns before: their pairs are all confirmed, refuted or within a component."""
-    first = F.col("u") == F.col("first")
-    return first if done == 1 else first | _share(done)
+def _tokens(batches):
+    """mapInArrow: sets -> one row per member."""
+    for b in batches:
+        sizes = [len(m) // 8 for m in b.column("members").to_pylist()]
+        for k, n in enumerate(sizes):
+            token = pa.Array.from_buffers(pa.int64(), n, [None, b.column("members")[k].as_buffer()])
+            same = lambda name, k=k, n=n: pa.repeat(b.column(name)[k], n)
+            yield pa.RecordBatch.from_arrays([same("sid"), same("root"), pa.array(np.full(n, n, np.int32)), token], names=["sid", "root", "n", "token"])
+
+
+def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
+    """All pairs (p, x) of sets of different roots that can reach the threshold, and few more.
+
+    Tokens are ordered by how many of these sets have them. A longer (or equal) set probes each class of sizes of the
+    shorter with as many of its rarest tokens as that class needs; the shorter is filed under the fewest it needs. In a
+    token's file the most common root's members meet only the others.
+    """
+    tokens = materialize(sets.mapInArrow(_tokens, "sid binary, root binary, n int, token long"), "mh-tokens")
+    often = tokens.groupBy("token").agg(F.count("*").alias("c")).filter("c > 1")
+    ranked = tokens.join(often, "token", "left").groupBy("sid", "root", "n").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("c", F.lit(1)).alias("c"), "token"))).alias("t"))
+    ranked = ranked.select("sid", "root", "n", F.slice("t", F.lit(1), F.col("n") - F.ceil(F.col("n") * (percent / 100.0) - 1e-6).cast("int") + 1).alias("t"))
+    flat = materialize(ranked.select("sid", "root", "n", F.posexplode("t").alias("i", "t")).filter("t.c > 1").select("sid", "root", "n", "i", F.col("t.token").alias("token")), "mh-prefix")
+    filed = flat.filter(F.col("i") <= F.col("n") - _need(F.col("n"), F.col("n"), percent)).select(F.xxhash64("token", _size_class(F.col("n"))).alias("key"), F.col("sid").alias("y"), F.col("root").alias("yr"), F.col("n").alias("yn"), F.col("i").alias("j"))
+    classes = F.sequence(_size_class(F.col("n") * (percent / 100.0) - 1e-6), _size_class(F.col("n")))
+    asked = flat.select("*", F.explode(classes).alias("class"))
+    least = F.greatest(F.ceil(F.exp(F.col("class") * 0.05) - 1e-6), F.ceil(F.col("n") * (percent / 100.0) - 1e-6)).cast("int")
+    asked = asked.filter(F.col("i") <= F.col("n") - _need(F.col("n"), least, percent)).select(F.xxhash64("token", "class").alias("key"), "sid", "root", "n", "i")
+    counts = filed.groupBy("key", F.col("yr").alias("root")).agg(F.count("*").alias("c"))
+    major = counts.groupBy("key").agg(F.max_by("root", "c").alias("major"))
+    filed, asked = filed.join(major, "key"), asked.join(major.withColumnRenamed("major", "am"), "key")
+    fits = (
+        (F.col("root") != F.col("yr"))
+        & ((F.col("n") > F.col("yn")) | ((F.col("n") == F.col("yn")) & (F.col("sid") > F.col("y"))))
+        & (100 * F.col("yn") >= percent * F.col("n"))
+        & (F.least(F.col("n") - F.col("i"), F.col("yn") - F.col("j")) >= _need(F.col("n"), F.col("yn"), percent))
+    )
+    one = asked.filter("root <> am").join(filed, "key").filter(fits)
+    two = asked.filter("root = am").join(filed.filter("yr <> major"), "key").filter(fits)
+    cols = (F.least("sid", "y").alias("p"), F.greatest("sid", "y").alias("x"))
+    return one.select(*cols).union(two.select(*cols)).distinct()
 
 
-def _confirmed(rows_in: DataFrame, classes: DataFrame, pairs: DataFrame, width: int, percent: int, spent: list[DataFrame]) -> DataFrame:
+def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
     """Those of pairs (p, x) whose full sets reach the threshold."""
-    wanted = pairs.select(F.explode(F.array("p", "x")).alias("sid")).distinct()
-    rids = wanted.join(classes.select("sid", "rid"), "sid")
-    sets = rows_in.select("rid", "text").join(rids, "rid").select("sid", "text").mapInArrow(_sets(width), "sid binary, members binary").dropDuplicates(["sid"])
-    sets = materialize(sets, "mh-sets")
-    spent.append(sets)
     left = pairs.join(sets.select(F.col("sid").alias("p"), F.col("members").alias("pm")), "p")
     full = left.join(sets.select(F.col("sid").alias("x"), F.col("members").alias("xm")), "x")
     return full.select("p", "x", "pm", "xm").mapInArrow(_confirm(percent), "p binary, x binary")
