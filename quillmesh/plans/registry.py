@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from . import evaluation, graphs, retrieval, texts
+
 FLAGSHIP = "bm25_batch"
+PARTS = (texts, retrieval, graphs, evaluation)
 
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Callable]:
+    return {k: f for part in PARTS for k, f in part.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {k: s for part in PARTS for k, s in part.SQL.items()}

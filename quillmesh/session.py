@@ -33,3 +33,17 @@ def build_session(app: str = "quillmesh", cores: int | str | None = None, shuffl
 def table(spark: SparkSession, sf_dir: str, name: str):
     """One of the driver's tables, by Spark's reader only, so any store Spark can open will do."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def durable(df, name: str = "table"):
+    """Writes df to the shared checkpoint folder and reads it back, which cuts lineage and survives lost executors.
+
+    The folder is the cluster's spark.checkpoint.dir; a local one is used only where none is set, as in tests.
+    """
+    import uuid
+
+    spark = df.sparkSession
+    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillmesh-checkpoints"
+    path = f"{at}/quillmesh/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
