@@ -17,11 +17,11 @@ BASE_CONF = {
 }
 
 
-def build_session(app: str = "quillmesh", cores: int | str | None = None, shuffle_partitions: int | None = None) -> SparkSession:
+def build_session(app: str = "quillmesh", cores: int | str | None = None, shuffle_partitions: int | None = None, extra: dict[str, str] | None = None) -> SparkSession:
     """A local session for tests and benches; on a cluster the submitter's own settings win."""
     cores = cores or os.environ.get("BENCH_CPUS") or "*"
     builder = SparkSession.builder.appName(app).master(f"local[{cores}]")
-    for k, v in BASE_CONF.items():
+    for k, v in (BASE_CONF | (extra or {})).items():
         builder = builder.config(k, v)
     builder = builder.config("spark.driver.memory", os.environ.get("QUILLMESH_DRIVER_MEMORY", "8g"))
     builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions or 8))

@@ -10,7 +10,6 @@ sys.path.insert(0, str(Path(__file__).resolve().parents[1]))
 def spark(tmp_path_factory):
     from quillmesh.session import build_session
 
-    s = build_session("tests", 4, 4)
-    s.conf.set("spark.checkpoint.dir", f"file://{tmp_path_factory.mktemp('checkpoints')}")
+    s = build_session("tests", 4, 4, {"spark.checkpoint.dir": f"file://{tmp_path_factory.mktemp('checkpoints')}"})
     yield s
     s.stop()
