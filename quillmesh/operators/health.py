@@ -114,7 +114,13 @@ def apply_repairs(notes: DataFrame, repairs: DataFrame, least: float = 0.8) -> D
     safe = repairs.filter((F.col("confidence") >= least) & F.col("suggested").isNotNull() & (F.col("action") == "replace"))
     per = safe.groupBy(F.col("src_path").alias("path")).agg(F.array_sort(F.collect_set(F.struct("target", "suggested"))).alias("r"))
     joined = notes.join(per, "path", "left")
-    done = F.aggregate(F.coalesce("r", F.array().cast("array<struct<target:string,suggested:string>>")), F.col("content"), lambda t, x: F.replace(t, F.concat(F.lit("[["), x["target"]), F.concat(F.lit("[["), x["suggested"])))
+
+    def put(text: Column, fix: Column) -> Column:
+        """The target between [[ and what ends it, taken literally on both sides."""
+        found = F.concat(F.lit(r"\[\[\s*\Q"), fix["target"], F.lit(r"\E\s*(?=[\]|#])"))
+        return F.regexp_replace(text, found, F.concat(F.lit("[["), F.regexp_replace(fix["suggested"], r"([\\$])", r"\\$1")))
+
+    done = F.aggregate(F.coalesce("r", F.array().cast("array<struct<target:string,suggested:string>>")), F.col("content"), put)
     return joined.withColumn("repaired", done).withColumn("applied", F.coalesce(F.size("r"), F.lit(0))).drop("r")
 
 

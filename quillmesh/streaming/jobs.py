@@ -32,17 +32,22 @@ def current_index(spark, index_path: str) -> DataFrame:
     return rows.join(newest, ["path", "batch"], "left_semi")
 
 
+def _marked(events: DataFrame, late: str) -> DataFrame:
+    """A stream gets a watermark, which needs timestamps with a zone; a table stays as it is."""
+    return events.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", late) if events.isStreaming else events
+
+
 def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes") -> DataFrame:
     """start, event_type, n, total of each window; with a watermark, so it works on streams and tables alike."""
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _marked(events, late)
     return w.groupBy(F.window("ts", size), "event_type").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select(F.col("window.start").alias("start"), "event_type", "n", "total")
 
 
 def sliding(events: DataFrame, size: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _marked(events, late)
     return w.groupBy(F.window("ts", size, step), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
-    w = events.withWatermark("ts", late) if events.isStreaming else events
+    w = _marked(events, late)
     return w.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "total")
