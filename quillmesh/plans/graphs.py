@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import graph as G
 from ..operators import health as H
+from ..operators import imports as I
 from ..operators import links as L
 from ..session import table
 from .common import GRAPH_SQL, notes, resolved, tidy
@@ -230,3 +231,21 @@ def hold_out_links(spark, sf):
 def similar_link_clusters(spark, sf):
     p = table(spark, sf, "part").groupBy(F.col("p_type").alias("target")).agg(F.count("*").alias("occurrences"), F.countDistinct("p_brand").alias("sources"))
     return L.similar_clusters(p, 0.8)
+
+
+@query("import_rewrite", graph(r"SELECT path, replace(replace(content, '[[' || t1 || ']]', '[[' || coalesce('n' || i1, '') || '|' || t1 || ']]'), '[[' || t2 || '|see]]', '[[' || 'n' || i2 || '|see]]') AS content FROM (SELECT path, content, 'Doc ' || i1 AS t1, 'doc-' || i2 AS t2, i1, i2 FROM (SELECT path, content, regexp_extract(content, '\[\[Doc (\d+)\]\]', 1) AS i1, regexp_extract(content, '\[\[doc-(\d+)\|see\]\]', 1) AS i2 FROM notes)) WHERE i1::BIGINT <= (SELECT max(doc_id) FROM documents) AND i2::BIGINT <= (SELECT max(doc_id) FROM documents)"))
+def import_rewrite(spark, sf):
+    n, r = resolved(spark, sf)
+    whole = r.groupBy("src_path").agg(F.count_if(F.col("dst_path").isNull()).alias("open")).filter("open = 0").select(F.col("src_path").alias("path"))
+    return I.rewrite_links(n.join(whole, "path", "left_semi"), I.title_mapping(n)).select("path", "content")
+
+
+@query("generated_queries")
+def generated_queries(spark, sf):
+    return I.generate_queries(notes(spark, sf))
+
+
+@query("session_masking", "SELECT conv_id, turn, role, text FROM conversations")
+def session_masking(spark, sf):
+    c = table(spark, sf, "conversations").select("conv_id", "turn", "role", "text")
+    return I.unmask_sessions(I.mask_sessions(c, "0123456789abcdef"), "0123456789abcdef")
