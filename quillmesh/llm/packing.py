@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
 from .common import bound_batches
-from .wordids import CachedIds
+from .wordids import cached_ids
 
 TIERS, WINDOW = (256, 512, 1024, 2048), 2048
 FLUSH_TOKENS, GROUP_TOKENS, END_ID = 1 << 18, 1 << 14, 1
@@ -132,7 +132,7 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     bound_batches(docs.sparkSession)
 
     def run(batches):
-        encode, packer, end = CachedIds(tokenizer_path), Packer(TaskContext.get().partitionId()), np.array([END_ID], "<u4").tobytes()
+        encode, packer, end = cached_ids(tokenizer_path), Packer(TaskContext.get().partitionId()), np.array([END_ID], "<u4").tobytes()
         for b in batches:
             texts, ids = b.column("text").to_pylist(), b.column("doc_id").to_pylist()
             for k in range(0, len(texts), 200):

@@ -11,10 +11,20 @@ import os
 import numpy as np
 
 
+_KEPT: dict[str, CachedIds] = {}
+
+
+def cached_ids(path: str) -> CachedIds:
+    """This process's encoder for a tokenizer: a Python worker keeps it, and what it has cached, from task to task."""
+    if path not in _KEPT:
+        _KEPT[path] = CachedIds(path)
+    return _KEPT[path]
+
+
 class CachedIds:
     """Little-endian 32-bit ids of a text; the cache is emptied at `most` runs, which bounds its memory."""
 
-    def __init__(self, path: str, most: int = 500_000, joined: int = 256):
+    def __init__(self, path: str, most: int = 300_000, joined: int = 256):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
