@@ -133,22 +133,22 @@ def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
     return FactorisationMachine().fit(*training_rows(docs, labels, "quality", MODULUS, REST))
 
 
-def quality_scores(docs: DataFrame, model: FactorisationMachine) -> DataFrame:
-    """docs with `score` (0 to 1) of each whole text; a null text counts as empty. Own columns named score are replaced.
+def quality_scores(docs: DataFrame, model: FactorisationMachine, out: str = "score") -> DataFrame:
+    """docs with the score (0 to 1) of each whole text; a null text counts as empty. in column `out`; a column of that name is replaced.
 
     The model is of fixed size (SIZE * (RANK + 1) floats), so it travels with the tasks.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(out)
     names = docs.columns
 
     def run(batches):
         features = Features()
         for b in batches:
             data, offs = as_bytes(b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(data, offs, features), pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(data, offs, features), pa.float64())], names=[*names, out])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

@@ -1,7 +1,7 @@
 """Toxicity: a bidirectional gated recurrent network with attention pooling over character and word inputs.
 
-A step's input is a word: its hashed word embedding beside the mean of its hashed character trigrams' embeddings (with
-word edges). A block's distinct words are projected to the gates once, so a step costs one gather and two small
+A step's input is a word: its hashed word embedding beside the maximum of its hashed character trigrams' embeddings
+(with word edges). A block's distinct words are projected to the gates once, so a step costs one gather and two small
 products. Windows of 32 words, 24 apart, cover every word of a text; a text's score is that of its worst window. Trained
 in numpy, with gradients by hand: the first component of an embedding starts at a naive Bayes count of what the word or
 trigram tells over a bounded sample (labelled.PER_CLASS), and the network learns on each text's most telling window,
@@ -22,6 +22,8 @@ WIDTH, STRIDE, HIDDEN, EMBEDDED = 32, 24, 8, 6
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 14
 MODULUS, REST, THRESHOLD = 4, 2, 0.3
 GATES, CHUNK = 3 * HIDDEN, 1024
+#: Pseudo-texts behind a word's odds; texts that must have it to have odds.
+SMOOTH, LEAST_TEXTS = 4.0, 3
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -38,7 +40,12 @@ class Inputs:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """at: word positions of each text; step: the distinct word of each position; bucket of each distinct word; ptr, grams: its trigrams."""
-        starts, ends, h, at = self.words(data, offsets)
+        found = []
+        for lo, hi in blocks(offsets):  # the words' scratch arrays are several times a block's size
+            s, e, h, w = self.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
+            found.append((s + offsets[lo], e + offsets[lo], h, np.diff(w)))
+        starts, ends, h, counts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
+        at = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
         if not len(h):
             return at, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
         _, first, step = np.unique(h, return_index=True, return_inverse=True)
@@ -75,11 +82,10 @@ class GatedNetwork:
         self.shift = 0.0
 
     def embedded(self, bucket: np.ndarray, ptr: np.ndarray, grams: np.ndarray) -> np.ndarray:
-        """Each distinct word's input: its own embedding, and its trigrams' mean."""
+        """Each distinct word's input: its own embedding, and its trigrams' largest components."""
         if not len(bucket):
             return np.zeros((0, 2 * EMBEDDED), np.float32)
-        sums = np.add.reduceat(self.p["gram"][grams], ptr[:-1], axis=0)
-        return np.concatenate((self.p["word"][bucket], sums / np.diff(ptr)[:, None].astype(np.float32)), axis=1)
+        return np.concatenate((self.p["word"][bucket], np.maximum.reduceat(self.p["gram"][grams], ptr[:-1], axis=0)), axis=1)
 
     def projected(self, bucket: np.ndarray, ptr: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Both directions' gate inputs of each distinct word."""
@@ -212,7 +218,8 @@ class GatedNetwork:
                     used, back = np.unique(steps, return_inverse=True)
                     self.learn(used, back.reshape(steps.shape), live, y[text[pick]], bucket, ptr, grams, squares)
         self.shift = 0.0
-        whole, _ = self.text_scores(data, offs, Inputs())
+        inputs = Inputs()
+        whole = np.concatenate([self.text_scores(data[offs[a] : offs[b]], offs[a : b + 1] - offs[a], inputs)[0] for a, b in blocks(offs)])
         self.shift = prior_shift(ys, share) + best_shift(whole, y)
         return self
 
@@ -230,7 +237,8 @@ class GatedNetwork:
         for k, d in g.items():
             squares[k] += d * d
             self.p[k] = (self.p[k] - rate * d / np.sqrt(squares[k])).astype(np.float32)
-        for k, rows, d in (("word", bucket[used], dx[:, :EMBEDDED]), ("gram", where, np.repeat(dx[:, EMBEDDED:] / n[:, None], n, axis=0))):
+        largest = self.p["gram"][where] == np.repeat(x[:, EMBEDDED:], n, axis=0)
+        for k, rows, d in (("word", bucket[used], dx[:, :EMBEDDED]), ("gram", where, np.repeat(dx[:, EMBEDDED:], n, axis=0) * largest)):
             order = np.argsort(rows, kind="stable")
             hit, first = np.unique(rows[order], return_index=True)
             total = np.add.reduceat(d[order], first, axis=0)
@@ -249,18 +257,27 @@ def telling(at, step, bucket, ptr, grams, y) -> tuple[np.ndarray, np.ndarray, np
     """How much presence in a text speaks for label 1, as smoothed log odds: of each distinct word (its own, or its best trigram's), of all word buckets, of all trigram buckets."""
     row = np.repeat(np.arange(len(y)), np.diff(at))
 
-    def odds(rows, keys, size):
-        pairs = np.unique(rows * size + keys)
-        ones = np.bincount(pairs % size, y[pairs // size], size)
-        both = np.bincount(pairs % size, minlength=size)
-        return np.log((ones + 0.5) / (y.sum() + 1)) - np.log((both - ones + 0.5) / (len(y) - y.sum() + 1)) - np.log((len(y) - y.sum() + 1) / (y.sum() + 1))
-
-    by_word = odds(row, bucket[step], WORD_BUCKETS)
-    seen, n = np.unique(row * len(bucket) + step), np.diff(ptr)
-    word = seen % len(bucket)
-    own = np.concatenate(([0], np.cumsum(n[word])))
-    where = np.arange(own[-1]) - np.repeat(own[:-1] - ptr[word], n[word])
-    by_gram = odds(np.repeat(seen // len(bucket), n[word]), grams[where], GRAM_BUCKETS)
+    def odds(present, size):
+        """Log odds of each key from (text, key) pairs, given a block of texts at a time to bound memory."""
+        ones, both = np.zeros(size), np.zeros(size)
+        for rows, keys in present:
+            pairs = np.unique(rows * size + keys)
+            ones += np.bincount(pairs % size, y[pairs // size], size)
+            both += np.bincount(pairs % size, minlength=size)
+        share = y.sum() / len(y)
+        return (both >= LEAST_TEXTS) * (np.log((ones + SMOOTH * share) / (both - ones + SMOOTH * (1 - share))) - np.log(share / (1 - share)))
+
+    def grams_of_texts(texts: int = 100):
+        n = np.diff(ptr)
+        for a in range(0, len(y), texts):
+            lo, hi = at[a], at[min(a + texts, len(y))]
+            seen = np.unique(row[lo:hi] * len(bucket) + step[lo:hi])
+            word = seen % len(bucket)
+            own = np.concatenate(([0], np.cumsum(n[word])))
+            yield np.repeat(seen // len(bucket), n[word]), grams[np.arange(own[-1]) - np.repeat(own[:-1] - ptr[word], n[word])]
+
+    by_word = odds([(row, bucket[step])], WORD_BUCKETS)
+    by_gram = odds(grams_of_texts(), GRAM_BUCKETS)
     return np.maximum(by_word[bucket], np.maximum.reduceat(by_gram[grams], ptr[:-1])), by_word, by_gram
 
 
@@ -279,22 +296,22 @@ def train(docs: DataFrame, labels: DataFrame) -> GatedNetwork:
     return GatedNetwork().fit(*training_rows(docs, labels, "toxic", MODULUS, REST))
 
 
-def toxicity_scores(docs: DataFrame, model: GatedNetwork) -> DataFrame:
-    """docs with `score` (0 to 1) of each whole text; texts without words, empty or null score 0. An own column named score is replaced.
+def toxicity_scores(docs: DataFrame, model: GatedNetwork, out: str = "score") -> DataFrame:
+    """docs with the score (0 to 1) of each whole text; texts without words, empty or null score 0. It is in column `out`; a column of that name is replaced.
 
     The model is of fixed size ((WORD_BUCKETS + GRAM_BUCKETS) * 2 * GATES floats), so it travels with the tasks.
     """
     bound_batches(docs.sparkSession)
-    docs = docs.drop("score")
+    docs = docs.drop(out)
     names = docs.columns
 
     def run(batches):
         inputs = Inputs()
         for b in batches:
             data, offs = as_bytes(b.column("text"))
-            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(data, offs, inputs), pa.float64())], names=[*names, "score"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(data, offs, inputs), pa.float64())], names=[*names, out])
 
-    return docs.mapInArrow(run, docs.withColumn("score", F.lit(0.0)).schema)
+    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:
