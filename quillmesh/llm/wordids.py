@@ -22,7 +22,11 @@ def cached_ids(path: str) -> CachedIds:
 
 
 class CachedIds:
-    """Little-endian 32-bit ids of a text; the cache is emptied at `most` runs, which bounds its memory."""
+    """Little-endian 32-bit ids of a text.
+
+    The cache has two generations of up to `most` runs: a full one becomes the older one, whose runs are taken over when
+    they occur again and else forgotten, so frequent runs stay and memory is bounded.
+    """
 
     def __init__(self, path: str, most: int = 300_000, joined: int = 256):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -33,6 +37,7 @@ class CachedIds:
         self.last = np.zeros(max(vocab.values()) + 1, bool)
         self.last[[i for w, i in vocab.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {"": b""}
+        self.older: dict[str, bytes] = {}
 
     @staticmethod
     def runs(text: str) -> list[str]:
@@ -51,6 +56,9 @@ class CachedIds:
                 ends.append((r, w))
                 if w in self.known:
                     continue
+                if w in self.older:
+                    self.known[w] = self.older[w]
+                    continue
             (words.add if w.isalpha() else rest.append)(w)
         plain = list(words)
         batches = [plain[k : k + self.joined] for k in range(0, len(plain), self.joined)]
@@ -71,11 +79,16 @@ class CachedIds:
 
     def __call__(self, texts: list[str]) -> list[bytes]:
         parts = [self.runs(t) for t in texts]
-        new = set().union(*parts) - self.known.keys()
+        needed = set().union(*parts)
+        new = needed - self.known.keys()
         if new:
             if len(self.known) + len(new) > self.most:
-                self.known = {"": b""}
-                new = set().union(*parts) - self.known.keys()
-            self.learn(new)
+                self.older, self.known = self.known, {"": b""}
+                new = needed
+            again = new & self.older.keys()
+            self.known.update({r: self.older[r] for r in again})
+            new = new - again - self.known.keys()
+            if new:
+                self.learn(new)
         get = self.known.__getitem__
         return [b"".join(map(get, p)) for p in parts]
