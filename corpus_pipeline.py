@@ -23,13 +23,13 @@ from quillmesh.session import table
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the factorisation machine scores at 0.5 or more."""
     model = train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return quality_scores(docs, model).filter("score >= 0.5").select(*docs.columns)
+    return quality_scores(docs, model, "_quality_score").filter("_quality_score >= 0.5").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose worst window scores under the threshold."""
     model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return toxicity_scores(docs, model).filter(F.col("score") < THRESHOLD).select(*docs.columns)
+    return toxicity_scores(docs, model, "_toxicity_score").filter(F.col("_toxicity_score") < THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
