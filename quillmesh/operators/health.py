@@ -71,18 +71,23 @@ def duplicate_links(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("src_path", "target").agg(F.count("*").alias("occurrences")).filter("occurrences > 1").withColumn("severity", F.when(F.col("occurrences") > 3, "medium").otherwise("low"))
 
 
+#: Parts of a length band.
+BAND_PARTS = 16
+
+
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6, k: int = 5) -> DataFrame:
     """For each left text its k most similar right texts by Levenshtein similarity: text, other, similarity, rank.
 
     Texts are normalized-distinct first. A pair can only reach the threshold if its lengths differ by at most (1 - t) of
     the longer, so pairs are found by equal length bands rather than by a cross join: a text asks each length it may have.
+    Each band is dealt in BAND_PARTS by a hash of the right text, so texts of one length are not one task's load.
     """
     a = left.select("text").distinct().withColumn("l", F.length("text"))
-    b = right.select(F.col("text").alias("other")).distinct().withColumn("m", F.length("other"))
+    b = right.select(F.col("text").alias("other")).distinct().withColumn("m", F.length("other")).withColumn("deal", F.pmod(F.xxhash64("other"), F.lit(BAND_PARTS)).cast("int"))
     low, high = F.ceil(F.col("l") * threshold - 1e-9).cast("int"), F.floor(F.col("l") / threshold + 1e-9).cast("int")
-    asked = a.select("text", F.explode(F.sequence(low, high)).alias("m"))
+    asked = a.select("text", F.explode(F.sequence(low, high)).alias("m")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))))
     sim = S.levenshtein_similarity("text", "other")
-    pairs = asked.join(b, "m").withColumn("similarity", F.round(sim, 6)).filter(F.col("similarity") >= threshold)
+    pairs = asked.join(b, ["m", "deal"]).withColumn("similarity", F.round(sim, 6)).filter(F.col("similarity") >= threshold)
     return pairs.select("text", "other", "similarity", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "other")).alias("rank")).filter(F.col("rank") <= k)
 
 

@@ -185,6 +185,12 @@ def levenshtein_fuzzy_join(spark, sf):
     return H.fuzzy_candidates(table(spark, sf, "supplier").select(F.col("s_name").alias("text")), table(spark, sf, "customer").filter("c_custkey % 5 = 0").select(F.col("c_name").alias("text")))
 
 
+@query("levenshtein_fuzzy_join_all")
+def levenshtein_fuzzy_join_all(spark, sf):
+    """levenshtein_fuzzy_join with every customer name as a candidate."""
+    return H.fuzzy_candidates(table(spark, sf, "supplier").select(F.col("s_name").alias("text")), table(spark, sf, "customer").select(F.col("c_name").alias("text")))
+
+
 @query("link_issues")
 def link_issues(spark, sf):
     return H.link_issues(*resolved(spark, sf))
@@ -204,6 +210,13 @@ def link_lines(spark, sf):
     return H.link_lines(n, t).groupBy("path", "target").agg(F.count("*").alias("n"))
 
 
+@query("link_lines_all")
+def link_lines_all(spark, sf):
+    """link_lines with every target."""
+    n, r = resolved(spark, sf)
+    return H.link_lines(n, r.select(F.lower("target").alias("target")).distinct()).groupBy("path", "target").agg(F.count("*").alias("n"))
+
+
 @query("link_merge", graph(r"SELECT path, regexp_replace(regexp_replace(content, '\[\[(doc-10|Doc 10)(#[^\]|]+)?(\|[^\]]+)\]\]', '[[Doc 99\2\3]]', 'g'), '\[\[(doc-10|Doc 10)(#[^\]|]+)?\]\]', '[[Doc 99\2|\1]]', 'g') AS content FROM notes"))
 def link_merge(spark, sf):
     return notes(spark, sf).select("path", G.merge_links("content", ["doc-10", "Doc 10"], "Doc 99").alias("content"))

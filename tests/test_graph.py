@@ -79,3 +79,29 @@ def test_health_and_repair(spark):
     assert (dang.target, dang.suggested, dang.action) == ("Bet", "Beta", "replace") and abs(dang.confidence - 0.75) < 1e-6
     fixed = H.apply_repairs(n, issues, 0.7).filter("path = 'Alpha.md'").first()
     assert fixed.repaired == "[[Beta]] [[Beta]] [[Beta]]" and fixed.applied == 1
+
+
+def test_fuzzy_join_and_link_lines_take_every_candidate(spark, tmp_path):
+    from quillmesh.plans import registry
+
+    def similarity(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            above, row = row, [i]
+            for j, y in enumerate(b, 1):
+                row.append(min(above[j] + 1, row[j - 1] + 1, above[j - 1] + (x != y)))
+        return round(1 - row[-1] / max(len(a), len(b)), 6)
+
+    left, right = [f"Supplier#{k:05d}" for k in range(1, 9)], [f"Customer#{k * 7 % 1000:05d}" for k in range(1, 60)]
+    spark.createDataFrame(enumerate(left), "s_suppkey long, s_name string").write.parquet(f"{tmp_path}/supplier.parquet")
+    spark.createDataFrame(enumerate(right), "c_custkey long, c_name string").write.parquet(f"{tmp_path}/customer.parquet")
+    want = set()
+    for a in left:
+        found = sorted((-similarity(a.lower(), b.lower()), b) for b in right)
+        want |= {(a, b, -s, k) for k, (s, b) in enumerate(found[:5], 1) if -s >= 0.6}
+    got = registry.queries()["levenshtein_fuzzy_join_all"](spark, str(tmp_path))
+    assert {(x.text, x.other, x.similarity, x["rank"]) for x in got.collect()} == want
+
+    spark.createDataFrame([(k, f"text {k}") for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    lines = {(x.path, x.target): x.n for x in registry.queries()["link_lines_all"](spark, str(tmp_path)).collect()}
+    assert lines == {(f"notes/doc-{k}.md", t): 1 for k in range(30) for t in (f"doc {(k * 7 + 3) % 33}", f"doc-{(k * 13 + 5) % 33}")}
