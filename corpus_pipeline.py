@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from quillmesh.llm.common import materialize
-from quillmesh.llm.minhash import near_duplicates
+from quillmesh.llm.minhash import near_duplicates, row_key
 from quillmesh.llm.packing import pack_documents
 from quillmesh.llm.quality import quality_scores
 from quillmesh.llm.quality import train as train_quality
@@ -33,13 +33,14 @@ def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document of smallest doc_id of each near-duplicate group; a doc_id that repeats stays once per distinct text that is kept.
+    """The rows that near_duplicates keeps: the document of smallest doc_id of each near-duplicate group.
 
-    Only the ids that go are joined, so most of the corpus is not dealt anew: they are under the broadcast threshold or
-    Spark sorts both sides. Rows whose doc_id is null are kept as near_duplicates keeps them.
+    Rows are known by a hash of doc_id and text, so neither rows whose doc_id is null nor the texts of a doc_id that
+    repeats go with one another. Only the keys that go are joined, so most of the corpus is not dealt anew: they are under
+    the broadcast threshold or Spark sorts both sides.
     """
-    gone = near_duplicates(docs.select("doc_id", "text"), width=5).filter("not kept").select("doc_id").distinct()
-    return docs.join(gone, docs.doc_id.eqNullSafe(gone.doc_id), "left_anti")
+    gone = near_duplicates(docs.select("doc_id", "text"), width=5, keyed=True).filter("not kept").select("rid").distinct()
+    return docs.join(gone, row_key(docs) == gone.rid, "left_anti")
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

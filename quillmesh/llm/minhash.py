@@ -176,8 +176,13 @@ def components(edges: DataFrame, one_task: int = ONE_TASK_EDGES, rounds: int = 6
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halves: int = HALVES, rows: int = ROWS) -> DataFrame:
-    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept.
+def row_key(docs: DataFrame) -> Column:
+    """64 bits that stand for a row's doc_id and text, each of which may be null."""
+    return F.xxhash64(docs["doc_id"], docs["doc_id"].isNull(), docs["text"], docs["text"].isNull())
+
+
+def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halves: int = HALVES, rows: int = ROWS, keyed: bool = False) -> DataFrame:
+    """One row per document: doc_id, n_shingles, component_id (smallest doc_id reachable), kept; with `keyed`, rid (row_key) too.
 
     docs needs doc_id and text; other columns are ignored, so their names can't clash. Null and empty texts have no
     shingles, are linked with nothing and are kept. Rows with a null doc_id take part; a component's id is its smallest
@@ -186,7 +191,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halve
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    rows_in = docs.select(F.xxhash64("doc_id", "text").alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows_in = docs.select(row_key(docs).alias("rid"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     signed = materialize(rows_in.mapInArrow(_signatures(width, halves, rows), "rid long, doc_id long, n_shingles long, sid binary, halves array<long>"), "mh-signed")
     filled = signed.filter("n_shingles > 0")
     # One row per class of equal sets. The half keys depend on the set alone, so any row's will do; min picks a row that can be found again.
@@ -221,12 +226,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halve
     named = linked.join(least, "root").select("sid", "component")
     own = signed.withColumn("sid", F.coalesce("sid", F.unhex(F.hex("rid"))))
     out = own.join(named, "sid", "left").select(
+        "rid",
         "doc_id",
         "n_shingles",
         F.when(F.col("n_shingles") > 0, F.col("component")).otherwise(F.col("doc_id")).alias("component_id"),
     )
     forget(spark, *spent)
-    return out.select("doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    return out.select(*["rid"] * keyed, "doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
 
 
 def _member_sets(rows_in: DataFrame, classes: DataFrame, buckets: DataFrame, width: int) -> DataFrame:

@@ -387,3 +387,12 @@ def test_pipeline_stages(spark):
             kept = {r.doc_id for r in left.collect()}
     assert {r.doc_id for r in left.collect()} == kept
     assert corpus_pipeline.ORACLE_SQL is None and 4 <= len(corpus_pipeline.STAGES) <= 5
+
+
+def test_near_dedup_drops_by_row(spark):
+    import corpus_pipeline
+
+    copy, own, other = ("a b c d e f g h", "own words of a row without an id", "other words of the id that repeats")
+    rows = [(1, copy), (None, copy), (None, own), (None, None), (2, copy), (2, other), (3, None)]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), AT)
+    assert collections.Counter(map(tuple, got.collect())) == collections.Counter([(1, copy), (None, own), (None, None), (2, other), (3, None)])
