@@ -396,3 +396,13 @@ def test_near_dedup_drops_by_row(spark):
     rows = [(1, copy), (None, copy), (None, own), (None, None), (2, copy), (2, other), (3, None)]
     got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), AT)
     assert collections.Counter(map(tuple, got.collect())) == collections.Counter([(1, copy), (None, own), (None, None), (2, other), (3, None)])
+
+
+def test_extraction_of_many_layouts_of_a_host(spark):
+    from quillmesh.llm.extraction import extract_pages
+
+    tags = "dl ol ul table section h3 h4 h5 h6 pre blockquote".split()
+    block = lambda tag, k: f"<body><article>{''.join(f'<{tag} class=c{i}>{x}</{tag}>' for i, x in enumerate((f'Standing {tag}', f'varies {k}', f'also {k}')))}</article></body>"
+    rows = [(100 * t + k, "http://h/", block(tag, 100 * t + k).replace("class=c", f"class={tag}")) for k in range(6) for t, tag in enumerate(tags)]
+    got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
+    assert got == {k: f"varies {k}\n\nalso {k}" for k, _, _ in rows}
