@@ -406,3 +406,36 @@ def test_extraction_of_many_layouts_of_a_host(spark):
     rows = [(100 * t + k, "http://h/", block(tag, 100 * t + k).replace("class=c", f"class={tag}")) for k in range(6) for t, tag in enumerate(tags)]
     got = {r.page_id: r.text for r in extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)).collect()}
     assert got == {k: f"varies {k}\n\nalso {k}" for k, _, _ in rows}
+
+
+@pytest.mark.parametrize(
+    "pages,body,want",
+    [
+        (6, "<article><p>one {k}</p></article><article><p>two {k}</p></article>", "one {k}\n\ntwo {k}"),
+        (6, "<main><p>before {k}</p><article><p>in {k}</p></article><p>after {k}</p></main>", "before {k}\n\nin {k}\n\nafter {k}"),
+        (6, "<article><p>teaser {k}</p></article><div><p>a long text of page {k}</p></div>", "teaser {k}\n\na long text of page {k}"),
+        (6, "<article><p>{k}</p><p>far more standing text than there is of the article</p></article>", "{k}"),
+        (1, "<article><p>one</p></article><article><p>two</p></article>", "one\n\ntwo"),
+        (1, "<main><p>before</p><article><p>in</p></article><p>after</p></main>", "before\n\nin\n\nafter"),
+        (1, "<article><p>teaser</p></article><div><p>a long text beside it</p></div>", "teaser\n\na long text beside it"),
+    ],
+)
+def test_extraction_takes_all_slots(pages, body, want):
+    from quillmesh.llm import extraction as x
+
+    matcher, layouts = x.Matcher(), []
+    html = [f"<html><body>{body.format(k=k)}</body></html>" for k in range(pages)]
+    for page in html:
+        x.place(matcher, layouts, matcher.sign(x.as_template(x.parse(page))))
+    layouts = [t for t in layouts if t.total >= x.LEAST_PAGES]
+    assert [x.main_text(page, layouts, matcher) for page in html] == [want.format(k=k) for k in range(pages)]
+
+
+def test_texts_of_most_pages_are_constant():
+    from quillmesh.llm import extraction as x
+
+    matcher, layouts = x.Matcher(), []
+    html = [f"<body><p>text {k}</p><p>{'standing' if k % 5 < 3 else f'own {k}'}</p></body>" for k in range(100)]
+    for page in html:
+        x.place(matcher, layouts, matcher.sign(x.as_template(x.parse(page))))
+    assert [x.main_text(page, layouts, matcher) for page in html] == [f"text {k}" if k % 5 < 3 else f"text {k}\n\nown {k}" for k in range(100)]
