@@ -23,6 +23,8 @@ HAN_KANA = re.compile(r"[一-鿿぀-ゟ゠-ヿ]+")
 LINK = re.compile(r"\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]")
 #: A word's edge, with ASCII word characters only.
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
+#: Code points by which texts that may hold one another are found.
+BLOCK = 64
 ANCHORS = "path string, text string, start int, end int, kind string"
 
 
@@ -81,27 +83,52 @@ def extract_anchors(notes: DataFrame, titles: list[str] | None = None) -> DataFr
     return notes.select("path", "content").mapInPandas(run, ANCHORS)
 
 
+def _blocks(texts: DataFrame, name: str, lengths: list[int], side: int) -> DataFrame:
+    """Distinct texts with hashes by which those that hold one another meet: on one side a text's first BLOCK code points,
+    on the other its substrings as long as such starts are (`lengths`, those of the other table's) and it is at most twice."""
+    n = F.length(name)
+    of_size = lambda m: F.transform(F.sequence(F.lit(1), n - m + 1), lambda i: F.xxhash64(F.substring(F.col(name), i, m)))
+    sizes = F.filter(F.lit(lengths).cast("array<int>"), lambda m: (m <= n) & ((2 * m >= n) | (m == BLOCK)))
+    at = lambda k, h: F.struct(F.lit(k).alias("side"), h.alias("block"))
+    held = F.transform(F.array_distinct(F.flatten(F.transform(sizes, of_size))), lambda h: at(1 - side, h))
+    return texts.filter(n > 0).select(name, F.explode(F.concat(F.array(at(side, F.xxhash64(F.substring(name, 1, BLOCK)))), held)).alias("b")).select("b.side", "b.block", name)
+
+
+def _first(rows: DataFrame, name: str, k: int) -> DataFrame:
+    """The k + 1 rows of least path for each value of a column: k, and one that may be the anchor's own note."""
+    return rows.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy("path"))).filter(F.col("_n") <= k + 1).drop("_n")
+
+
 def match_targets(anchors: DataFrame, notes: DataFrame, threshold: float = 0.3, k: int = 3) -> DataFrame:
     """anchors with their best k targets: exact title 1, alias .95, header .85, partial title .7 * overlap (at least half).
 
-    Exact, alias and header matches are equi-joins on the lower-case text. Partial ones join on a shared word, which any
-    title that holds the anchor's words, or is held by it, shares. A note is no target of its own anchors.
+    Exact, alias and header matches are equi-joins on the lower-case text; every note with the header is a target, and of
+    notes that share a title or alias one is exact and the titles of the others are partial. Partial ones join the shorter
+    text's first BLOCK code points with the longer's substrings of each length that titles have, over distinct texts, so
+    all containments of at least half are found. A note is no target of its own anchors. Notes that share a header or title
+    score alike and rank by path, so the first k + 1 of them, and of an anchor's targets, are enough for the best k.
     """
     low = F.lower(F.trim("title"))
     title = notes.groupBy(low.alias("key")).agg(F.max(F.struct("path", "title")).alias("m")).select("key", "m.path", "m.title", F.lit(1.0).alias("base"), F.lit("exact").alias("match"))
     alias = notes.select("path", "title", F.explode("aliases").alias("a")).groupBy(F.lower(F.trim("a")).alias("key")).agg(F.min(F.struct("path", "title")).alias("m")).select("key", "m.path", "m.title", F.lit(0.95).alias("base"), F.lit("alias").alias("match"))
     heads = notes.select("path", "title", F.explode(F.array_distinct(F.regexp_extract_all("content", F.lit(r"(?m)^#{1,3}\s+(.+)$"), F.lit(1)))).alias("h"))
-    header = heads.groupBy(F.lower(F.trim("h")).alias("key")).agg(F.min(F.struct("path", "title")).alias("m")).select("key", "m.path", "m.title", F.lit(0.85).alias("base"), F.lit("header").alias("match"))
+    header = heads.select(F.lower(F.trim("h")).alias("key"), "path", "title", F.lit(0.85).alias("base"), F.lit("header").alias("match")).distinct()
+    header = _first(header, "key", k)
     asked = anchors.withColumn("key", F.lower(F.trim("text"))).withColumnRenamed("path", "src_path")
-    equal = asked.join(title.union(alias).union(header), "key").select("src_path", "text", "start", "end", "kind", "path", "title", F.col("base").alias("score"), "match")
-    words = lambda c: F.array_distinct(F.filter(F.split(c, r"\s+"), lambda w: F.length(w) > 0))
-    a = asked.select("*", F.explode(words(F.col("key"))).alias("w"))
-    t = notes.select("path", "title", low.alias("tl")).select("*", F.explode(words(F.col("tl"))).alias("w"))
+    keys, titles = asked.select("key").distinct(), notes.select(low.alias("tl")).distinct()
+    lengths = lambda df, c: sorted(r[0] for r in df.select(F.least(F.length(c), F.lit(BLOCK))).distinct().collect() if r[0])
+    of_titles = lengths(titles, "tl")
+    longest = 2 * max(of_titles, default=0)
+    of_keys = list(range(1, min(BLOCK, longest) + 1)) if longest else []
+    held = _blocks(keys, "key", of_titles, 0).join(_blocks(titles, "tl", of_keys, 1), ["side", "block"])
     ratio = F.least(F.length("key"), F.length("tl")) / F.greatest(F.length("key"), F.length("tl"))
-    near = a.join(t, "w").filter((F.col("key") != F.col("tl")) & (F.contains("key", F.col("tl")) | F.contains("tl", F.col("key")))).withColumn("score", 0.7 * ratio).filter(ratio >= 0.5)
-    near = near.select("src_path", "text", "start", "end", "kind", "path", "title", "score", F.lit("partial").alias("match")).distinct()
-    all_ = equal.union(near).filter((F.col("src_path") != F.col("path")) & (F.col("score") >= threshold))
-    best = all_.groupBy("src_path", "text", "start", "end", "kind", "path", "title").agg(F.max(F.struct("score", "match")).alias("m")).select("*", "m.score", "m.match").drop("m")
+    texts = held.select("key", "tl").filter((F.contains("key", F.col("tl")) | F.contains("tl", F.col("key"))) & (ratio >= 0.5)).distinct()
+    near = texts.join(_first(notes.select("path", "title", low.alias("tl")).distinct(), "tl", k), "tl").select("key", "path", "title", (0.7 * ratio).alias("base"), F.lit("partial").alias("match"))
+    all_ = title.union(alias).union(header).union(near).filter(F.col("base") >= threshold)
+    best = all_.groupBy("key", "path", "title").agg(F.max(F.struct("base", "match")).alias("m")).select("key", "path", "title", F.col("m.base").alias("score"), "m.match")
+    order = Window.partitionBy("key").orderBy(F.desc("score"), "path")
+    targets = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
+    best = asked.distinct().join(targets, "key").filter(F.col("src_path") != F.col("path")).select("src_path", "text", "start", "end", "kind", "path", "title", "score", "match")
     w = Window.partitionBy("src_path", "start", "end").orderBy(F.desc("score"), "path")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 

@@ -105,3 +105,30 @@ def test_fuzzy_join_and_link_lines_take_every_candidate(spark, tmp_path):
     spark.createDataFrame([(k, f"text {k}") for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
     lines = {(x.path, x.target): x.n for x in registry.queries()["link_lines_all"](spark, str(tmp_path)).collect()}
     assert lines == {(f"notes/doc-{k}.md", t): 1 for k in range(30) for t in (f"doc {(k * 7 + 3) % 33}", f"doc-{(k * 13 + 5) % 33}")}
+
+
+def test_targets_match_brute_force(spark):
+    import random
+
+    from quillmesh.operators import links as L
+
+    r = random.Random(3)
+    titles = ["Scripts", "Script", "Script", "Scripting Languages", "Datenbanksystem", "링크가", "東京都市", "x" * 150] + ["".join(r.choice("ab ") for _ in range(r.randint(2, 12))).strip() or "a" for _ in range(40)]
+    n = spark.createDataFrame([(f"{k:02d}.md", str(k), t, str(k), [], "# Same head\n" if k % 9 == 0 else "") for k, t in enumerate(titles)], SCHEMA)
+    texts = ["Script", "script", "Datenbank", "링크", "東京", "x" * 80, "same head", "Scripting"] + ["".join(r.choice("ab ") for _ in range(r.randint(1, 10))).strip() or "b" for _ in range(30)]
+    anchors = spark.createDataFrame([(f"{k % 10:02d}.md", t, 100 * k, 100 * k + len(t), "proper_noun") for k, t in enumerate(texts)], L.ANCHORS)
+    want = set()
+    for k, t in enumerate(texts):
+        t = t.lower()
+        exact = max((j for j, o in enumerate(titles) if o.lower() == t), default=None)
+        for j, title in enumerate(o.lower() for o in titles):
+            ratio = min(len(t), len(title)) / max(len(t), len(title))
+            score = max(1.0 if j == exact else 0, 0.85 if t == "same head" and j % 9 == 0 else 0, 0.7 * ratio if (t in title or title in t) and ratio >= 0.5 else 0)
+            if score >= 0.3 and j != k % 10:
+                want.add((100 * k, f"{j:02d}.md", round(score, 6)))
+    got = L.match_targets(anchors, n, k=1000).collect()
+    few = L.match_targets(anchors, n, k=2).collect()
+    assert {(x.start, x.path, round(x.score, 6)) for x in got} == want and len(got) == len(want)
+    for start in {x[0] for x in want}:
+        first = sorted((-score, path) for at, path, score in want if at == start)[:2]
+        assert sorted((-round(x.score, 6), x.path) for x in few if x.start == start) == first
