@@ -3,13 +3,16 @@
 prefix[i] is the hash of a text's first i code points, sum of (c_k + 1) * B^k modulo 2^31 - 1, for two bases B. The hash
 of any span follows from two prefixes, so two spans are compared in constant time and the longest common extension of
 two places is found by binary search. A fingerprint keeps the length, the whole text's hash, and 16 bits of the hashes
-of the prefixes and suffixes of about 2^(k/4) code points; the largest equal prefix and suffix of two fingerprints are
-found by binary search, too, and their share of the longer text is the likeness.
+of the prefixes and suffixes of about 2^(k/4) code points, and length and 24 bits of the hash of each span between cuts.
+Cuts are where the hash of the WINDOW code points in front says so, so texts are cut alike wherever they are equal. The
+likeness is the share of the longer text that is in equal spans, or in the largest equal prefix and suffix, which are found
+by binary search, if that is more.
 """
 
 from __future__ import annotations
 
 import hashlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -22,6 +25,8 @@ from .common import bound_batches
 MODULUS, BASES = np.uint64(2**31 - 1), (911_382_323, 972_663_749)
 LENGTHS = np.unique(np.ceil(2 ** (np.arange(0, 160) / 4)).astype(np.int64))
 PART_ROWS, MOST_PARTS = 8192, 4096
+#: Code points that decide on a cut, and one place in how many is one.
+WINDOW, APART = 8, 24
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
 
 
@@ -99,13 +104,32 @@ class Joined:
         return (head + tail * POWERS(self.keep)[:, self.keep : self.keep + 1]) % MODULUS
 
 
+def spans(h: np.ndarray) -> str:
+    """Length (modulo 2^16) and 24 bits of the hash of each span between a text's cuts, in hex, from its prefix hashes."""
+    n = h.shape[1] - 1
+    p = POWERS(n)
+    start = np.arange(max(0, n - WINDOW))
+    window = (h[0, start + WINDOW] + MODULUS - h[0, start]) % MODULUS * p[0, n - start] % MODULUS
+    # The scale is the text's length, so B^n is taken out again to make equal windows of any texts equal.
+    window = window * np.uint64(pow(int(p[0, n]), -1, int(MODULUS))) % MODULUS
+    cuts = start[(window * np.uint64(0x9E3779B1) >> np.uint64(20)) % np.uint64(APART) == 0] + WINDOW
+    edges = np.unique(np.concatenate(([0], cuts, [n])))
+    a, b = edges[:-1], edges[1:]
+    if not len(a):
+        return ""
+    own = (h[:, b] + MODULUS - h[:, a]) % MODULUS * p[:, n - a] % MODULUS
+    own = own * np.array([[pow(int(x), -1, int(MODULUS))] for x in p[:, n]], np.uint64) % MODULUS
+    mixed = (own[0] * np.uint64(0x9E3779B1) + own[1]) >> np.uint64(7) & np.uint64(0xFFFFFF)
+    return (mixed << np.uint64(16) | (b - a).astype(np.uint64) & np.uint64(0xFFFF)).astype(">u8").view(np.uint8).reshape(-1, 8)[:, 3:].tobytes().hex()
+
+
 def fingerprint(text: Prefixes | Joined) -> str:
-    """length . hash of the whole . prefixes . suffixes; equal texts have equal ones."""
+    """length . hash of the whole . prefixes . suffixes . spans; equal texts have equal ones."""
     n, at = text.n, LENGTHS[LENGTHS <= text.n]
     prefix = text.prefix if isinstance(text, Joined) else lambda k: text.h[:, k]
     whole, starts = prefix(np.array([n])), n - at
     suffix = (whole + MODULUS - prefix(starts)) % MODULUS * POWERS(n)[:, n - starts] % MODULUS
-    return f"{n:x}.{int(whole[0, 0]):08x}{int(whole[1, 0]):08x}.{short(prefix(at))}.{short(suffix)}"
+    return f"{n:x}.{int(whole[0, 0]):08x}{int(whole[1, 0]):08x}.{short(prefix(at))}.{short(suffix)}.{spans(text.h if isinstance(text, Prefixes) else prefix(np.arange(n + 1)))}"
 
 
 def _reach(a: str, b: str) -> int:
@@ -120,13 +144,18 @@ def _reach(a: str, b: str) -> int:
     return int(LENGTHS[low - 1]) if low else 0
 
 
+def _counted(spans_: str) -> Counter:
+    return Counter(spans_[i : i + 10] for i in range(0, len(spans_), 10))
+
+
 def likeness(a: str, b: str) -> float:
-    """0 to 1: common prefix and suffix of two texts as their fingerprints show them, by the longer text; 1 for equal ones."""
+    """0 to 1: shared spans, or common prefix and suffix, of two texts as their fingerprints show them, by the longer text; 1 for equal ones."""
     if a == b:
         return 1.0
     x, y = a.split("."), b.split(".")
     longer = max(int(x[0], 16), int(y[0], 16))
-    return min(_reach(x[2], y[2]) + _reach(x[3], y[3]), longer - 1) / longer
+    shared = sum(int(span[6:], 16) * n for span, n in (_counted(x[4]) & _counted(y[4])).items())
+    return min(max(shared, _reach(x[2], y[2]) + _reach(x[3], y[3])), longer - 1) / longer
 
 
 class Chain:

@@ -439,3 +439,15 @@ def test_texts_of_most_pages_are_constant():
     for page in html:
         x.place(matcher, layouts, matcher.sign(x.as_template(x.parse(page))))
     assert [x.main_text(page, layouts, matcher) for page in html] == [f"text {k}" if k % 5 < 3 else f"text {k}\n\nown {k}" for k in range(100)]
+
+
+def test_likeness_counts_spans_within():
+    from quillmesh.llm import fingerprints as fp
+
+    r = random.Random(4)
+    words = ["".join(r.choice("abcdefghij") for _ in range(6)) for _ in range(1000)]
+    mark = lambda at: fp.fingerprint(fp.Prefixes(" ".join("changed" if k in at else w for k, w in enumerate(words))))
+    other = fp.fingerprint(fp.Prefixes(" ".join(r.sample(words[::-1], 500) + ["".join(r.choice("klmnopqrst") for _ in range(6)) for _ in range(500)])))
+    assert fp.likeness(mark(()), mark((3, 996))) > 0.95 and fp.likeness(mark(()), mark(range(5, 1000, 100))) > 0.85
+    assert fp.likeness(mark(()), other) < 0.3
+    assert fp.likeness(fp.fingerprint(fp.Prefixes("")), mark(())) == 0
