@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import durable
+from ..session import forget, materialize
 
 
 def mentions(notes: DataFrame) -> DataFrame:
@@ -86,37 +86,44 @@ def pagerank(notes: DataFrame, resolved: DataFrame, damping: float = 0.85, itera
     e = edges(resolved).select(F.col("src_path").alias("src"), F.col("dst_path").alias("dst")).join(out, "src")
     n = max(notes.count(), 1)
     base = (1 - damping) / n
-    e = durable(e, "pr-edges")
-    scores = notes.select("path", F.lit(1.0 / n).alias("score"))
+    e = materialize(e, "pr-edges")
+    scores, last = notes.select("path", F.lit(1.0 / n).alias("score")), None
     for k in range(1, iterations + 1):
         pulled = e.join(scores, e.src == scores.path).groupBy("dst").agg(F.sum(F.col("score") / F.col("out")).alias("s"))
         new = notes.select("path").join(pulled, F.col("path") == F.col("dst"), "left").select("path", (F.lit(base) + damping * F.coalesce("s", F.lit(0.0))).alias("score"))
         if k % cut == 0 or k == iterations:
             if tolerance is not None:
-                new = durable(new.join(scores.withColumnRenamed("score", "was"), "path"), "pr-scores")
+                new = materialize(new.join(scores.withColumnRenamed("score", "was"), "path"), "pr-scores")
                 if (new.agg(F.max(F.abs(F.col("score") - F.col("was")))).first()[0] or 0) < tolerance:
                     scores = new.drop("was")
                     break
                 new = new.drop("was")
             else:
-                new = durable(new, "pr-scores")
+                new = materialize(new, "pr-scores")
+        if k % cut == 0 or k == iterations:
+            forget(*([last] if last is not None else []))
+            last = new
         scores = new
     top = scores.agg(F.max("score").alias("top"))
     return scores.join(F.broadcast(top)).select("path", F.when(F.col("top") > 0, F.col("score") / F.col("top")).otherwise(0.0).alias("score"))
 
 
-def connected_components(vertices: DataFrame, links: DataFrame, rounds: int = 40) -> DataFrame:
-    """(v, component): smallest vertex reachable over undirected links (a, b); labels spread with pointer jumping."""
-    both = durable(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
-    labels = durable(vertices.select("v", F.col("v").alias("component")), "cc-labels")
+def connected_components(vertices: DataFrame, links: DataFrame, rounds: int = 60) -> DataFrame:
+    """(v, component): smallest vertex reachable over undirected links (a, b); labels spread with pointer jumping. Labels
+    that still change after all rounds are an error."""
+    both = materialize(links.select("a", "b").union(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "cc-links")
+    labels = materialize(vertices.select("v", F.col("v").alias("component")), "cc-labels")
     for _ in range(rounds):
         near = both.join(labels, both.b == labels.v).groupBy("a").agg(F.min("component").alias("seen"))
         step = labels.join(near, labels.v == near.a, "left").select("v", F.least("component", "seen").alias("new"), F.col("component").alias("was"))
         jump = step.select(F.col("v").alias("new"), F.col("new").alias("further"))
-        labels = durable(step.join(jump, "new").select("v", F.least("new", "further").alias("component"), "was"), "cc-labels")
+        new = materialize(step.join(jump, "new").select("v", F.least("new", "further").alias("component"), "was"), "cc-labels")
+        forget(labels)
+        labels = new
         if not labels.filter("component <> was").limit(1).count():
-            break
-    return labels.select("v", "component")
+            forget(both)
+            return labels.select("v", "component")
+    raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
 def neighbourhood(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
@@ -126,7 +133,7 @@ def neighbourhood(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     frontier = seen
     for k in range(1, depth + 1):
         new = frontier.join(both, frontier.path == both.a).select(F.col("b").alias("path")).distinct().join(seen, "path", "left_anti")
-        frontier = durable(new.select("path", F.lit(k).alias("hops")), "bfs")
+        frontier = materialize(new.select("path", F.lit(k).alias("hops")), "bfs")
         seen = seen.union(frontier)
     return seen
 

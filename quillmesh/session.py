@@ -3,8 +3,11 @@
 from __future__ import annotations
 
 import os
+import re
+import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 #: UTC and ANSI-off arithmetic are part of the results; the rest is sizing and may be overridden.
 BASE_CONF = {
@@ -35,15 +38,44 @@ def table(spark: SparkSession, sf_dir: str, name: str):
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def durable(df, name: str = "table"):
-    """Writes df to the shared checkpoint folder and reads it back, which cuts lineage and survives lost executors.
+def shared_dir(spark: SparkSession) -> str:
+    """The folder for written intermediate tables: the cluster's spark.checkpoint.dir, or a local one in local mode (tests).
 
-    The folder is the cluster's spark.checkpoint.dir; a local one is used only where none is set, as in tests.
+    Elsewhere an unset one is an error: each executor would write to a disk of its own.
     """
-    import uuid
+    at = spark.conf.get("spark.checkpoint.dir", None)
+    if not at:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir is not set: executors need a folder that all of them share")
+        at = f"file://{tempfile.gettempdir()}/quillmesh-checkpoints"
+    return f"{at}/quillmesh"
 
+
+def _path(spark: SparkSession, at: str):
+    path = spark._jvm.org.apache.hadoop.fs.Path(at)
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
+
+
+def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | None = None) -> DataFrame:
+    """Writes df to the shared folder and reads it back, which cuts lineage: later stages survive lost executors and never
+    recompute it. The table is deleted by forget, or else when the application ends."""
     spark = df.sparkSession
-    at = spark.conf.get("spark.checkpoint.dir", None) or "file:///tmp/quillmesh-checkpoints"
-    path = f"{at}/quillmesh/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    at = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    writer = df.write.option("compression", "zstd")
+    if partition_by:
+        writer = writer.partitionBy(*partition_by)
+    writer.parquet(at)
+    fs, path = _path(spark, at)
+    fs.deleteOnExit(path)
+    back = spark.read.schema(df.schema).parquet(at)
+    back._quillmesh_path = at
+    return back
+
+
+def forget(*tables: DataFrame) -> None:
+    """Deletes materialized tables that nothing reads any more."""
+    for t in tables:
+        if at := getattr(t, "_quillmesh_path", None):
+            fs, path = _path(t.sparkSession, at)
+            fs.delete(path, True)
+            fs.cancelDeleteOnExit(path)
