@@ -1,54 +1,43 @@
-"""What the training-data operators share: durable intermediate tables, bounded Arrow batches and word hashing in numpy."""
+"""What the training-data operators share: written intermediate tables, bounded Arrow batches and word hashing in numpy."""
 
 from __future__ import annotations
 
-import uuid
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import SparkSession
+
+from ..session import forget, materialize  # noqa: F401
 
 #: Rows and bytes in one Arrow batch to Python; both bound a worker's memory.
 BATCH_ROWS, BATCH_BYTES = 2000, 8 << 20
 U64 = np.uint64
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder for cut lineage: the cluster's, or a local one where none is set (tests)."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    return f"{at or 'file:///tmp/quillmesh-checkpoints'}/quillmesh"
-
-
-def materialize(df: DataFrame, name: str, partition_by: list[str] | None = None) -> DataFrame:
-    """Writes df to the shared folder and reads it back: later stages survive lost executors and never recompute it."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    writer = df.write.option("compression", "zstd")
-    if partition_by:
-        writer = writer.partitionBy(*partition_by)
-    writer.parquet(path)
-    back = spark.read.schema(df.schema).parquet(path)
-    back._quillmesh_path = path
-    return back
-
-
-def forget(spark: SparkSession, *tables: DataFrame) -> None:
-    """Deletes materialized tables that nothing reads any more."""
-    jvm = spark._jvm
-    for t in tables:
-        at = getattr(t, "_quillmesh_path", None)
-        if at:
-            path = jvm.org.apache.hadoop.fs.Path(at)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
-
-
 def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH_BYTES) -> None:
     """Bounds what one Arrow batch carries to a Python worker."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def released(run):
+    """A function over batches that gives what memory it has freed back to the system when it ends: Python workers are used
+    again by other stages, and their peaks would add up."""
+
+    def whole(batches):
+        try:
+            yield from run(batches)
+        finally:
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+            if trim:
+                trim(0)
+
+    return whole
+
+
 def as_bytes(col: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     """A string or binary column's bytes and its n + 1 offsets, without a copy; a null counts as empty."""
     if isinstance(col, pa.ChunkedArray):

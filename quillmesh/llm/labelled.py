@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Documented bounds of the only sampled thing here, the rows a model learns from: per class, and bytes of each text.
-PER_CLASS, MAX_BYTES = 1500, 1 << 16
+#: Documented bounds of the only sampled thing here, the rows a model learns from: per class, bytes of each text, and bytes of a class.
+PER_CLASS, MAX_BYTES, CLASS_BYTES = 1500, 1 << 16, 16 << 20
 
 
 def held_out(doc_id: Column, modulus: int, rest: int) -> Column:
@@ -19,7 +19,8 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
 
     The sample is the per_class rows of least seeded hash of doc_id and text in each class, so it doesn't depend on the
     layout; repeated label rows count once, and a document whose labels differ counts as their maximum. Null labels and
-    ids are left out, as are texts above max_bytes. At most 2 * per_class * max_bytes bytes reach the driver.
+    ids are left out, as are texts above max_bytes, and what comes after CLASS_BYTES of a class's texts, so at most twice
+    that many bytes reach the driver.
     """
     known = labels.select(F.col("doc_id"), F.col(label).alias("y")).filter(F.col("y").isNotNull() & F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"), modulus, rest))
     known = known.groupBy("doc_id").agg(F.max("y").alias("y"))
@@ -32,7 +33,9 @@ def training_rows(docs: DataFrame, labels: DataFrame, label: str, modulus: int,
     rows = docs.select("doc_id", "text").filter(F.octet_length("text") <= max_bytes).join(F.broadcast(ids), "doc_id").select((F.col("y") > 0).cast("int").alias("y"), "text", F.xxhash64("doc_id", "text").alias("h"))
     texts: list[str] = []
     ys: list[int] = []
-    got = rows.filter("y = 0").orderBy("h").limit(per_class).union(rows.filter("y = 1").orderBy("h").limit(per_class)).collect()
+    some = rows.filter("y = 0").orderBy("h").limit(per_class).union(rows.filter("y = 1").orderBy("h").limit(per_class))
+    size = F.sum(F.octet_length("text")).over(Window.partitionBy("y").orderBy("h", "text").rowsBetween(Window.unboundedPreceding, 0))  # of 2 * per_class rows
+    got = some.withColumn("size", size).filter(F.col("size") <= CLASS_BYTES).collect()
     for r in sorted(got, key=lambda r: r["h"]):
         texts.append(r["text"])
         ys.append(r["y"])

@@ -17,7 +17,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from .common import as_bytes, bound_batches
+from .common import as_bytes, bound_batches, released
 
 #: Element identifiers of EBML and Matroska.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -227,4 +227,4 @@ def media_columns(docs: DataFrame) -> DataFrame:
     repeated; a null doc_id stays null. Columns other than doc_id and text are not read.
     """
     bound_batches(docs.sparkSession)
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_columns, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(released(_columns), SCHEMA)

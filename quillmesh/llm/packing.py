@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
-from .common import bound_batches
+from .common import bound_batches, released
 from .wordids import cached_ids
 
 TIERS, WINDOW = (256, 512, 1024, 2048), 2048
@@ -142,4 +142,4 @@ def pack_documents(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         packer.pack(last=True)
         yield packer.drain()
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(released(run), SCHEMA)

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, blocks, bound_batches
+from .common import Words, as_bytes, blocks, bound_batches, released
 from .labelled import held_out, prior_shift, training_rows
 
 BUCKETS, BINS, RANK = 1 << 15, 16, 8
@@ -148,7 +148,7 @@ def quality_scores(docs: DataFrame, model: FactorisationMachine, out: str = "sco
             data, offs = as_bytes(b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(data, offs, features), pa.float64())], names=[*names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
+    return docs.mapInArrow(released(run), docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:

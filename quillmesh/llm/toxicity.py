@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, blocks, bound_batches, mix
+from .common import U64, Words, as_bytes, blocks, bound_batches, mix, released
 from .labelled import held_out, prior_shift, training_rows
 
 WIDTH, STRIDE, HIDDEN, EMBEDDED = 32, 24, 8, 6
@@ -311,7 +311,7 @@ def toxicity_scores(docs: DataFrame, model: GatedNetwork, out: str = "score") ->
             data, offs = as_bytes(b.column("text"))
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(model.scores(data, offs, inputs), pa.float64())], names=[*names, out])
 
-    return docs.mapInArrow(run, docs.withColumn(out, F.lit(0.0)).schema)
+    return docs.mapInArrow(released(run), docs.withColumn(out, F.lit(0.0)).schema)
 
 
 def classify_toxicity(docs: DataFrame, labels: DataFrame) -> DataFrame:

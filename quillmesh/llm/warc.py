@@ -19,7 +19,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches, forget, materialize
+from .common import bound_batches, forget, materialize, released
 
 #: Fixed values of the Zstandard frame formats: skippable frames' magic numbers, and that of a seek table's end.
 INDEX_MAGIC, SEEK_MAGIC, SEEKABLE_END = 0x184D2A50, 0x184D2A5E, 0x8F92EAB1
@@ -105,6 +105,7 @@ class BundleReader:
         if struct.unpack("<II", bundle[start : start + 8]) != (INDEX_MAGIC, size - 8):
             raise ValueError("no record index before the seek table")
         self.index = json.loads(bundle[start + 8 : start + size])
+        self.places = {name: (f, at) for name, f, at in reversed(self.index)}  # of records of one name, the first
         self.bundle, self.codec, self.kept = bundle, zstandard.ZstdDecompressor(), (-1, b"")
 
     def frame(self, k: int) -> bytes:
@@ -114,7 +115,10 @@ class BundleReader:
         return self.kept[1]
 
     def find(self, identifier: str) -> tuple[dict[str, str], bytes] | None:
-        return next((parse(self.frame(f), at) for name, f, at in self.index if name == identifier), None)
+        if identifier not in self.places:
+            return None
+        f, at = self.places[identifier]
+        return parse(self.frame(f), at)
 
     def __iter__(self) -> Iterator[tuple[dict[str, str], bytes]]:
         for _, f, at in self.index:
@@ -176,12 +180,12 @@ def write_archives(pages: DataFrame, least: int = LEAST_REVISIT) -> DataFrame:
     again = long_.groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("c")).filter("c > 1 and first is not null").select("digest", "first")
     again = materialize(again, "warc-again")
     marked = rows.join(again, "digest", "left").withColumn("refers_to", F.when(~F.col("first").eqNullSafe(F.col("page_id")), F.col("first")))
-    written = materialize(marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(_write, BUNDLES), "warc")
-    forget(spark, again)
+    written = materialize(marked.select("page_id", "url", "html", "digest", "refers_to").mapInArrow(released(_write), BUNDLES), "warc")
+    forget(again)
     return written
 
 
 def read_archives(bundles: DataFrame) -> DataFrame:
     """Every record of bundles; see RECORDS. A payload that isn't what was written fails."""
     bound_batches(bundles.sparkSession, rows=4)
-    return bundles.select("bundle").mapInArrow(_read, RECORDS)
+    return bundles.select("bundle").mapInArrow(released(_read), RECORDS)

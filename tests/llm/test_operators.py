@@ -80,14 +80,36 @@ def test_near_duplicates_match_brute_force(spark, docs, make):
     assert all(r.kept == (r.doc_id == r.component_id) for r in got)
 
 
-def test_components_by_labels_equal_those_of_one_task(spark):
-    from quillmesh.llm.minhash import components
+@pytest.mark.parametrize("at_once", [1, 7, 200_000])
+def test_components_match_union_find(spark, monkeypatch, at_once):
+    from quillmesh.llm import minhash
 
+    monkeypatch.setattr(minhash, "FOREST_VERTICES", at_once)
     r = random.Random(3)
-    edges = [(bytes([r.randrange(60)]), bytes([r.randrange(60)])) for _ in range(40)]
-    df = spark.createDataFrame([(bytearray(a), bytearray(b)) for a, b in edges], "p binary, x binary")
-    a = {(bytes(x.v), bytes(x.root)) for x in components(df).collect()}
-    assert a == {(bytes(x.v), bytes(x.root)) for x in components(df, one_task=0).collect()}
+    name = lambda v: bytes([v // 256, v % 256])
+    edges = [(a, b) for a, b in [(r.randrange(300), r.randrange(300)) for _ in range(160)] + [(k, k + 1) for k in range(400, 460)] if a != b]
+    df = spark.createDataFrame([(bytearray(name(a)), bytearray(name(b))) for a, b in edges], "p binary, x binary").repartition(3)
+    up = {}
+
+    def find(v):
+        while up.setdefault(v, v) != v:
+            v = up[v]
+        return v
+
+    for a, b in edges:
+        a, b = sorted((find(a), find(b)))
+        up[b] = a
+    assert {(bytes(x.v), bytes(x.root)) for x in minhash.components(df).collect()} == {(name(v), name(find(v))) for v in up}
+    assert minhash.components(df.limit(0)).count() == 0
+
+
+def test_hot_keys_are_dealt_by_salts(spark, monkeypatch):
+    from quillmesh.llm import minhash
+
+    monkeypatch.setattr(minhash, "LEAST_HOT", 3)
+    rows = edited_copies(240, seed=5)
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()
+    assert {r.doc_id: (r.n_shingles, r.component_id) for r in got} == groups(rows)
 
 
 def test_near_duplicates_of_odd_rows(spark, odd):
@@ -203,6 +225,24 @@ def test_fingerprints_of_odd_rows(spark, odd):
     assert one.near_next == 1.0
 
 
+@pytest.mark.parametrize("part_rows", [2, 7, 10_000])
+def test_fingerprints_where_ids_are_null_or_repeat(spark, monkeypatch, part_rows):
+    from quillmesh.llm import fingerprints as fp
+
+    monkeypatch.setattr(fp, "PART_ROWS", part_rows)
+    rows = [(None, f"no id {k}") for k in range(30)] + [(7, f"seven {k % 9}") for k in range(30)] + [(k, f"own {k}") for k in range(-5, 5)] + [(2**62, None), (-(2**63), "least")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("part", F.lit("x")).withColumn("look", F.lit(1)).withColumn("k", F.lit(2)).withColumn("lane", F.lit(3)).repartition(5)
+    hashes = {r.text: r.h for r in spark.createDataFrame(rows, DOCS).select("text", F.xxhash64("text").alias("h")).collect()}
+    order = sorted(rows, key=lambda r: (-(r[0] if r[0] is not None else -(2**63)), hashes[r[1]] % 2**64))
+    edited = lambda a, b: a[: len(a) - len(a) // 2] + b[: len(a) // 2]
+    want = collections.Counter()
+    for k, (doc_id, text) in enumerate(order):
+        text, after = text or "", order[(k + 1) % len(order)][1] or ""
+        want[(doc_id, len(text), hashlib.sha256(edited(text, after).encode()).hexdigest(), round(fp.likeness(fp.fingerprint(fp.Prefixes(text)), fp.fingerprint(fp.Prefixes(after))), 9))] += 1
+    got = fp.fingerprint_documents(df)
+    assert collections.Counter((r.doc_id, r.n_chars, r.edited_sha256, round(r.near_next, 9)) for r in got.collect()) == want
+
+
 def test_spans_and_extensions():
     from quillmesh.llm.fingerprints import Prefixes, equal, extension
 
@@ -393,9 +433,66 @@ def test_near_dedup_drops_by_row(spark):
     import corpus_pipeline
 
     copy, own, other = ("a b c d e f g h", "own words of a row without an id", "other words of the id that repeats")
-    rows = [(1, copy), (None, copy), (None, own), (None, None), (2, copy), (2, other), (3, None)]
-    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), AT)
-    assert collections.Counter(map(tuple, got.collect())) == collections.Counter([(1, copy), (None, own), (None, None), (2, other), (3, None)])
+    rows = [(1, copy), (1, copy), (None, copy), (None, own), (None, own), (None, None), (2, copy), (2, other), (3, None), (3, None), (4, "")]
+    df = spark.createDataFrame(rows, DOCS).withColumn("rid", F.lit("clash")).withColumn("stays", F.lit(1)).withColumn("rows", F.lit(2)).withColumn("_row", F.lit(3))
+    got = corpus_pipeline.near_dedup(spark, df, AT)
+    assert got.columns == df.columns
+    assert collections.Counter((r.doc_id, r.text) for r in got.collect()) == collections.Counter([(1, copy), (None, own), (None, None), (2, other), (3, None), (3, None), (4, "")])
+
+
+def test_near_dedup_keeps_one_of_a_group_without_ids(spark):
+    import corpus_pipeline
+
+    words = [f"w{k}" for k in range(60)]
+    rows = [(None, " ".join(words)), (None, " ".join(words[:-1] + ["x"])), (7, "far other words than those above here")]
+    got = corpus_pipeline.near_dedup(spark, spark.createDataFrame(rows, DOCS), AT).collect()
+    assert len(got) == 2 and (7, rows[2][1]) in {(r.doc_id, r.text) for r in got}
+    same_id = [(5, rows[0][1]), (5, rows[1][1])]
+    assert corpus_pipeline.near_dedup(spark, spark.createDataFrame(same_id, DOCS), AT).count() == 1
+
+
+@pytest.mark.parametrize("stage", ["quality", "toxicity", "near_dedup", "packing"])
+def test_stages_of_odd_rows(spark, odd, stage):
+    import corpus_pipeline
+
+    run = dict(corpus_pipeline.STAGES)[stage]
+    got = run(spark, odd, AT)
+    rows = got.collect()
+    if stage == "packing":
+        assert collections.Counter(r.doc_id for r in rows if r.start == 0) == collections.Counter(d for d, _ in ODD)
+    else:
+        assert got.columns == odd.columns
+        assert not collections.Counter((r.doc_id, r.text) for r in rows) - collections.Counter(ODD)
+    if stage == "near_dedup":
+        # Three rows have the words a to e; empty texts and those without words stay.
+        assert len(rows) == len(ODD) - 2
+    assert run(spark, odd.limit(0), AT).count() == 0
+
+
+def test_run_equals_brute_force(spark):
+    import corpus_pipeline
+    import public_tokenizers as P
+    from tokenizers import Tokenizer
+
+    from quillmesh.llm import quality, toxicity
+
+    docs, labels = spark.read.parquet(f"{AT}/documents.parquet"), spark.read.parquet(f"{AT}/labels.parquet")
+    good = {r.doc_id for r in quality.classify_quality(docs, labels).filter("score >= 0.5").collect()}
+    clean = {r.doc_id for r in toxicity.classify_toxicity(docs, labels).filter(F.col("score") < toxicity.THRESHOLD).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect() if r.doc_id in good & clean}
+    stay = {d for d, (n, c) in groups(texts.items(), 5).items() if c == d or not n}
+    own = Tokenizer.from_file(P.path("word_bpe_49k.json"))
+    pieces = collections.defaultdict(list)
+    for r in corpus_pipeline.run(spark, AT).collect():
+        pieces[r.doc_id].append(r)
+    assert set(pieces) == stay and stay
+    for d, rows in pieces.items():
+        ids = np.array([*own.encode(texts[d] or "", add_special_tokens=False).ids, 1], "<u4")
+        at = 0
+        for r in sorted(rows, key=lambda r: r.start):
+            assert (r.start, r.ids_crc32) == (at, zlib.crc32(ids[at : at + r.length].tobytes()))
+            at += r.length
+        assert at == len(ids)
 
 
 def test_extraction_of_many_layouts_of_a_host(spark):
