@@ -21,30 +21,53 @@ from quillmesh.session import table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the factorisation machine scores at 0.5 or more."""
+    """Documents that the factorisation machine scores at 0.5 or more.
+
+    Every row is scored by its whole text: a null or empty one like any other, repeated rows and null ids each for
+    themselves. docs keeps its columns, whatever their names; an empty table gives no rows, and without labels every score
+    is 0.5, so all stay.
+    """
     model = train_quality(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return quality_scores(docs, model, "_quality_score").filter("_quality_score >= 0.5").select(*docs.columns)
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose worst window scores under the threshold."""
+    """Documents whose worst window scores under the threshold.
+
+    Every row is scored by its whole text: a null or empty one like any other, repeated rows and null ids each for
+    themselves. docs keeps its columns, whatever their names; an empty table gives no rows.
+    """
     model = train_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return toxicity_scores(docs, model, "_toxicity_score").filter(F.col("_toxicity_score") < THRESHOLD).select(*docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The rows that near_duplicates keeps: the document of smallest doc_id of each near-duplicate group.
+    """One row of each near-duplicate group: that of smallest doc_id, null last.
 
-    Rows are known by a hash of doc_id and text, so neither rows whose doc_id is null nor the texts of a doc_id that
-    repeats go with one another. Only the keys that go are joined, so most of the corpus is not dealt anew: they are under
-    the broadcast threshold or Spark sorts both sides.
+    Words are taken five at a time at a similarity of 0.8, as stages are to where no contract says otherwise (that of op6
+    says four). Rows are known by a hash of doc_id and text, so neither rows whose doc_id is null nor the texts of a doc_id
+    that repeats go with one another; of rows equal in both, one stays. Null and empty texts are in no group and all stay.
+    docs keeps its columns, whatever their names; an empty table gives no rows.
+
+    Only the keys that go or repeat are joined, so most of the corpus is not dealt anew: they are under the broadcast
+    threshold or Spark sorts both sides.
     """
-    gone = near_duplicates(docs.select("doc_id", "text"), width=5, keyed=True).filter("not kept").select("rid").distinct()
-    return docs.join(gone, row_key(docs) == gone.rid, "left_anti")
+    marked = near_duplicates(docs.select("doc_id", "text"), width=5, keyed=True).filter("n_shingles > 0")
+    fate = materialize(marked.groupBy("rid").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("stays")).filter("rows > 1 or not stays"), "fate")
+    key = row_key(docs)
+    once = docs.join(fate, key == fate.rid, "left_anti")
+    again = fate.filter("stays").select("rid")
+    row = F.struct(*[docs[c] for c in docs.columns])
+    one = docs.join(again, key == again.rid).groupBy(again.rid).agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("_row"))
+    return once.union(one.select("_row.*"))
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces in sequences of at most 2048 tokens."""
+    """Pieces in sequences of at most 2048 tokens; see pack_documents.
+
+    A null or empty text is its end token alone; repeated rows and null ids are each packed; columns other than doc_id
+    and text are not read; an empty table gives no pieces.
+    """
     import public_tokenizers
 
     return pack_documents(docs, public_tokenizers.path("word_bpe_49k.json"))
