@@ -17,14 +17,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, released
 
 MODULUS, BASES = np.uint64(2**31 - 1), (911_382_323, 972_663_749)
 LENGTHS = np.unique(np.ceil(2 ** (np.arange(0, 160) / 4)).astype(np.int64))
-PART_ROWS, MOST_PARTS = 8192, 4096
+PART_ROWS, MOST_PARTS, SAMPLED = 8192, 16_384, 40
 #: Code points that decide on a cut, and one place in how many is one.
 WINDOW, APART = 8, 24
 SCHEMA = "doc_id long, n_chars long, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double, common_edited long, common_next long"
@@ -200,15 +200,31 @@ def _run(batches):
         yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=names)
 
 
-def _above(key: Column, bounds: list[int]) -> Column:
-    """How many of the sorted bounds are below key: a coarse count, then one within the stretch."""
+def _position(doc_id: Column, text: Column) -> Column:
+    """Where a row stands, as 32 hex digits that sort like it: doc_id descending, null last, then a hash of the text."""
+    back = F.bitwise_not(F.coalesce(doc_id, F.lit(-(2**63)))).bitwiseXOR(F.lit(-(2**63)))
+    return F.concat(*[F.lpad(F.hex(c), 16, "0") for c in (back, F.xxhash64(text))])
+
+
+def _at_or_above(position: Column, bounds: list[str]) -> Column:
+    """How many of the sorted bounds aren't above a position: a coarse count, then one within the stretch."""
     if not bounds:
         return F.lit(0)
     step = max(1, int(len(bounds) ** 0.5))
-    count = lambda xs, when: F.size(F.filter(xs, when))
-    whole = F.lit(np.array(bounds, np.int64))
-    coarse = count(F.lit(np.array(bounds[step - 1 :: step], np.int64)), lambda b: b < key) * step
-    return coarse + count(F.slice(whole, coarse + 1, F.lit(step)), lambda b: b < key)
+    count = lambda xs: F.size(F.filter(xs, lambda b: b <= position))
+    coarse = count(F.array(*map(F.lit, bounds[step - 1 :: step]))) * step
+    return coarse + count(F.slice(F.array(*map(F.lit, bounds)), coarse + 1, F.lit(step)))
+
+
+def _lanes(spark: SparkSession, parts: int) -> list[int]:
+    """A number for each part by whose hash Spark deals it to a partition of its own."""
+    lane, found, start = F.pmod(F.hash("id"), F.lit(parts)), {}, 0
+    while len(found) < parts:
+        some = spark.range(start, start + 16 * parts + 64).select("id", lane.alias("lane")).groupBy("lane").agg(F.min("id").alias("id"))
+        for r in some.collect():
+            found.setdefault(r["lane"], r["id"])
+        start += 16 * parts + 64
+    return [found[k] for k in range(parts)]
 
 
 def fingerprint_documents(docs: DataFrame) -> DataFrame:
@@ -218,25 +234,26 @@ def fingerprint_documents(docs: DataFrame) -> DataFrame:
     repeated rows are each other's next. A null text is empty; the only document's next is itself; an empty table gives
     no rows. Columns other than doc_id and text are not read.
 
-    Documents are dealt once, into ranges of doc_id between quantiles (at most MOST_PARTS - 1 numbers on the driver), and
-    streamed in order. A range's last document needs the first of the next range: that is the one at the bound, which is
-    dealt to both.
+    Documents are dealt once, by doc_id and text hash, so that a doc_id that many share is no one task's load, into
+    ranges between places of a seeded sample (SAMPLED places a range and MOST_PARTS ranges at most, on the driver), a
+    range a task, and streamed in order. A range's last document needs the first of the next range: that is the one at the
+    bound, which is dealt to both. Rows equal in doc_id and text stay together; a task holds two texts, however many.
     """
     spark = docs.sparkSession
     bound_batches(spark)
-    key = F.coalesce(docs["doc_id"].cast("long"), F.lit(-(2**63)))
-    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", key.alias("k"))
-    n = rows.count()
-    parts = max(1, min(MOST_PARTS, n // PART_ROWS))
-    shares = [i / parts for i in range(1, parts)]
-    edges = rows.agg(F.max("k").alias("top"), F.percentile_approx("k", shares or [0.5], 20 * parts + 1000).alias("b")).first()
-    bounds = sorted({b for b in (edges["b"] or []) if b < edges["top"]}) if shares else []
-    part = _above(F.col("k"), bounds)
-    # The first of the whole order closes range 0; the document at a bound closes the range above it.
-    also = F.when(F.col("k") == F.lit(edges["top"]), F.array(part, F.lit(0))).otherwise(F.array(part)) if edges["top"] is not None else F.array(part)
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").withColumn("k", _position(F.col("doc_id"), F.col("text")))
+    sums = rows.agg(F.count("*").alias("n"), F.min("k").alias("first")).first()
+    parts = max(1, min(MOST_PARTS, -(-sums["n"] // PART_ROWS)))
+    sample = []
+    if parts > 1:
+        sample = sorted(r["k"] for r in rows.select("k").orderBy(F.xxhash64("k", F.monotonically_increasing_id())).limit(SAMPLED * parts).collect())
+    bounds = sorted({sample[len(sample) * i // parts] for i in range(1, parts)} - {sums["first"]}) if sample else []
+    part = _at_or_above(F.col("k"), bounds)
+    # The first of the whole order closes the last range; the document at a bound closes the range below it.
+    before = F.when(F.col("k") == F.lit(sums["first"]), F.lit(len(bounds)))
     if bounds:
-        at_bound = F.array_contains(F.lit(np.array(bounds, np.int64)), F.col("k"))
-        also = F.when(at_bound, F.array(part, part + 1)).otherwise(also)
-    dealt = rows.select("*", F.posexplode(also).alias("look", "part")).repartition(max(1, len(bounds) + 1), "part")
-    ordered = dealt.sortWithinPartitions("part", "look", F.desc("k"), F.xxhash64("text"))
-    return ordered.select("part", "look", "doc_id", "text").mapInArrow(_run, SCHEMA)
+        before = before.when(F.col("k").isin(bounds), part - 1)
+    lanes = F.array(*map(F.lit, _lanes(spark, len(bounds) + 1)))
+    dealt = rows.select("*", F.posexplode(F.array_compact(F.array(part, before))).alias("look", "part")).withColumn("lane", F.element_at(lanes, F.col("part") + 1).cast("long"))
+    ordered = dealt.repartition(len(bounds) + 1, "lane").sortWithinPartitions("part", "look", "k")
+    return ordered.select("part", "look", "doc_id", "text").mapInArrow(released(_run), SCHEMA)
