@@ -14,7 +14,7 @@ later reads never draw anew. Nothing reaches the driver but one row of sums.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -73,8 +73,7 @@ def shard_slots(docs: DataFrame, shards: int = 40, *, seed: int = SEED) -> DataF
         rendezvous(F.col("doc_id"), shards + 1, seed).alias("grown_shard"),
     )
     counts = written.groupBy("shard", "bucket").agg(F.count("*").alias("n"))
-    # A shard's bucket counts are summed up in an array: a few bytes for each bucket, of which a shard has its share.
-    lists = counts.groupBy("shard").agg(F.array_sort(F.collect_list(F.struct("bucket", "n"))).alias("b"))
-    sums = F.aggregate("b", F.array(F.lit(0).cast("long")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x["n"])))
-    before = lists.select(F.explode(F.arrays_zip("b", F.slice(sums, F.lit(1), F.size("b")).alias("before"))).alias("x")).select("x.b.bucket", "x.before")
+    # A shard's bucket counts: a few bytes for each bucket, sorted and summed as they stream by.
+    earlier = Window.partitionBy("shard").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    before = counts.select("bucket", F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("before"))
     return light.join(before, "bucket").select("doc_id", "size", "text_crc32", "law", "shard", (F.col("before") + F.col("place")).alias("slot"), "grown_shard")
