@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import bound_batches
+from .common import bound_batches, released
 
 FREQUENT, SAMPLED_DOCS, CACHED, LONGEST = 8_000, 1000, 300_000, 40
 RANK_BUCKETS = 8192
@@ -222,12 +222,21 @@ class TextEncoder:
         return [b"".join(map(get, p)) for p in parts]
 
 
-_KEPT: dict[tuple, TextEncoder] = {}
+_KEPT: dict[bytes, TextEncoder] = {}
 
 
-def text_encoder(ranks: dict[bytes, int], pattern: str, frequent: dict[str, bytes]) -> TextEncoder:
-    """This process's encoder: a Python worker keeps it, and what it has cached, from task to task."""
-    key = len(ranks), hash(pattern), len(frequent), hash(frozenset(frequent.items()))
+def vocabulary_key(ranks: dict[bytes, int], pattern: str, frequent: dict[str, bytes]) -> bytes:
+    """What tells vocabularies, patterns and ready words apart, whatever their sizes."""
+    h = hashlib.sha256(pattern.encode())
+    for piece, rank in sorted(ranks.items()):
+        h.update(b"%d:%d:%b" % (rank, len(piece), piece))
+    for word, ids in sorted(frequent.items()):
+        h.update(b"%d:%b%d:%b" % (len(word.encode()), word.encode(), len(ids), ids))
+    return h.digest()
+
+
+def text_encoder(key: bytes, ranks: dict[bytes, int], pattern: str, frequent: dict[str, bytes]) -> TextEncoder:
+    """This process's encoder of a vocabulary_key: a Python worker keeps it, and what it has cached, from task to task."""
     if key not in _KEPT:
         _KEPT.clear()
         _KEPT[key] = TextEncoder(ranks, pattern, frequent)
@@ -254,9 +263,10 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
     """
     bound_batches(docs.sparkSession)
     frequent = frequent_words(docs, ranks, pattern)
+    key = vocabulary_key(ranks, pattern, frequent)
 
     def run(batches):
-        encode = text_encoder(ranks, pattern, frequent)
+        encode = text_encoder(key, ranks, pattern, frequent)
         pieces = [b""] * (max(ranks.values()) + 1)
         for piece, rank in ranks.items():
             pieces[rank] = piece
@@ -270,4 +280,4 @@ def encode_documents(docs: DataFrame, ranks: dict[bytes, int], pattern: str) ->
                     decoded.append(hashlib.sha256(b"".join(map(get, np.frombuffer(raw, "<u4").tolist()))).hexdigest())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(run, SCHEMA)
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(released(run), SCHEMA)
