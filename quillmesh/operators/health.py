@@ -72,23 +72,29 @@ def duplicate_links(resolved: DataFrame) -> DataFrame:
 
 
 #: Parts of a length band.
-BAND_PARTS = 16
+BAND_PARTS = 32
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6, k: int = 5) -> DataFrame:
     """For each left text its k most similar right texts by Levenshtein similarity: text, other, similarity, rank.
 
     Texts are normalized-distinct first. A pair can only reach the threshold if its lengths differ by at most (1 - t) of
-    the longer, so pairs are found by equal length bands rather than by a cross join: a text asks each length it may have.
-    Each band is dealt in BAND_PARTS by a hash of the right text, so texts of one length are not one task's load.
+    the longer, so pairs are found by equal length bands, dealt in BAND_PARTS by a hash of the right text so that texts of one
+    length are not one task's load. Distances are only counted up to what the threshold allows. Within a band all pairs are
+    compared: what is alike to .6 need share no rare part by which fewer could be found.
     """
     a = left.select("text").distinct().withColumn("l", F.length("text"))
     b = right.select(F.col("text").alias("other")).distinct().withColumn("m", F.length("other")).withColumn("deal", F.pmod(F.xxhash64("other"), F.lit(BAND_PARTS)).cast("int"))
     low, high = F.ceil(F.col("l") * threshold - 1e-9).cast("int"), F.floor(F.col("l") / threshold + 1e-9).cast("int")
-    asked = a.select("text", F.explode(F.sequence(low, high)).alias("m")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))))
-    sim = S.levenshtein_similarity("text", "other")
-    pairs = asked.join(b, ["m", "deal"]).withColumn("similarity", F.round(sim, 6)).filter(F.col("similarity") >= threshold)
-    return pairs.select("text", "other", "similarity", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "other")).alias("rank")).filter(F.col("rank") <= k)
+    asked = a.select("text", "l", F.explode(F.sequence(low, high)).alias("m")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))))
+    pairs = asked.join(b, ["m", "deal"])
+    longest = F.greatest("l", "m")
+    most = F.floor(longest * (1 - threshold) + 1e-9).cast("int")
+    distance = F.call_function("levenshtein", F.lower("text"), F.lower("other"), most)
+    near = pairs.select("text", "other", distance.alias("d"), longest.alias("longest")).filter("d >= 0")
+    sim = F.when(F.col("longest") == 0, 1.0).otherwise(1.0 - F.col("d") / F.greatest("longest", F.lit(1)))
+    near = near.select("text", "other", F.round(sim, 6).alias("similarity")).filter(F.col("similarity") >= threshold)
+    return near.select("text", "other", "similarity", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "other")).alias("rank")).filter(F.col("rank") <= k)
 
 
 def link_issues(notes: DataFrame, resolved: DataFrame, threshold: float = 0.6) -> DataFrame:

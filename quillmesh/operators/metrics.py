@@ -10,28 +10,27 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 
 
-def _found(retrieved: Column, expected: Column, k: int) -> Column:
-    """0/1 for each of the first k retrieved."""
-    return F.transform(F.slice(retrieved, 1, k), lambda p: F.array_contains(expected, p).cast("int"))
-
-
 def search_item_metrics(items: DataFrame, k: int = 10) -> DataFrame:
-    """items (retrieved, expected) with hit_at_1, hit_at_k, reciprocal_rank, recall_at_k and ndcg_at_k by normalized path."""
-    got = F.transform("retrieved", T.normalize_path)
-    want = F.array_distinct(F.transform("expected", T.normalize_path))
-    rel = _found(got, want, k)
-    first = F.array_position(F.transform(got, lambda p: F.array_contains(want, p).cast("int")), 1)
-    gain = F.aggregate(F.transform(rel, lambda r, i: r / F.log2(i + 2)), F.lit(0.0), lambda s, x: s + x)
-    best = F.aggregate(F.transform(F.sequence(F.lit(1), F.greatest(F.least(F.size(want), F.lit(k)), F.lit(1))), lambda i: 1 / F.log2(i + 1)), F.lit(0.0), lambda s, x: s + x)
-    some = F.size(want) > 0
-    return items.select(
-        "*",
-        F.when(some & (F.size(rel) > 0), F.element_at(rel, 1)).otherwise(0).alias("hit_at_1"),
-        F.when(some, F.greatest(F.array_max(rel), F.lit(0))).otherwise(0).alias("hit_at_k"),
-        F.when(some & (first > 0), 1 / first).otherwise(0.0).alias("reciprocal_rank"),
-        F.when(some, F.size(F.array_intersect(want, F.slice(got, 1, k))) / F.size(want)).otherwise(0.0).alias("recall_at_k"),
+    """items (retrieved, expected) with hit_at_1, hit_at_k, reciprocal_rank, recall_at_k and ndcg_at_k by normalized path.
+
+    Normal forms, and the places of hits among all that was retrieved, are columns of their own, so they are made once.
+    """
+    i = items.withColumns({"_got": F.transform("retrieved", T.normalize_path), "_want": F.array_distinct(F.transform("expected", T.normalize_path))})
+    places = F.filter(F.transform("_got", lambda p, i: F.when(F.array_contains("_want", p), i + 1)), lambda i: i.isNotNull())
+    i = i.withColumns({"_at": places, "_n": F.size("_want"), "_met": F.size(F.array_intersect("_want", F.slice("_got", 1, k)))})
+    first = F.try_element_at("_at", F.lit(1))
+    gain = F.aggregate(F.filter("_at", lambda i: i <= k), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1))
+    best = F.element_at(F.array(*[F.lit(idcg(n)) for n in range(1, k + 1)]), F.greatest(F.least("_n", F.lit(k)), F.lit(1)))
+    some = F.col("_n") > 0
+    out = i.select(
+        *items.columns,
+        F.when(some & (first == 1), 1).otherwise(0).alias("hit_at_1"),
+        F.when(some & (first <= k), 1).otherwise(0).alias("hit_at_k"),
+        F.when(some & first.isNotNull(), 1 / first).otherwise(0.0).alias("reciprocal_rank"),
+        F.when(some, F.col("_met") / F.col("_n")).otherwise(0.0).alias("recall_at_k"),
         F.when(some, gain / best).otherwise(0.0).alias("ndcg_at_k"),
     )
+    return out
 
 
 def search_summary(items: DataFrame, by: list[str] | None = None) -> DataFrame:

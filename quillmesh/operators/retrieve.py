@@ -7,60 +7,100 @@ text or vector. Per-query maxima and ranks are windows over query_id.
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 K1, B = 1.2, 0.75
 #: Queries that travel with the tasks at once; more are done in blocks of so many.
-QUERY_BLOCK = 2048
+QUERY_BLOCK, TERM_BLOCK = 2048, 256
+
+
+def _blocks(rows: DataFrame, key: str, size: int):
+    """Rows in order of a key, in lists that end where the key changes after `size` keys; the driver holds one at a time."""
+    held, names = [], set()
+    for r in rows.orderBy(key).toLocalIterator():
+        if r[key] not in names and len(names) == size:
+            yield held
+            held, names = [], set()
+        names.add(r[key])
+        held.append(r)
+    yield held
+
+
+def _over_blocks(blocks, run) -> DataFrame:
+    """run(block) of every block: of a single one as it is, of more as written tables, one after another."""
+    found = last = None
+    for block in blocks:
+        if last is not None:
+            done = materialize(run(last), "topk")
+            found = done if found is None else found.union(done)
+        last = block
+    return run(last) if found is None else found.union(run(last))
+
+
+class _Best:
+    """The k best rows of each query so far, by score and then by name."""
+
+    def __init__(self, queries: int, k: int):
+        self.k, self.floor, self.size = k, np.full(queries, -np.inf), 0
+        self.held: list[pd.DataFrame] = []
+
+    def add(self, scores: np.ndarray, names: np.ndarray, least: float = -np.inf) -> None:
+        """Scores of queries x rows."""
+        q, r = np.nonzero((scores >= self.floor[:, None]) & (scores > least))
+        self.held.append(pd.DataFrame({"q": q, "name": names[r], "score": scores[q, r]}))
+        self.size += len(q)
+        if self.size > 50 * self.k * len(self.floor) + 100_000:
+            self.cut()
+
+    def cut(self) -> pd.DataFrame:
+        rows = pd.concat(self.held) if self.held else pd.DataFrame({"q": np.zeros(0, int), "name": np.zeros(0, int), "score": np.zeros(0)})
+        rows = rows.groupby(["q", "name"], as_index=False, sort=False)["score"].max()
+        rows = rows.sort_values(["q", "score", "name"], ascending=[True, False, True]).groupby("q").head(self.k)
+        counts = rows.groupby("q")["score"].agg(["size", "min"])
+        full = counts[counts["size"] == self.k]
+        self.floor[full.index] = full["min"]
+        self.held, self.size = [rows], 0
+        return rows
 
 
 def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "chunk_id", vec_col: str = "embedding") -> DataFrame:
     """query_id, id, similarity and rank of each query's k most similar chunks; ties go to the smaller id.
 
-    Queries (query_id, vector) are taken in blocks of QUERY_BLOCK; each task keeps the k best of what it scans, so only k
-    rows a query and task are shuffled. Similarity is the cosine, at least 0, 0 for zero vectors; rounded to 1e-6 before
-    ranking, so that the order of additions doesn't matter.
+    Queries (query_id, vector) are taken in blocks of QUERY_BLOCK, of which the driver holds one; each task keeps the k best
+    of what it scans, so only k rows a query and task are shuffled. Similarity is the cosine, at least 0, 0 for zero vectors;
+    rounded to 1e-6 before ranking, so that the order of additions doesn't matter. Chunks without a vector are left out.
     """
-    rows = queries.select("query_id", "vector").orderBy("query_id").collect()
-    blocks = []
-    for a in range(0, max(len(rows), 1), QUERY_BLOCK):
-        part = rows[a : a + QUERY_BLOCK]
-        ids = np.array([r["query_id"] for r in part], np.int64)
-        m = np.array([r["vector"] for r in part], np.float64).reshape(len(part), -1)
+
+    def block(rows: list) -> DataFrame:
+        ids = np.array([r["query_id"] for r in rows], np.int64)
+        m = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
         length = np.sqrt((m * m).sum(axis=1, keepdims=True))
-        blocks.append(_topk_block(chunks, ids, m / np.where(length > 0, length, 1), k, id_col, vec_col))
-    found = blocks[0]
-    for b in blocks[1:]:
-        found = found.union(b)
+        return _topk_block(chunks, ids, m / np.where(length > 0, length, 1), k, id_col, vec_col)
+
+    found = _over_blocks(_blocks(queries.select("query_id", "vector"), "query_id", QUERY_BLOCK), block)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 
 def _topk_block(chunks: DataFrame, ids: np.ndarray, unit: np.ndarray, k: int, id_col: str, vec_col: str) -> DataFrame:
     def run(batches):
-        best: list[tuple[np.ndarray, np.ndarray]] = [(np.zeros(0), np.zeros(0, np.int64))] * len(ids)
+        best = _Best(len(ids), k)
         for b in batches:
             if not b.num_rows or not len(ids):
                 continue
-            names = b.column(id_col).to_numpy()
-            vectors = b.column(vec_col)
-            m = vectors.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
+            m = b.column(vec_col).flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(b.num_rows, -1)
             if m.shape[1] != unit.shape[1]:
                 raise ValueError(f"vectors differ in size: {m.shape[1]} and {unit.shape[1]}")
             length = np.sqrt((m * m).sum(axis=1))
-            scores = np.round(np.maximum(unit @ m.T / np.where(length > 0, length, 1), 0), 6)
-            for q in range(len(ids)):
-                s, n = np.concatenate((best[q][0], scores[q])), np.concatenate((best[q][1], names))
-                keep = np.lexsort((n, -s))[:k]
-                best[q] = s[keep], n[keep]
-        yield pa.RecordBatch.from_arrays(
-            [pa.array(np.repeat(ids, [len(s) for s, _ in best])), pa.array(np.concatenate([n for _, n in best]).astype(np.int64) if len(ids) else np.zeros(0, np.int64)), pa.array(np.concatenate([s for s, _ in best]) if len(ids) else np.zeros(0))],
-            names=["query_id", id_col, "similarity"],
-        )
+            best.add(np.round(np.maximum(unit @ m.T / np.where(length > 0, length, 1), 0), 6), b.column(id_col).to_numpy())
+        rows = best.cut()
+        yield pa.RecordBatch.from_arrays([pa.array(ids[rows["q"].to_numpy(int)]), pa.array(rows["name"].to_numpy(np.int64)), pa.array(rows["score"].to_numpy(float))], names=["query_id", id_col, "similarity"])
 
     return chunks.select(F.col(id_col).cast("long").alias(id_col), vec_col).filter(F.col(vec_col).isNotNull()).mapInArrow(run, f"query_id long, {id_col} long, similarity double")
 
@@ -94,6 +134,59 @@ def bm25_scores(chunks: DataFrame, terms: DataFrame, id_col: str = "chunk_id", n
     return chunk.groupBy("query_id", note_col).agg(F.round(F.max("s"), 6).alias("score"))
 
 
+def bm25_best(chunks: DataFrame, terms: DataFrame, k: int, id_col: str = "chunk_id", note_col: str = "note_id", text_col: str = "content") -> DataFrame:
+    """The k best notes (long ids) of each query by bm25_scores: query_id, note, score, rank; ties go to the smaller note.
+
+    Chunks are tokenized once: how often each has the queries' words is a written table, from which document frequencies
+    are counted. Then each task multiplies its chunks' weights with the weights of a block of queries and keeps k notes a
+    query, so that neither postings nor scores are shuffled. Terms (query_id, term, weight) are taken in blocks of
+    TERM_BLOCK queries, of which the driver holds one.
+    """
+    asked = terms.select("term").distinct()
+    one = chunks.select(F.col(id_col).alias("c"), F.col(note_col).cast("long").alias("note"), F.length(text_col).alias("len"), T.tokenize(text_col).alias("t"))
+    stats = chunks.agg(F.countDistinct(note_col).alias("n"), F.avg(F.length(text_col)).alias("mean_len")).first()
+    found = one.select("c", "note", "len", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("c", "note", "len", "term").agg(F.count("*").alias("tf"))
+    post = materialize(found.groupBy("c", "note", "len").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs")), "postings")
+    df = post.select("note", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("note").alias("df"))
+    weighted = terms.join(df, "term").select("query_id", "term", (F.col("weight") * F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
+    mean_len = stats["mean_len"] or 1.0
+
+    def block(rows: list) -> DataFrame:
+        queries = sorted({r["query_id"] for r in rows})
+        place, words = {q: i for i, q in enumerate(queries)}, {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+        weights = np.zeros((len(words), len(queries)))
+        for r in rows:
+            weights[words[r["term"]], place[r["query_id"]]] += r["w"]
+
+        def run(batches):
+            best = _Best(len(queries), k)
+            for b in batches:
+                if not b.num_rows or not queries:
+                    continue
+                lists, notes = b.column("terms"), b.column("note").to_numpy()
+                size = np.repeat(b.column("len").to_numpy().astype(float), lists.value_lengths().to_numpy())
+                row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
+                word = np.array([words.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
+                tf = b.column("tfs").flatten().to_numpy().astype(float)
+                weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_len))
+                row, word, weight = row[word >= 0], word[word >= 0], weight[word >= 0]
+                cuts = [*np.flatnonzero(np.diff(row // 64)) + 1, len(row)]
+                start = 0
+                for end in cuts:  # of 64 chunks at a time
+                    if end > start:
+                        firsts = np.concatenate(([0], np.flatnonzero(np.diff(row[start:end])) + 1))
+                        scores = np.add.reduceat(weights[word[start:end]] * weight[start:end, None], firsts, axis=0)
+                        best.add(np.round(scores.T, 6), notes[row[start:end][firsts]], 0.0)
+                    start = end
+            rows_ = best.cut()
+            yield pa.RecordBatch.from_arrays([pa.array([queries[q] for q in rows_["q"]], pa.int64()), pa.array(rows_["name"].to_numpy(np.int64)), pa.array(rows_["score"].to_numpy(float))], names=["query_id", note_col, "score"])
+
+        return post.mapInArrow(run, f"query_id long, {note_col} long, score double")
+
+    scored = _over_blocks(_blocks(weighted, "query_id", TERM_BLOCK), block)
+    return top_per_query(scored.groupBy("query_id", note_col).agg(F.max("score").alias("score")), k, tie=note_col)
+
+
 def top_per_query(scores: DataFrame, k: int, score: str = "score", tie: str = "note_id") -> DataFrame:
     return scores.withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc(score), tie))).filter(F.col("rank") <= k)
 
@@ -129,7 +222,66 @@ def finish(hits: DataFrame, min_score: float = 0.3, k: int = 10) -> DataFrame:
 
 
 def rerank_blend(hits: DataFrame, judged: Column, top: int = 10) -> DataFrame:
-    """.7 * judged / 10 + .3 * final for each query's first `top` hits; an unjudged (null) one keeps its score."""
+    """.7 * judged / 10 + .3 * final for each query's first `top` hits, judged taken between 0 and 10.
+
+    A hit that is unjudged (null) or judged 0 keeps its score, so where a judge fails the order stays.
+    """
     ranked = hits.withColumn("original_rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("final_score"), "note_id")))
-    blend = F.when((F.col("original_rank") <= top) & judged.isNotNull(), 0.7 * judged / 10 + 0.3 * F.col("final_score")).otherwise(F.col("final_score"))
+    said = F.least(F.greatest(judged, F.lit(0.0)), F.lit(10.0))
+    blend = F.when((F.col("original_rank") <= top) & (said > 0), 0.7 * said / 10 + 0.3 * F.col("final_score")).otherwise(F.col("final_score"))
     return ranked.withColumn("reranked_score", blend).withColumn("rank", F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("original_rank") > top, F.desc("reranked_score"), "original_rank")))
+
+
+def model_json(text: Column | str) -> Column:
+    """The JSON of a model's answer: that of its fenced block, else the whole, else from the first brace or bracket to the
+    last; null where none of them is JSON."""
+    t = T.col(text)
+    fenced = F.regexp_extract(t, r"(?s)```(?:json)?\s*(.*?)```", 1)
+    tries = [F.trim(fenced), F.trim(t), F.regexp_extract(t, r"(?s)\{.*\}", 0), F.regexp_extract(t, r"(?s)\[.*\]", 0)]
+    return F.coalesce(*[F.when((x != "") & F.rlike(x, F.lit(r"(?s)^[\[{]")) & F.try_parse_json(x).isNotNull(), x) for x in tries])
+
+
+def judged_scores(answer: Column | str, default: float = 5.0) -> Column:
+    """array<struct<index, score>> of a judge's answer, an array of objects or an object with one in `rankings`; scores taken
+    between 0 and 10, `default` where there is none; null for an answer that can't be read."""
+    json = model_json(answer)
+    kind = "array<struct<index:int,score:double>>"
+    rows = F.coalesce(F.when(F.startswith(json, F.lit("[")), F.from_json(json, kind)), F.from_json(F.get_json_object(json, "$.rankings"), kind))
+    return F.transform(F.filter(rows, lambda r: r["index"].isNotNull()), lambda r: F.struct(r["index"].alias("index"), F.least(F.greatest(F.coalesce(r["score"], F.lit(default)), F.lit(0.0)), F.lit(10.0)).alias("score")))
+
+
+def llm_rerank(hits: DataFrame, judge, top: int = 10) -> DataFrame:
+    """rerank_blend by a judge: judge(prompts: pandas Series of a query's first `top` notes as text) -> Series of answers.
+
+    hits need query_id, note_id, final_score, title and preview. One answer a query; an answer that can't be read, or a note
+    that it leaves out, keeps the scores as they are.
+    """
+    order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "note_id")
+    first = hits.withColumn("index", F.row_number().over(order)).filter(F.col("index") <= top)
+    lines = F.transform(F.array_sort(F.collect_list(F.struct("index", "title", "preview"))), lambda r: F.concat(F.lit("["), r["index"].cast("string"), F.lit("] "), r["title"], F.lit(": "), r["preview"]))
+    ask = F.pandas_udf(judge, "string")
+    asked = first.groupBy("query_id").agg(F.array_join(lines, "\n").alias("prompt")).select("query_id", F.explode(judged_scores(ask("prompt"))).alias("r"))
+    scores = first.select("query_id", "note_id", "index").join(asked.select("query_id", "r.index", "r.score"), ["query_id", "index"]).groupBy("query_id", "note_id").agg(F.max("score").alias("judged"))
+    return rerank_blend(hits.join(scores, ["query_id", "note_id"], "left"), F.col("judged"), top).drop("judged")
+
+
+def context_expansion(chunks: DataFrame, notes: DataFrame, around: int = 3) -> DataFrame:
+    """Each hit's best chunk (note_id, content) as the note's lines it is on and `around` more on both sides, where that is
+    longer; the line is the first that holds the chunk's first line."""
+    first = F.trim(F.element_at(F.split(F.trim("content"), "\n"), 1))
+    j = chunks.join(notes.select("note_id", F.split("text", "\n").alias("_lines")), "note_id", "left")
+    at = F.array_position(F.transform("_lines", lambda x: F.contains(x, first)), F.lit(True))
+    size = F.size(F.split("content", "\n"))
+    start = F.greatest(at - around, F.lit(1))
+    wide = F.array_join(F.slice("_lines", start.cast("int"), (at + size - 1 + around - start + 1).cast("int")), "\n")
+    return j.withColumn("expanded", F.when((at > 0) & (first != "") & (F.length(wide) > F.length("content")), wide).otherwise(F.col("content"))).drop("_lines")
+
+
+def hybrid_search(vector: DataFrame, chunks: DataFrame, terms: DataFrame, k: int, keyword_weight: float = 0.1, threshold: float = 0.85) -> DataFrame:
+    """hybrid_fuse where a query's best vector hit (query_id, note_id, score) is not above the threshold; where it is, vectors
+    alone decide, and its terms never reach the keyword search, which keeps 3 * k notes a query."""
+    fast = vector.groupBy("query_id").agg(F.max("score").alias("m")).filter(F.col("m") > threshold).select("query_id")
+    kw = bm25_best(chunks, terms.join(fast, "query_id", "left_anti"), 3 * k).drop("rank")
+    slow = hybrid_fuse(vector.join(fast, "query_id", "left_anti"), kw, keyword_weight)
+    alone = vector.join(fast, "query_id", "left_semi").select("query_id", "note_id", F.col("score").alias("vector_score"), F.lit(0.0).alias("keyword_score"), "score")
+    return slow.withColumn("fast", F.lit(False)).union(alone.withColumn("fast", F.lit(True)))

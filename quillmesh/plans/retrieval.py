@@ -14,9 +14,10 @@ from .texts import tok
 QUERIES, SQL = {}, {}
 
 
-def query(name: str, sql: str | None = None):
+#: Shares of scores of six digits have seven, so queries of such round there: at six, ties would be broken by each engine.
+def query(name: str, sql: str | None = None, digits: int = 6):
     def keep(f):
-        QUERIES[name] = lambda spark, sf: tidy(f(spark, sf))
+        QUERIES[name] = lambda spark, sf: tidy(f(spark, sf), digits)
         if sql:
             SQL[name] = sql
         return f
@@ -96,7 +97,7 @@ def bm25_topk(spark, sf):
 
 @query("bm25_batch", f"WITH {bm25_sql(MANY)} " + TOP.format(k=10))
 def bm25_batch(spark, sf):
-    return R.top_per_query(R.bm25_scores(bm25_docs(spark, sf), R.query_terms(bench_queries(spark, sf))), 10)
+    return R.bm25_best(bm25_docs(spark, sf), R.query_terms(bench_queries(spark, sf)), 10)
 
 
 @query("postings_stats", f"SELECT term, count(*) AS df, sum(tf)::BIGINT AS tf, max(tf) AS most FROM (SELECT doc_id, term, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY ALL) GROUP BY term")
@@ -106,7 +107,7 @@ def postings_stats(spark, sf):
 
 @query("keyword_normalized", f"WITH {bm25_sql(MANY)} SELECT query_id, note_id, score, round(score / greatest(max(score) OVER (PARTITION BY query_id), 0.001), 6) AS normalized FROM scores QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, note_id) <= 10")
 def keyword_normalized(spark, sf):
-    return R.max_normalize(R.top_per_query(R.bm25_scores(bm25_docs(spark, sf), R.query_terms(bench_queries(spark, sf))), 10).drop("rank"))
+    return R.max_normalize(R.bm25_best(bm25_docs(spark, sf), R.query_terms(bench_queries(spark, sf)), 10).drop("rank"))
 
 
 @query("note_aggregate_max", f"WITH h AS ({BATCH}) SELECT query_id, chunk_id // 5 AS note_id, max(similarity) AS base_score, string_agg(CAST(chunk_id % 5 AS VARCHAR), ',' ORDER BY similarity DESC, chunk_id % 5) AS chunks FROM h GROUP BY ALL")
@@ -123,18 +124,18 @@ fused AS (SELECT coalesce(vec.query_id, kw.query_id) AS query_id, coalesce(vec.n
 
 def fused(spark, sf):
     vec = vector_topk_batch(spark, sf).select(F.floor(F.col("query_id") / 20).alias("query_id"), F.col("chunk_id").alias("note_id"), F.col("similarity").alias("score"))
-    kw = R.top_per_query(R.bm25_scores(bm25_docs(spark, sf), R.query_terms(bench_queries(spark, sf))), 30).drop("rank")
+    kw = R.bm25_best(bm25_docs(spark, sf), R.query_terms(bench_queries(spark, sf)), 30).drop("rank")
     return R.hybrid_fuse(vec, kw)
 
 
-@query("hybrid_fuse", f"WITH {bm25_sql(MANY)}, {HYBRID} SELECT query_id, note_id, round(vector_score, 6) AS vector_score, round(keyword_score, 6) AS keyword_score, round(score, 6) AS score FROM fused")
+@query("hybrid_fuse", f"WITH {bm25_sql(MANY)}, {HYBRID} SELECT query_id, note_id, round(vector_score, 7) AS vector_score, round(keyword_score, 7) AS keyword_score, round(score, 7) AS score FROM fused", digits=7)
 def hybrid_fuse(spark, sf):
     return fused(spark, sf)
 
 
-@query("hybrid_topk", f"WITH {bm25_sql(MANY)}, {HYBRID} SELECT query_id, note_id, round(score, 6) AS base_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, note_id) AS rank FROM fused WHERE score >= 0.05 QUALIFY rank <= 10")
+@query("hybrid_topk", f"WITH {bm25_sql(MANY)}, {HYBRID} SELECT query_id, note_id, round(score, 7) AS base_score, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 7) DESC, note_id) AS rank FROM fused WHERE score >= 0.05 QUALIFY rank <= 10", digits=7)
 def hybrid_topk(spark, sf):
-    f = fused(spark, sf).filter("score >= 0.05").withColumn("base_score", F.round("score", 6)).withColumn("final_score", F.col("base_score"))
+    f = fused(spark, sf).filter("score >= 0.05").withColumn("base_score", F.round("score", 7)).withColumn("final_score", F.col("base_score"))
     return R.finish(f, 0.0, 10).select("query_id", "note_id", "base_score", "rank")
 
 
@@ -143,15 +144,24 @@ def fast_path_split(spark, sf):
     return R.fast_path(vector_topk_batch(spark, sf))
 
 
-@query("confidence", f"SELECT query_id, chunk_id, round(0.5::DOUBLE * least(greatest(similarity, 0), 1) + 0.3::DOUBLE * least(rank / 10.0::DOUBLE, 1) + 0.2::DOUBLE * least(chunk_id / 500.0::DOUBLE, 1), 6) AS confidence FROM ({BATCH})")
+@query("confidence", f"SELECT query_id, chunk_id, round(0.5::DOUBLE * least(greatest(similarity, 0), 1) + 0.3::DOUBLE * least(rank / 10.0::DOUBLE, 1) + 0.2::DOUBLE * least(chunk_id / 500.0::DOUBLE, 1), 7) AS confidence FROM ({BATCH})", digits=7)
 def confidence(spark, sf):
     return vector_topk_batch(spark, sf).select("query_id", "chunk_id", V.confidence("similarity", F.col("rank") / 10.0, F.col("chunk_id") / 500.0).alias("confidence"))
 
 
 @query("rerank_blend", f"""WITH h AS (SELECT query_id, chunk_id AS note_id, similarity, row_number() OVER (PARTITION BY query_id ORDER BY similarity DESC, chunk_id) AS original_rank FROM ({BATCH})),
-b AS (SELECT *, CASE WHEN original_rank <= 5 AND note_id % 4 <> 0 THEN 0.7::DOUBLE * (note_id % 11) / 10 + 0.3::DOUBLE * similarity ELSE similarity END AS s FROM h)
-SELECT query_id, note_id, original_rank, round(s, 6) AS reranked_score, row_number() OVER (PARTITION BY query_id ORDER BY original_rank > 5, s DESC, original_rank) AS rank FROM b""")
+j AS (SELECT *, CASE WHEN note_id % 4 <> 0 THEN least(greatest(note_id % 14 - 2, 0), 10) ELSE 0 END AS judged FROM h),
+b AS (SELECT *, round(CASE WHEN original_rank <= 5 AND judged > 0 THEN 0.07::DOUBLE * judged + 0.3::DOUBLE * similarity ELSE similarity END, 7) AS s FROM j)
+SELECT query_id, note_id, original_rank, s AS reranked_score, row_number() OVER (PARTITION BY query_id ORDER BY original_rank > 5, s DESC, original_rank) AS rank FROM b""", digits=7)
 def rerank_blend(spark, sf):
     hits = vector_topk_batch(spark, sf).select("query_id", F.col("chunk_id").alias("note_id"), F.col("similarity").alias("final_score"))
-    judged = F.when(F.col("note_id") % 4 != 0, (F.col("note_id") % 11).cast("double"))
+    judged = F.when(F.col("note_id") % 4 != 0, (F.col("note_id") % 14 - 2).cast("double"))
     return R.rerank_blend(hits, judged, 5).select("query_id", "note_id", "original_rank", "reranked_score", "rank")
+
+
+@query("hybrid_fast_path", f"""WITH {bm25_sql(MANY)}, {HYBRID.replace('rank <= 30', 'rank <= 15').replace(f'FROM ({BATCH})', f'FROM ({BATCH}) WHERE chunk_id <> query_id')}, m AS (SELECT query_id, max(score) > 0.6 AS fast FROM vec GROUP BY query_id)
+SELECT fused.query_id, note_id, round(vector_score, 7) AS vector_score, CASE WHEN fast THEN 0 ELSE round(keyword_score, 7) END AS keyword_score, round(CASE WHEN fast THEN vector_score ELSE score END, 7) AS score, coalesce(fast, false) AS fast
+FROM fused LEFT JOIN m USING (query_id) WHERE NOT coalesce(fast, false) OR vector_score > 0""", digits=7)
+def hybrid_fast_path(spark, sf):
+    vec = vector_topk_batch(spark, sf).filter("chunk_id <> query_id").select(F.floor(F.col("query_id") / 20).alias("query_id"), F.col("chunk_id").alias("note_id"), F.col("similarity").alias("score"))
+    return R.hybrid_search(vec, bm25_docs(spark, sf), R.query_terms(bench_queries(spark, sf)), 5, threshold=0.6)
