@@ -86,5 +86,23 @@ def similar(a: Column | str, b: Column | str, threshold: float = 0.7) -> Column:
     return composite(a, b) >= threshold
 
 
+def longest_common(a: str, b: str) -> int:
+    """Length of the longest common substring."""
+    best, row = 0, [0] * (len(b) + 1)
+    for x in a:
+        last = 0
+        for j, y in enumerate(b, 1):
+            row[j], last = (last + 1 if x == y else 0), row[j]
+            best = max(best, row[j])
+    return best
+
+
+@F.pandas_udf(DoubleType())
+def _common_ratio(a: pd.Series, b: pd.Series) -> pd.Series:
+    return pd.Series([longest_common(x, y) / max(len(x), len(y)) if x and y else 0.0 for x, y in zip(a, b, strict=True)], dtype="float64")
+
+
 def overlap_ratio(a: Column | str, b: Column | str) -> Column:
-    return containment(a, b)
+    """Shorter by longer length where one holds the other, else the longest common substring by the longer length."""
+    inside = containment(a, b)
+    return F.when(inside > 0, inside).otherwise(_common_ratio(F.trim(F.lower(col(a))), F.trim(F.lower(col(b)))))

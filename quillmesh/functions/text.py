@@ -223,3 +223,12 @@ def image_links(text: Column | str) -> Column:
 
 def contains_all(text: Column | str, terms: Column) -> Column:
     return F.forall(terms, lambda t: F.contains(F.lower(col(text)), F.lower(t)))
+
+
+def word_count(text: Column | str) -> Column:
+    """Runs of anything but white space."""
+    return F.regexp_count(col(text), F.lit(r"(?U)\S+"))
+
+
+def month(ts: Column | str) -> Column:
+    return F.date_format(col(ts), "yyyy-MM")

@@ -126,8 +126,9 @@ def connected_components(vertices: DataFrame, links: DataFrame, rounds: int = 60
     raise RuntimeError(f"components did not settle in {rounds} rounds")
 
 
-def neighbourhood(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
-    """(path, hops) within `depth` undirected steps of start's paths; a frontier join per step."""
+def neighbourhood(links: DataFrame, start: DataFrame, depth: int, most: int | None = None) -> DataFrame:
+    """(path, hops) within `depth` undirected steps of start's paths; a frontier join per step. With `most`, only so many
+    nodes: the nearest, and of one distance the first by path."""
     both = links.select(F.col("src_path").alias("a"), F.col("dst_path").alias("b")).union(links.select(F.col("dst_path").alias("a"), F.col("src_path").alias("b"))).distinct()
     seen = start.select("path", F.lit(0).alias("hops")).distinct()
     frontier = seen
@@ -135,7 +136,7 @@ def neighbourhood(links: DataFrame, start: DataFrame, depth: int) -> DataFrame:
         new = frontier.join(both, frontier.path == both.a).select(F.col("b").alias("path")).distinct().join(seen, "path", "left_anti")
         frontier = materialize(new.select("path", F.lit(k).alias("hops")), "bfs")
         seen = seen.union(frontier)
-    return seen
+    return seen if most is None else seen.orderBy("hops", "path").limit(most)
 
 
 def subgraph(links: DataFrame, kept: DataFrame) -> DataFrame:
@@ -200,3 +201,79 @@ def graph_rerank(hits: DataFrame, centrality: DataFrame, ranks: DataFrame, links
     joined = scored.join(centrality.select("path", "centrality"), "path", "left").join(ranks.select("path", F.col("score").alias("rank_score")), "path", "left")
     lift = 0.4 * F.coalesce("centrality", F.lit(0.0)) + 0.4 * F.coalesce("rank_score", F.lit(0.0)) + 0.2 * F.col("context_link")
     return joined.select("query_id", "path", "base_score", (F.col("base_score") * (1 + boost * lift)).alias("final_score"))
+
+
+def links_with_places(notes: DataFrame) -> DataFrame:
+    """mentions with start and end (code points in the content) and the 0-based line of each link; none spans lines."""
+    import pandas as pd
+
+    pattern = r"\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]"
+
+    def run(batches):
+        import re
+
+        link = re.compile(pattern)
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["content"], strict=True):
+                base = pos = 0
+                for number, line in enumerate((text or "").split("\n")):
+                    for m in link.finditer(line):
+                        rows.append((path, pos, m[1].strip(), (m[2] or "").strip() or None, (m[3] or "").strip() or None, base + m.start(), base + m.end(), number))
+                        pos += 1
+                    base += len(line) + 1
+            yield pd.DataFrame(rows, columns=["src_path", "pos", "target", "section", "alias", "start", "end", "line"])
+
+    return notes.select("path", "content").mapInPandas(run, "src_path string, pos int, target string, section string, alias string, start int, end int, line int")
+
+
+def links_to(found: DataFrame, title: str) -> DataFrame:
+    """Mentions whose target is the title but for case and outer blanks."""
+    return found.filter(F.lower(F.trim("target")) == title.strip().lower())
+
+
+def backlinks_of(links: DataFrame, titles: DataFrame) -> DataFrame:
+    """backlinks of asked titles (column title): those of the title as written, or else of the first title by name with the
+    same normal form."""
+    known = links.select("dst_title").distinct().withColumn("key", T.normalize_title("dst_title"))
+    asked = titles.select("title").distinct().withColumn("key", T.normalize_title("title"))
+    best = asked.join(known, "key").groupBy("title").agg(F.min(F.struct((F.col("dst_title") != F.col("title")).alias("other"), F.col("dst_title"))).alias("m"))
+    return best.select("title", F.col("m.dst_title").alias("dst_title")).join(links, "dst_title")
+
+
+def focus(nodes: DataFrame, links: DataFrame, node: str) -> tuple[DataFrame, DataFrame]:
+    """A node with its direct neighbours, and the links among them."""
+    near = links.filter(F.col("source") == node).select(F.col("target").alias("id")).union(links.filter(F.col("target") == node).select(F.col("source").alias("id")))
+    ids = near.union(nodes.filter(F.col("id") == node).select("id")).distinct()
+    kept = nodes.join(ids, "id", "left_semi")
+    return kept, links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def link_lists(links: DataFrame, nodes: DataFrame) -> DataFrame:
+    """id, direction (out or in) and the sorted titles at the other ends of each node's links."""
+    titled = nodes.select("id", "title")
+    both = links.select(F.col("source").alias("id"), F.lit("out").alias("direction"), F.col("target").alias("other")).union(links.select(F.col("target"), F.lit("in"), F.col("source")))
+    return both.join(titled.withColumnRenamed("id", "other"), "other").groupBy("id", "direction").agg(F.array_sort(F.collect_list("title")).alias("titles"))
+
+
+def filter_nodes(nodes: DataFrame, links: DataFrame, kinds: list[str] | None = None, holds: str | None = None) -> tuple[DataFrame, DataFrame]:
+    """Nodes of some kinds whose title holds a text, whatever its case, and the links among them."""
+    kept = nodes
+    if kinds is not None:
+        kept = kept.filter(F.col("kind").isin(kinds))
+    if holds:
+        kept = kept.filter(F.contains(F.lower("title"), F.lit(holds.lower())))
+    ids = kept.select("id")
+    return kept, links.join(ids.withColumnRenamed("id", "source"), "source", "left_semi").join(ids.withColumnRenamed("id", "target"), "target", "left_semi")
+
+
+def has_more(nodes: DataFrame, offset: int, limit: int) -> DataFrame:
+    """One row: total, and whether there are nodes after a page."""
+    return nodes.agg(F.count("*").alias("total")).withColumn("has_more", F.col("total") > offset + limit)
+
+
+def hub_metadata(hubs: DataFrame, notes: DataFrame) -> DataFrame:
+    """hubs (dst_title) with the id and path of the first note by path whose title or basename that is; the title and an
+    empty path where there is none."""
+    names = notes.select("path", "id", F.explode(F.array_distinct(F.array("title", "basename"))).alias("dst_title")).groupBy("dst_title").agg(F.min(F.struct("path", "id")).alias("m"))
+    return hubs.join(names, "dst_title", "left").select(*[hubs[c] for c in hubs.columns], F.coalesce("m.id", "dst_title").alias("note_id"), F.coalesce("m.path", F.lit("")).alias("path"))

@@ -72,7 +72,7 @@ def duplicate_links(resolved: DataFrame) -> DataFrame:
 
 
 #: Parts of a length band.
-BAND_PARTS = 32
+BAND_PARTS = 64
 
 
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6, k: int = 5) -> DataFrame:
@@ -83,14 +83,17 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6,
     length are not one task's load. Distances are only counted up to what the threshold allows. Within a band all pairs are
     compared: what is alike to .6 need share no rare part by which fewer could be found.
     """
-    a = left.select("text").distinct().withColumn("l", F.length("text"))
-    b = right.select(F.col("text").alias("other")).distinct().withColumn("m", F.length("other")).withColumn("deal", F.pmod(F.xxhash64("other"), F.lit(BAND_PARTS)).cast("int"))
+    parts = max(BAND_PARTS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    a = left.select("text").distinct().withColumns({"l": F.length("text"), "tl": F.lower("text")})
+    b = right.select(F.col("text").alias("other")).distinct().withColumns({"m": F.length("other"), "ol": F.lower("other")}).withColumn("deal", F.pmod(F.xxhash64("other"), F.lit(BAND_PARTS)).cast("int"))
     low, high = F.ceil(F.col("l") * threshold - 1e-9).cast("int"), F.floor(F.col("l") / threshold + 1e-9).cast("int")
-    asked = a.select("text", "l", F.explode(F.sequence(low, high)).alias("m")).withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))))
-    pairs = asked.join(b, ["m", "deal"])
+    asked = a.select("text", "tl", "l", F.explode(F.sequence(low, high)).alias("m")).join(b.select("m").distinct(), "m", "left_semi")
+    asked = asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))))
+    # Few bytes but much work a row: a stated number of partitions is not merged into fewer.
+    pairs = asked.repartition(parts, "m", "deal").join(b.repartition(parts, "m", "deal"), ["m", "deal"])
     longest = F.greatest("l", "m")
     most = F.floor(longest * (1 - threshold) + 1e-9).cast("int")
-    distance = F.call_function("levenshtein", F.lower("text"), F.lower("other"), most)
+    distance = F.call_function("levenshtein", F.col("tl"), F.col("ol"), most)
     near = pairs.select("text", "other", distance.alias("d"), longest.alias("longest")).filter("d >= 0")
     sim = F.when(F.col("longest") == 0, 1.0).otherwise(1.0 - F.col("d") / F.greatest("longest", F.lit(1)))
     near = near.select("text", "other", F.round(sim, 6).alias("similarity")).filter(F.col("similarity") >= threshold)

@@ -7,7 +7,7 @@ import re
 from collections.abc import Callable
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
@@ -148,3 +148,30 @@ def mask_sessions(turns: DataFrame, key: str) -> DataFrame:
 
 def unmask_sessions(turns: DataFrame, key: str) -> DataFrame:
     return turns.withColumn("text", F.aes_decrypt(F.unbase64("text"), F.lit(key)).cast("string"))
+
+
+def headings(notes: DataFrame) -> DataFrame:
+    """path, level, heading, start and end (code points) of H1 to H3 outside fenced code."""
+
+    def run(batches):
+        for b in batches:
+            rows = []
+            for path, text in zip(b["path"], b["content"], strict=True):
+                code = [m.span() for m in re.finditer(r"```.*?(?:```|\Z)", text or "", re.S)]
+                for m in re.finditer(r"^(#{1,3})[ \t]+(.+)$", text or "", re.M):
+                    if not any(a <= m.start() < z for a, z in code):
+                        rows.append((path, len(m[1]), m[2].strip(), m.start(), m.end()))
+            yield pd.DataFrame(rows, columns=["path", "level", "heading", "start", "end"])
+
+    return notes.select("path", "content").mapInPandas(run, "path string, level int, heading string, start int, end int")
+
+
+def language_pairs(notes: DataFrame, per_topic: int = 3, seed: int = 42) -> DataFrame:
+    """Pairs for a multilingual evaluation from notes (path, topic, language): a query's note and the note that answers it,
+    of one topic, kind same or cross by their languages; of each topic and kind those of least seeded hash."""
+    a = notes.select("topic", F.col("path").alias("source"), F.col("language").alias("source_language"))
+    b = notes.select("topic", F.col("path").alias("expected"), F.col("language").alias("expected_language"))
+    kind = F.when(F.col("source_language") == F.col("expected_language"), "same").otherwise("cross")
+    pairs = a.join(b, "topic").filter((F.col("source") != F.col("expected")) | (F.col("source_language") == F.col("expected_language"))).withColumn("kind", kind)
+    order = Window.partitionBy("topic", "kind").orderBy(F.xxhash64(F.lit(seed), "source", "expected"), "source", "expected")
+    return pairs.withColumn("_r", F.row_number().over(order)).filter(F.col("_r") <= per_topic).drop("_r")

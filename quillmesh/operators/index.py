@@ -82,3 +82,54 @@ def conflict_halves(text: Column) -> Column:
     """struct<local, remote> of a text with one conflict."""
     p = r"(?s)<<<<<<<[^\n]*\n(.*?)=======\n(.*?)>>>>>>>"
     return F.struct(F.regexp_extract(text, p, 1).alias("local"), F.regexp_extract(text, p, 2).alias("remote"))
+
+
+#: Version of the index state; one of another version is built anew.
+STATE_VERSION = 2
+
+
+def changed_both(ours: DataFrame, theirs: DataFrame) -> DataFrame:
+    """Paths that changed on both sides, each once."""
+    return ours.select("path").intersect(theirs.select("path"))
+
+
+def state_problem(meta: DataFrame | None, dimensions: int) -> str | None:
+    """Why an index can't be kept current by changes alone and is to be built anew; None if it can.
+
+    meta has path, content_hash, mtime, chunk_count, version and dimensions, as index_step writes it.
+    """
+    if meta is None:
+        return "missing"
+    if not {"path", "content_hash", "mtime", "version", "dimensions"} <= set(meta.columns):
+        return "corrupt"
+    wrong = meta.agg(F.count_if((F.col("version") != STATE_VERSION) | F.col("version").isNull()).alias("v"), F.count_if(F.col("dimensions") != dimensions).alias("d"), F.count_if(F.col("path").isNull() | F.col("content_hash").isNull()).alias("n")).first()
+    return "corrupt" if wrong["n"] else "version" if wrong["v"] else "dimensions" if wrong["d"] else None
+
+
+def index_step(index: DataFrame | None, meta: DataFrame | None, files: DataFrame, make_rows: Callable[[DataFrame], DataFrame], dimensions: int = 64) -> tuple[DataFrame, DataFrame]:
+    """The index and its state after one look at all files (path, content_hash, mtime and what make_rows reads).
+
+    Rows of files that are gone leave, those of changed files are made anew, new ones come, the rest stays as it is. A state
+    that is missing, corrupt, of another version or of other dimensions, or an index that is gone, has all made anew.
+    """
+    full = index is None or state_problem(meta, dimensions) is not None
+    if full:
+        rows = make_rows(files)
+    else:
+        rows = apply_cdc(index, cdc(files, meta), make_rows(files.join(cdc(files, meta).filter(F.col("change").isin("added", "changed")).select("path"), "path", "left_semi")))
+    counts = rows.groupBy("path").agg(F.count("*").cast("int").alias("chunk_count"))
+    state = files.select("path", "content_hash", "mtime").join(counts, "path", "left").select("path", "content_hash", "mtime", F.coalesce("chunk_count", F.lit(0)).alias("chunk_count"), F.lit(STATE_VERSION).alias("version"), F.lit(dimensions).alias("dimensions"))
+    return rows, state
+
+
+def cache_status(entries: DataFrame, depends: DataFrame, files: DataFrame, now: float, ttl: float = 300.0) -> DataFrame:
+    """key and status of cache entries (key, created): expired after ttl seconds; else stale where a file it depends on
+    (key, path, mtime, content_hash) is gone, or has another time and another hash; else valid."""
+    f = files.select("path", F.col("mtime").alias("_m"), F.col("content_hash").alias("_h"))
+    bad = depends.join(f, "path", "left").filter(F.col("_h").isNull() | ((F.col("_m") != F.col("mtime")) & (F.col("_h") != F.col("content_hash")))).select("key").distinct().withColumn("_bad", F.lit(True))
+    return entries.join(bad, "key", "left").select("key", F.when(F.lit(now) - F.col("created") > ttl, "expired").when(F.col("_bad"), "stale").otherwise("valid").alias("status"))
+
+
+def keys_of(depends: DataFrame, changed: DataFrame) -> DataFrame:
+    """The cache keys that depend on any of changed paths."""
+    return depends.join(changed.select("path").distinct(), "path", "left_semi").select("key").distinct()

@@ -25,6 +25,8 @@ LINK = re.compile(r"\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]")
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: Code points by which texts that may hold one another are found.
 BLOCK = 64
+#: Parts of the texts that share a bigram.
+GRAM_PARTS = 8
 ANCHORS = "path string, text string, start int, end int, kind string"
 
 
@@ -201,22 +203,60 @@ def overlaps(spans: DataFrame, excluded: DataFrame) -> DataFrame:
     return spans.join(e, (F.col("path") == F.col("_p")) & (F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")), "left_anti")
 
 
-def similar_clusters(targets: DataFrame, threshold: float = 0.7) -> DataFrame:
-    """Clusters of similar dangling targets (target, occurrences, sources): cluster, representative, member, similarity.
+def similar_to(targets: DataFrame, target: str, threshold: float = 0.7) -> DataFrame:
+    """The other targets whose composite similarity to one reaches the threshold, most similar first."""
+    from ..functions import similarity as S
+
+    scored = targets.filter(F.col("target") != target).withColumn("similarity", F.round(S.composite(F.lit(target), F.col("target")), 6))
+    return scored.filter(F.col("similarity") >= threshold).orderBy(F.desc("similarity"), "target")
+
+
+def suggest_concepts(found: DataFrame, id_col: str = "doc_id", most: int = 20, repeated: int = 5) -> DataFrame:
+    """Of concepts (id, concept, kind, n), each text's suggestions in order: proper nouns, terms, and the `repeated` most
+    frequent words; one of those that differ in case only, the first; `most` at most. id, concept, rank."""
+    place = F.when(F.col("kind") == "proper", 0).when(F.col("kind") == "term", 1).otherwise(2)
+    order = Window.partitionBy(id_col, "kind").orderBy(F.desc("n"), "concept")
+    some = found.withColumn("_k", F.row_number().over(order)).filter((F.col("kind") != "repeated") | (F.col("_k") <= repeated)).withColumn("_p", place)
+    once = some.withColumn("_o", F.row_number().over(Window.partitionBy(id_col, F.lower("concept")).orderBy("_p", "_k"))).filter("_o = 1")
+    return once.withColumn("rank", F.row_number().over(Window.partitionBy(id_col).orderBy("_p", "_k"))).filter(F.col("rank") <= most).select(id_col, "concept", "rank")
+
+
+def suggestions_for(suggestions: DataFrame, queries: DataFrame) -> DataFrame:
+    """Suggestions (path, text, start, end) of each query (id, path, anchor, start, end): of the same anchor text but for
+    case and outer blanks, or whose span overlaps the query's."""
+    q = queries.select("id", "path", F.lower(F.trim("anchor")).alias("_a"), F.col("start").alias("_s"), F.col("end").alias("_e"))
+    hit = (F.lower(F.trim("text")) == F.col("_a")) | F.coalesce((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")), F.lit(False))
+    return suggestions.join(q, "path").filter(hit).drop("_a", "_s", "_e")
+
+
+def similar_clusters(targets: DataFrame, threshold: float = 0.7, most: int | None = None) -> DataFrame:
+    """Clusters of similar dangling targets (target, occurrences, sources): component, representative, member, similarity,
+    total occurrences and the members' average similarity; with `most`, the clusters that occur most.
 
-    Pairs are those that share a bigram of their normal form, counted by join, and reach the composite similarity; clusters
-    are their components of two members or more; the representative occurs most, then has most sources, then is first.
+    Pairs are those that reach the composite similarity; clusters are their components of two members or more; the
+    representative occurs most, then has most sources, then is first. Texts are compared where they share a bigram, as
+    without one they reach .4 at most; the texts of a bigram are dealt in GRAM_PARTS.
     """
     from ..functions import similarity as S
     from .graph import connected_components
 
     grams = targets.select("target", F.explode(S._grams(F.col("target"), 2)).alias("g"))
-    other = grams.withColumnRenamed("target", "other")
-    pairs = grams.join(other, "g").filter("target < other").select("target", "other").distinct()
+    deal = F.pmod(F.xxhash64("other"), F.lit(GRAM_PARTS)).cast("int")
+    other = grams.withColumnRenamed("target", "other").withColumn("part", deal)
+    asked = grams.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(GRAM_PARTS - 1))))
+    pairs = asked.join(other, ["g", "part"]).filter("target < other").select("target", "other").distinct()
+    # Jaro is between 0 and 1, so what can't reach the threshold with 1 need not be computed.
+    inside, rest = S.containment("target", "other"), 0.2 * S.dice("target", "other") + 0.2 * S.token_jaccard("target", "other")
+    bound = F.when(inside > 0.5, 0.3 + rest + 0.3 * inside).otherwise(0.4 + 1.5 * rest)
+    pairs = pairs.filter(bound >= threshold - 1e-6)
     scored = pairs.withColumn("similarity", F.round(S.composite("target", "other"), 6)).filter(F.col("similarity") >= threshold)
     comp = connected_components(targets.select(F.col("target").alias("v")), scored.select(F.col("target").alias("a"), F.col("other").alias("b")))
     members = comp.withColumnRenamed("v", "target").join(targets, "target")
     sized = members.groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("occurrences")).alias("o"), (-F.col("sources")).alias("s"), F.col("target"))).alias("r"), F.sum("occurrences").alias("total")).filter("size > 1")
     joined = members.join(sized.select("component", F.col("r.target").alias("representative"), "total"), "component")
     both = scored.select("target", F.col("other").alias("representative"), "similarity").union(scored.select("other", "target", "similarity"))
-    return joined.join(both, ["target", "representative"], "left").select("component", "representative", F.col("target").alias("member"), F.when(F.col("target") == F.col("representative"), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"), "total")
+    out = joined.join(both, ["target", "representative"], "left").select("component", "representative", F.col("target").alias("member"), F.when(F.col("target") == F.col("representative"), 1.0).otherwise(F.coalesce("similarity", F.lit(0.0))).alias("similarity"), "total")
+    stats = out.groupBy("component").agg(F.round(F.avg("similarity"), 6).alias("average"), F.max("total").alias("_t"))
+    if most is not None:
+        stats = stats.orderBy(F.desc("_t"), "component").limit(most)
+    return out.join(stats.drop("_t"), "component")

@@ -123,3 +123,29 @@ def preconditions(baseline: DataFrame, current: DataFrame, keys: tuple[str, ...]
 
 def idcg(n: int) -> float:
     return sum(1 / math.log2(i + 2) for i in range(n))
+
+
+def filter_items(items: DataFrame, language: str | None = None, difficulty: str | None = None, tag: str | None = None) -> DataFrame:
+    """Items of a language, a difficulty, a tag; None asks for nothing."""
+    for name, value in (("language", language), ("difficulty", difficulty)):
+        if value is not None:
+            items = items.filter(F.col(name) == value)
+    return items if tag is None else items.filter(F.array_contains("tags", tag))
+
+
+def dataset_averages(items: DataFrame) -> DataFrame:
+    """One row: items, answerable, unanswerable, mean numbers of expected notes and spans."""
+    size = lambda c: F.greatest(F.coalesce(F.size(c), F.lit(0)), F.lit(0))
+    mean = lambda c: F.coalesce(F.avg(size(c)), F.lit(0.0))
+    return items.agg(F.count("*").alias("items"), F.count_if(F.col("answerable")).alias("answerable"), F.count_if(~F.col("answerable")).alias("unanswerable"), mean("expected_notes").alias("avg_notes"), mean("expected_spans").alias("avg_spans"))
+
+
+def link_summary(items: DataFrame) -> DataFrame:
+    """Means of link_item_metrics over all items; 0 of none."""
+    return items.agg(F.count("*").alias("items"), *[F.coalesce(F.avg(c), F.lit(0.0)).alias(c) for c in ("precision", "recall", "f1", "hit", "novelty")])
+
+
+def snapshot_compatibility(baseline: DataFrame, current: DataFrame) -> DataFrame:
+    """One row per key of two one-row snapshots that differs: key, level (error for the model, else warning), base, cur."""
+    keys = ("model", "dataset_hash", "notes_hash", "schema_version")
+    return preconditions(baseline, current, keys).filter("not same").select("key", F.when(F.col("key") == "model", "error").otherwise("warning").alias("level"), "base", "cur")

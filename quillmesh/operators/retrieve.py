@@ -242,39 +242,42 @@ def model_json(text: Column | str) -> Column:
 
 
 def judged_scores(answer: Column | str, default: float = 5.0) -> Column:
-    """array<struct<index, score>> of a judge's answer, an array of objects or an object with one in `rankings`; scores taken
-    between 0 and 10, `default` where there is none; null for an answer that can't be read."""
-    json = model_json(answer)
-    kind = "array<struct<index:int,score:double>>"
-    rows = F.coalesce(F.when(F.startswith(json, F.lit("[")), F.from_json(json, kind)), F.from_json(F.get_json_object(json, "$.rankings"), kind))
-    return F.transform(F.filter(rows, lambda r: r["index"].isNotNull()), lambda r: F.struct(r["index"].alias("index"), F.least(F.greatest(F.coalesce(r["score"], F.lit(default)), F.lit(0.0)), F.lit(10.0)).alias("score")))
+    """array<struct<index, score>> of the `evaluations` in a judge's answer, index from 1; scores taken between 0 and 10, the
+    default for none or 0; null for an answer without them."""
+    rows = F.from_json(F.get_json_object(model_json(answer), "$.evaluations"), "array<struct<index:int,score:double>>")
+    said = lambda r: F.least(F.greatest(F.coalesce(F.nullif(r["score"], F.lit(0.0)), F.lit(default)), F.lit(0.0)), F.lit(10.0))
+    return F.transform(F.filter(rows, lambda r: r["index"] >= 1), lambda r: F.struct(r["index"].alias("index"), said(r).alias("score")))
 
 
-def llm_rerank(hits: DataFrame, judge, top: int = 10) -> DataFrame:
+def llm_rerank(hits: DataFrame, judge, top: int = 10, default: float = 5.0) -> DataFrame:
     """rerank_blend by a judge: judge(prompts: pandas Series of a query's first `top` notes as text) -> Series of answers.
 
-    hits need query_id, note_id, final_score, title and preview. One answer a query; an answer that can't be read, or a note
-    that it leaves out, keeps the scores as they are.
+    hits need query_id, note_id, final_score, title and preview. One answer a query; a note that an answer leaves out counts
+    `default`; where an answer can't be read, the query's order stays.
     """
     order = Window.partitionBy("query_id").orderBy(F.desc("final_score"), "note_id")
     first = hits.withColumn("index", F.row_number().over(order)).filter(F.col("index") <= top)
     lines = F.transform(F.array_sort(F.collect_list(F.struct("index", "title", "preview"))), lambda r: F.concat(F.lit("["), r["index"].cast("string"), F.lit("] "), r["title"], F.lit(": "), r["preview"]))
     ask = F.pandas_udf(judge, "string")
-    asked = first.groupBy("query_id").agg(F.array_join(lines, "\n").alias("prompt")).select("query_id", F.explode(judged_scores(ask("prompt"))).alias("r"))
-    scores = first.select("query_id", "note_id", "index").join(asked.select("query_id", "r.index", "r.score"), ["query_id", "index"]).groupBy("query_id", "note_id").agg(F.max("score").alias("judged"))
+    said = first.groupBy("query_id").agg(F.array_join(lines, "\n").alias("prompt")).select("query_id", judged_scores(ask("prompt")).alias("said")).filter("said is not null")
+    mine = F.transform(F.filter("said", lambda r: r["index"] == F.col("index")), lambda r: r["score"])
+    scores = first.select("query_id", "note_id", "index").join(said, "query_id").select("query_id", "note_id", F.coalesce(F.try_element_at(mine, F.lit(-1)), F.lit(default)).alias("judged"))
     return rerank_blend(hits.join(scores, ["query_id", "note_id"], "left"), F.col("judged"), top).drop("judged")
 
 
-def context_expansion(chunks: DataFrame, notes: DataFrame, around: int = 3) -> DataFrame:
-    """Each hit's best chunk (note_id, content) as the note's lines it is on and `around` more on both sides, where that is
-    longer; the line is the first that holds the chunk's first line."""
-    first = F.trim(F.element_at(F.split(F.trim("content"), "\n"), 1))
-    j = chunks.join(notes.select("note_id", F.split("text", "\n").alias("_lines")), "note_id", "left")
-    at = F.array_position(F.transform("_lines", lambda x: F.contains(x, first)), F.lit(True))
-    size = F.size(F.split("content", "\n"))
-    start = F.greatest(at - around, F.lit(1))
-    wide = F.array_join(F.slice("_lines", start.cast("int"), (at + size - 1 + around - start + 1).cast("int")), "\n")
-    return j.withColumn("expanded", F.when((at > 0) & (first != "") & (F.length(wide) > F.length("content")), wide).otherwise(F.col("content"))).drop("_lines")
+def context_expansion(hits: DataFrame, notes: DataFrame, around: int = 3) -> DataFrame:
+    """hits (note_id, content: the best chunk) with `expanded`: the note's lines (note_id, text) from `around` before the
+    chunk's first place to `around` after, where that is longer than the chunk; else the chunk."""
+    j = hits.join(notes.select("note_id", F.col("text").alias("_text")), "note_id", "left")
+    at = F.coalesce(F.call_function("instr", F.col("_text"), F.col("content")), F.lit(0))
+    lines = F.split("_text", "\n", -1)
+    count = lambda t: F.size(F.split(t, "\n", -1))
+    before = count(F.substring("_text", F.lit(1), at - 1))
+    after = count(F.substring("_text", at + F.length("content"), F.lit(1 << 30)))
+    start = F.greatest(before - around, F.lit(0))
+    end = F.least(F.size(lines), before + F.least(after, F.lit(around)))
+    wide = F.trim(F.array_join(F.slice(lines, start + 1, F.greatest(end + 1 - start, F.lit(0))), "\n"))
+    return j.withColumn("expanded", F.when((at > 0) & (F.length(wide) > F.length("content")), wide).otherwise(F.col("content"))).drop("_text")
 
 
 def hybrid_search(vector: DataFrame, chunks: DataFrame, terms: DataFrame, k: int, keyword_weight: float = 0.1, threshold: float = 0.85) -> DataFrame:

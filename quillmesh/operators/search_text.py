@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -31,12 +31,14 @@ def line_search(docs: DataFrame, pattern: str, limit: int = 50, id_col: str = "d
     return best.orderBy(F.desc("score"), id_col).limit(limit)
 
 
-def corpus_hash(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 4096) -> DataFrame:
+def corpus_hash(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: int = 4096, bucket: Column | None = None) -> DataFrame:
     """One hash of all keys and texts, whatever their layout: each bucket of keys is hashed in key order, then the buckets' hashes in theirs.
 
-    Two levels keep what one task gathers small: a bucket's hashes, then one hash a bucket.
+    Two levels keep what one task gathers small: a bucket's hashes, then one hash a bucket. A key's bucket is its crc32
+    modulo `buckets`, or what `bucket` says.
     """
+    number = F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets)) if bucket is None else bucket
     line = F.concat_ws("\x00", F.col(key).cast("string"), F.sha2(F.coalesce(F.col(text), F.lit("")), 256))
-    rows = docs.select(F.col(key).alias("k"), line.alias("line"), F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(buckets)).alias("b"))
+    rows = docs.select(F.col(key).alias("k"), line.alias("line"), number.alias("b"))
     each = rows.groupBy("b").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("k", "line"))), lambda x: x["line"]), "\n"), 256).alias("h"), F.count("*").alias("n"))
     return each.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x["h"]), "\n"), 256).alias("corpus_hash"), F.sum("n").alias("documents"))

@@ -41,3 +41,47 @@ def export_markdown(turns: DataFrame) -> DataFrame:
     """conv_id and the conversation as Markdown, turns in order."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.concat(F.lit("## "), F.initcap(m["role"]), F.lit("\n\n"), m["text"]))
     return turns.groupBy("conv_id").agg(F.array_join(lines, "\n\n").alias("markdown"))
+
+
+def newest(sessions: DataFrame, by: str = "updated_at", limit: int = 10) -> DataFrame:
+    """The latest sessions (id, created_at, updated_at) by a time."""
+    return sessions.orderBy(F.desc(by), "id").limit(limit)
+
+
+def recent(sessions: DataFrame, now, minutes: int = 30) -> DataFrame:
+    """Sessions updated in the last minutes."""
+    return sessions.filter(F.unix_micros(F.lit(now).cast("timestamp")) - F.unix_micros(F.col("updated_at").cast("timestamp")) <= minutes * 60_000_000)
+
+
+def with_tag(sessions: DataFrame, tag: str) -> DataFrame:
+    """id and created_at of the sessions with a tag, latest first."""
+    return sessions.filter(F.array_contains("tags", tag)).select("id", "created_at").orderBy(F.desc("created_at"), "id")
+
+
+def session_counts(sessions: DataFrame) -> DataFrame:
+    """facet (total, month or tag), value, sessions."""
+    total = sessions.groupBy().agg(F.count("*").alias("sessions")).select(F.lit("total").alias("facet"), F.lit("").alias("value"), "sessions")
+    months = sessions.groupBy(F.lit("month").alias("facet"), F.col("month").alias("value")).agg(F.count("*").alias("sessions"))
+    tags = sessions.select(F.explode("tags").alias("value")).groupBy(F.lit("tag").alias("facet"), "value").agg(F.count("*").alias("sessions"))
+    return total.union(months).union(tags)
+
+
+def add_tags(rows: DataFrame, tags: list[str]) -> DataFrame:
+    """rows with tags added, each once, old ones first."""
+    return rows.withColumn("tags", F.array_union(F.coalesce("tags", F.array().cast("array<string>")), F.array(*map(F.lit, tags))))
+
+
+def remove_tag(rows: DataFrame, tag: str) -> DataFrame:
+    return rows.withColumn("tags", F.array_remove(F.coalesce("tags", F.array().cast("array<string>")), tag))
+
+
+def merge_sessions(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
+    """Sessions (id, updated_at, tags) of three sides as one each: tags of all, first seen first; the latest updated_at."""
+    side = lambda df, k: df.select("id", "updated_at", F.coalesce("tags", F.array().cast("array<string>")).alias("tags"), F.lit(k).alias("side"))
+    all_ = side(base, 0).union(side(local, 1)).union(side(remote, 2))
+    tags = F.array_distinct(F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("side", "tags"))), lambda x: x["tags"])))
+    return all_.groupBy("id").agg(F.max("updated_at").alias("updated_at"), tags.alias("tags"))
+
+
+def append_turns(turns: DataFrame, path: str) -> None:
+    turns.write.mode("append").parquet(path)

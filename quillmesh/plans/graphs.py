@@ -162,9 +162,11 @@ def health_metrics(spark, sf):
     return H.graph_metrics(*resolved(spark, sf))
 
 
-@query("health_report", graph("""SELECT note_count, mentions, score, CASE WHEN score < 50 THEN 'critical' WHEN score < 75 THEN 'warning' ELSE 'healthy' END AS status FROM (SELECT note_count, mentions, CAST(greatest(0, round(100 - least(40 * no_backlinks + 20 * no_outlinks, 30) - least(80 * orphans, 25) - least(50 * CASE WHEN hs >= 0.2 THEN hs ELSE 0 END, 25) - least(60 * dangling_mentions / mentions, 20))) AS BIGINT) AS score FROM met, said, (SELECT max(share) AS hs FROM hub))""", HEALTH))
+@query("health_report", graph("""SELECT note_count, round(avg_backlinks, 6) AS avg_backlinks, max_backlinks, max_title, round(no_backlinks, 6) AS no_backlinks, round(no_outlinks, 6) AS no_outlinks, round(orphans, 6) AS orphans, round(density, 6) AS density, mentions, dangling_mentions, round(hs, 6) AS hub_share, round(ds, 6) AS dangling_share, score, CASE WHEN score < 50 THEN 'critical' WHEN score < 75 THEN 'warning' ELSE 'healthy' END AS status,
+concat_ws('; ', CASE WHEN no_backlinks > 0.6 THEN 'link to more notes: most have no backlinks' END, CASE WHEN no_outlinks > 0.5 THEN 'add links: most notes link nowhere' END, CASE WHEN orphans > 0.3 THEN 'connect orphan notes' END, CASE WHEN hs >= 0.2 THEN 'split hub notes' END, CASE WHEN ds > 0.2 THEN 'repair dangling links' END) AS recommendations
+FROM (SELECT *, CAST(greatest(0, round(100 - least(40 * no_backlinks + 20 * no_outlinks, 30) - least(80 * orphans, 25) - least(50 * CASE WHEN hs >= 0.2 THEN hs ELSE 0 END, 25) - least(60 * ds, 20))) AS BIGINT) AS score FROM (SELECT *, dangling_mentions / mentions AS ds FROM met, said, (SELECT max(share) AS hs FROM hub)))""", HEALTH))
 def health_report(spark, sf):
-    return H.health_report(*resolved(spark, sf)).select("note_count", "mentions", "score", "status")
+    return H.health_report(*resolved(spark, sf)).withColumn("recommendations", F.array_join("recommendations", "; "))
 
 
 @query("hub_share", graph("SELECT dst_title, backlinks, round(share, 6) AS share, CASE WHEN share >= 0.5 THEN 'high' ELSE 'medium' END AS severity FROM hub WHERE share >= 0.0005", HEALTH))
@@ -185,7 +187,12 @@ def levenshtein_fuzzy_join(spark, sf):
     return H.fuzzy_candidates(table(spark, sf, "supplier").select(F.col("s_name").alias("text")), table(spark, sf, "customer").select(F.col("c_name").alias("text")))
 
 
-@query("link_issues")
+@query("link_issues", graph("""SELECT 'dangling' AS kind, CASE WHEN other IS NULL THEN 'high' ELSE 'medium' END AS severity, src_path, target, other AS suggested, CASE WHEN other IS NULL THEN 'create' ELSE 'replace' END AS action, coalesce(similarity, 0) AS confidence FROM open_ LEFT JOIN best USING (target)
+UNION ALL SELECT 'duplicate', CASE WHEN n > 3 THEN 'medium' ELSE 'low' END, src_path, target, NULL, 'review', 0 FROM (SELECT src_path, target, count(*) AS n FROM resolved GROUP BY ALL HAVING count(*) > 1)
+UNION ALL SELECT 'hub', CASE WHEN share >= 0.5 THEN 'high' ELSE 'medium' END, NULL, dst_title, NULL, 'split', 0.5 FROM hub WHERE share >= 0.2""", HEALTH + """,
+open_ AS (SELECT DISTINCT target, src_path FROM resolved WHERE dst_path IS NULL), names AS (SELECT title AS other FROM notes UNION SELECT basename FROM notes),
+sims AS (SELECT target, other, round(1.0 - levenshtein(lower(target), lower(other))::DOUBLE / greatest(length(target), length(other)), 6) AS similarity FROM (SELECT DISTINCT target FROM open_), names),
+best AS (SELECT target, other, similarity FROM sims WHERE similarity >= 0.6 QUALIFY row_number() OVER (PARTITION BY target ORDER BY similarity DESC, other) = 1)"""))
 def link_issues(spark, sf):
     return H.link_issues(*resolved(spark, sf))
 
@@ -229,15 +236,16 @@ def hold_out_links(spark, sf):
 
 @query("similar_link_clusters")
 def similar_link_clusters(spark, sf):
-    p = table(spark, sf, "part").groupBy(F.col("p_type").alias("target")).agg(F.count("*").alias("occurrences"), F.countDistinct("p_brand").alias("sources"))
-    return L.similar_clusters(p, 0.8)
+    p = table(spark, sf, "part").groupBy(F.col("p_name").alias("target")).agg(F.count("*").alias("occurrences"), F.countDistinct("p_brand").alias("sources"))
+    return L.similar_clusters(p, 0.7)
 
 
-@query("import_rewrite", graph(r"SELECT path, replace(replace(content, '[[' || t1 || ']]', '[[' || coalesce('n' || i1, '') || '|' || t1 || ']]'), '[[' || t2 || '|see]]', '[[' || 'n' || i2 || '|see]]') AS content FROM (SELECT path, content, 'Doc ' || i1 AS t1, 'doc-' || i2 AS t2, i1, i2 FROM (SELECT path, content, regexp_extract(content, '\[\[Doc (\d+)\]\]', 1) AS i1, regexp_extract(content, '\[\[doc-(\d+)\|see\]\]', 1) AS i2 FROM notes)) WHERE i1::BIGINT <= (SELECT max(doc_id) FROM documents) AND i2::BIGINT <= (SELECT max(doc_id) FROM documents)"))
+@query("import_rewrite", graph(r"""SELECT path, CASE WHEN i2::BIGINT IN (SELECT doc_id FROM documents) THEN replace(c1, '[[doc-' || i2 || '|see]]', '[[n' || i2 || '|see]]') ELSE c1 END AS content FROM (
+SELECT path, i2, CASE WHEN i1::BIGINT IN (SELECT doc_id FROM documents) THEN replace(content, '[[Doc ' || i1 || ']]', '[[n' || i1 || '|Doc ' || i1 || ']]') ELSE content END AS c1
+FROM (SELECT path, content, regexp_extract(content, '\[\[Doc (\d+)\]\]', 1) AS i1, regexp_extract(content, '\[\[doc-(\d+)\|see\]\]', 1) AS i2 FROM notes))""".replace("\\\\", "\\")))
 def import_rewrite(spark, sf):
-    n, r = resolved(spark, sf)
-    whole = r.groupBy("src_path").agg(F.count_if(F.col("dst_path").isNull()).alias("open")).filter("open = 0").select(F.col("src_path").alias("path"))
-    return I.rewrite_links(n.join(whole, "path", "left_semi"), I.title_mapping(n)).select("path", "content")
+    n = notes(spark, sf)
+    return I.rewrite_links(n, I.title_mapping(n)).select("path", "content")
 
 
 @query("generated_queries")

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from . import evaluation, graphs, retrieval, texts
+from . import evaluation, graphs, more, retrieval, texts
 
 FLAGSHIP = "bm25_batch"
-PARTS = (texts, retrieval, graphs, evaluation)
+PARTS = (texts, retrieval, graphs, evaluation, more)
 
 
 def queries() -> dict[str, Callable]:

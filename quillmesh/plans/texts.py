@@ -141,21 +141,34 @@ def concepts(spark, sf):
     return links.concepts(docs(spark, sf))
 
 
-@query("expand_query")
+#: A small lexicon of this library's own.
+SYNONYMS = {"developer": ["engineer", "programmer"], "research": ["study", "paper"], "license": ["permission", "terms"], "sea": ["search engine", "research"]}
+PHRASES = [("(?i)developer.*the", ["the developers", "guild"]), ("(?i)never matches this", ["nothing"])]
+
+
+def expand_sql() -> str:
+    q = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    lexicon = ", ".join(f"({i}, '{k}', {q(v)})" for i, (k, v) in enumerate(SYNONYMS.items()))
+    return rf"""WITH q AS (SELECT item_id AS query_id, 'developer research ' || text AS text FROM benchmark), lex(i, k, v) AS (VALUES {lexicon}),
+    w AS (SELECT query_id, text, list_filter(regexp_split_to_array(lower(text), '[\s,.?!;:''"()\[\]{{}}]+'), lambda x: length(x) > 1 AND NOT list_contains({q(expand.STOP_WORDS)}, x)) AS keywords FROM q),
+    e AS (SELECT query_id, unnest(range(len(keywords))) AS pos, unnest(keywords) AS kw FROM w),
+    m AS (SELECT query_id, pos, i, kw, unnest(range(len(v))) AS j, unnest(v) AS term FROM e JOIN lex ON kw = k OR contains(kw, k) OR contains(k, kw)),
+    p AS (SELECT query_id, -1 AS pos, 0 AS i, unnest([0, 1]) AS j, unnest({q(PHRASES[0][1])}) AS term FROM q WHERE regexp_matches(text, '{PHRASES[0][0]}')),
+    a AS (SELECT query_id, term, min((pos, i, j)) AS place FROM (SELECT query_id, pos, i, j, term FROM m WHERE lower(term) <> kw UNION ALL SELECT * FROM p) GROUP BY ALL),
+    f AS (SELECT a.query_id, term, row_number() OVER (PARTITION BY a.query_id ORDER BY place) AS r FROM a JOIN w USING (query_id) WHERE NOT list_contains(keywords, lower(term)))
+    SELECT w.query_id, array_to_string(any_value(keywords), ' ') AS keywords, coalesce(string_agg(term, ';' ORDER BY r), '') AS expansions FROM w LEFT JOIN f ON w.query_id = f.query_id AND r <= 8 GROUP BY w.query_id"""
+
+
+@query("expand_query", expand_sql())
 def expand_query(spark, sf):
     q = table(spark, sf, "benchmark").select(F.col("item_id").alias("query_id"), F.concat(F.lit("developer research "), "text").alias("text"))
-    return q.select("query_id", expand.expand_query("text").alias("e")).select("query_id", F.array_join("e.keywords", " ").alias("keywords"), F.array_join("e.expansions", ";").alias("expansions"))
+    return q.select("query_id", expand.expand_query("text", SYNONYMS, PHRASES).alias("e")).select("query_id", F.array_join("e.keywords", " ").alias("keywords"), F.array_join("e.expansions", ";").alias("expansions"))
 
 
-@query("corpus_hash")
+@query("corpus_hash", """SELECT corpus_hash, documents FROM (SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS documents FROM (
+SELECT b, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || chr(0) || sha256(coalesce(text, '')) AS line, doc_id % 4096 AS b FROM documents) GROUP BY b))""")
 def corpus_hash(spark, sf):
-    return search_text.corpus_hash(docs(spark, sf))
-
-
-@query("corpus_hash_flat", "SELECT sha256(string_agg(CAST(doc_id AS VARCHAR) || chr(0) || sha256(text), chr(10) ORDER BY doc_id)) AS corpus_hash, count(*) AS documents FROM documents")
-def corpus_hash_flat(spark, sf):
-    d = docs(spark, sf).select("doc_id", F.concat_ws("\x00", F.col("doc_id").cast("string"), F.sha2("text", 256)).alias("line"))
-    return d.agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("doc_id", "line"))), lambda x: x["line"]), "\n"), 256).alias("corpus_hash"), F.count("*").alias("documents"))
+    return search_text.corpus_hash(docs(spark, sf), bucket=F.pmod("doc_id", F.lit(4096)))
 
 
 @query("message_search", """SELECT conv_id, CAST(turn AS BIGINT) AS turn, role, substring(text, greatest(i - 30, 1), i - greatest(i - 30, 1) + 70) AS context FROM (SELECT *, instr(lower(text), 'the') AS i FROM conversations WHERE contains(lower(text), 'the') AND contains(lower(text), 'of')) ORDER BY conv_id DESC, turn LIMIT 20""")

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions import vector as V
 
 SEARCH_SCHEMA = "id string, query string, answerable boolean, expected_notes array<string>, expected_spans array<struct<note_path:string,start:int,end:int,text:string>>, language string, difficulty string, tags array<string>, source string, created_at string, expected_answer_summary string, category string"
 LINKS_SCHEMA = "id string, source_note string, anchor string, expected_links array<string>, anchor_range struct<start:int,end:int>, context string, language string, tags array<string>, created_at string"
@@ -86,9 +89,14 @@ def read_jsonl(spark: SparkSession, path: str, schema: str, strict: bool = False
 
     Lenient: wrong rows stay, with their line and problem, for a quarantine. Strict: the first one fails the read.
     """
-    lines = spark.read.text(path).filter((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#")))
+    return jsonl_rows(spark.read.text(path), schema, strict)
+
+
+def jsonl_rows(lines: DataFrame, schema: str, strict: bool = False) -> DataFrame:
+    """read_jsonl of lines in column value, of a table or a stream."""
+    some = lines.filter((F.trim("value") != "") & ~F.startswith(F.trim("value"), F.lit("#")))
     row = F.from_json("value", schema + ", _corrupt string", {"mode": "FAILFAST" if strict else "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    return lines.select("value", row.alias("r")).select("r.*", F.col("value").alias("line"))
+    return some.select("value", row.alias("r")).select("r.*", F.col("value").alias("line"))
 
 
 def search_problem():
@@ -139,16 +147,106 @@ def read_snapshot(spark: SparkSession, path: str, version: str = "1.0") -> DataF
 
 
 def write_report(summary: DataFrame, per_item: DataFrame, errors: DataFrame, out: str) -> None:
-    """summary, per_item and errors as JSON lines under `out`."""
+    """summary, per_item and errors as JSON lines under `out`, and the one-row summary as a Markdown table."""
     for name, df in (("summary", summary), ("per_item", per_item), ("errors", errors)):
         df.write.mode("overwrite").json(f"{out}/{name}")
+    rows = F.array(*[F.concat(F.lit(f"| {c} | "), F.coalesce(F.col(f"`{c}`").cast("string"), F.lit("-")), F.lit(" |")) for c in summary.columns])
+    text = F.concat(F.lit("# Evaluation\n\n| metric | value |\n|-|-|\n"), F.array_join(rows, "\n"))
+    summary.select(text.alias("value")).coalesce(1).write.mode("overwrite").text(f"{out}/summary_md")
+
+
+def write_snapshot(spark: SparkSession, out: str, fields: dict, version: str = "1.0") -> None:
+    """A snapshot's fields as one JSON row; read_snapshot reads it."""
+    row = {"version": version, **fields}
+    spark.createDataFrame([tuple(row.values())], list(row)).coalesce(1).write.mode("overwrite").json(out)
+
+
+def write_state(state: DataFrame, root: str) -> None:
+    """A table as the current state under root: written to a folder of its own, then named by the pointer, so that readers see
+    the old or the new one whole."""
+    import uuid
+
+    spark, name = state.sparkSession, f"v-{uuid.uuid4().hex}"
+    state.write.parquet(f"{root}/{name}")
+    jvm = spark._jvm
+    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
+    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
+    new = f"{root}/.next-{name}"
+    out = fs.create(at(new), True)
+    out.write(name.encode())
+    out.close()
+    fs.delete(at(f"{root}/CURRENT"), False)
+    fs.rename(at(new), at(f"{root}/CURRENT"))
+
+
+def read_state(spark: SparkSession, root: str) -> DataFrame | None:
+    """The current state under root, or None where there is none or it can't be read."""
+    jvm = spark._jvm
+    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
+    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(path):
+        return None
+    name = spark.read.text(f"{root}/CURRENT").first()
+    try:
+        return spark.read.parquet(f"{root}/{name[0]}")
+    except Exception:  # a pointer to what is gone or no table counts as no state
+        return None
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
-    chunks.write.mode("append").parquet(path)
+    """Appends chunks with their embeddings at unit length."""
+    chunks.withColumn("embedding", V.l2_normalize("embedding").cast("array<float>")).write.mode("append").parquet(path)
+
+
+def _inner(root: str):
+    """A file's path below root."""
+    return F.substring("path", F.length(F.regexp_extract("path", "^(.*" + root.rstrip("/").replace("file://", "") + "/)", 1)) + 1, F.lit(1 << 20))
+
+
+def glob_files(spark: SparkSession, root: str, pattern: str, limit: int | None = 100, depth: int = 10) -> DataFrame:
+    """The first `limit` files by path that match, at most `depth` folders down: path, length, mtime.
+
+    A pattern without / is one of names in any folder; otherwise ** stands for any folders, * and ? stay within a name.
+    """
+    whole = pattern if "/" in pattern else f"**/{pattern}"
+    parts = re.split(r"(\*\*/|\*\*|\*|\?)", whole)
+    put = {"**/": "(?:[^/]+/)*", "**": ".*", "*": "[^/]*", "?": "[^/]"}
+    want = "^" + "".join(put.get(p) or "".join("\\" + c if c in r"\.[]{}()+-^$|" else c for c in p) for p in parts) + "$"
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", F.col("modificationTime").alias("mtime"), _inner(root).alias("_i"))
+    kept = df.filter(F.rlike("_i", F.lit(want)) & (F.size(F.split("_i", "/")) <= depth + 1)).drop("_i").orderBy("path")
+    return kept if limit is None else kept.limit(limit)
+
+
+def list_files(spark: SparkSession, root: str, pattern: str = "*.md", limit: int = 100, by: str | None = None, descending: bool = False) -> DataFrame:
+    """path, title, size and mtime of the first `limit` matching files, then sorted by title, size or mtime: the limit comes
+    first."""
+    files = glob_files(spark, root, pattern, limit).select("path", T.basename("path").alias("title"), F.col("length").alias("size"), "mtime")
+    return files if by is None else files.orderBy(F.desc(by) if descending else F.asc(by), "path")
+
+
+def validate_sample(spark: SparkSession, path: str, kind: str = "search", valid: int = 10) -> DataFrame:
+    """The rows of a dataset up to its `valid`-th right one, in file order: line and problem (null: right)."""
+    rows = read_jsonl(spark, path, SEARCH_SCHEMA if kind == "search" else LINKS_SCHEMA).withColumn("problem", search_problem() if kind == "search" else links_problem())
+    placed = rows.select("line", "problem", F.monotonically_increasing_id().alias("_at"))
+    last = placed.filter("problem is null").orderBy("_at").limit(valid).agg(F.max("_at").alias("_last"), F.count("*").alias("_n"))
+    return placed.join(F.broadcast(last)).filter((F.col("_n") < valid) | (F.col("_at") <= F.col("_last"))).orderBy("_at").select("line", "problem")
+
+
+def dataset_stream(spark: SparkSession, path: str, kind: str = "search") -> DataFrame:
+    """A stream of a folder's dataset rows with `problem`, a few files at a time."""
+    rows = jsonl_rows(spark.readStream.option("maxFilesPerTrigger", 8).text(path), SEARCH_SCHEMA if kind == "search" else LINKS_SCHEMA)
+    return rows.withColumn("problem", search_problem() if kind == "search" else links_problem())
+
+
+#: Folders and endings that don't count for the hash of a corpus; its own state folder is an argument.
+HASH_SKIP, HASH_ENDINGS = (".git", "eval", "node_modules", ".DS_Store"), (".tmp", ".swp")
 
 
-def glob_files(spark: SparkSession, root: str, pattern: str, limit: int = 100) -> DataFrame:
-    """The first `limit` files by path whose name matches: path, length, mtime."""
-    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root)
-    return df.select("path", "length", F.col("modificationTime").alias("mtime")).orderBy("path").limit(limit)
+def read_for_hash(spark: SparkSession, root: str, skip: tuple[str, ...] = ()) -> DataFrame:
+    """path, content_hash and mtime of the files whose hash a corpus hash folds."""
+    df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).withColumn("_i", F.concat(F.lit("/"), _inner(root)))
+    for name in (*HASH_SKIP, *skip):
+        df = df.filter(~F.contains(F.concat("_i", F.lit("/")), F.lit(f"/{name}/")))
+    for end in HASH_ENDINGS:
+        df = df.filter(~F.endswith("_i", F.lit(end)))
+    return df.select("path", F.sha2("content", 256).alias("content_hash"), F.col("modificationTime").alias("mtime"))
