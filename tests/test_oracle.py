@@ -1,4 +1,4 @@
-"""Registered queries against their SQL, both on the smallest tables."""
+"""Registered queries against their SQL, to six digits; what has no SQL is run whole."""
 
 import math
 
@@ -8,7 +8,11 @@ import pytest
 from quillmesh.plans import registry
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-AT = "/root/testdata/sf0.001"
+AT = "/root/testdata/sf0.01"
+
+
+#: Queries whose tables may hold nothing to find at the smallest size.
+MAY_BE_EMPTY = {"similar_link_clusters"}
 
 
 @pytest.fixture(scope="module")
@@ -21,7 +25,7 @@ def duck():
 
 def plain(v):
     if isinstance(v, float):
-        return None if math.isnan(v) else round(v, 5) + 0.0
+        return None if math.isnan(v) else round(v, 6) + 0.0
     return str(v)[:19] if hasattr(v, "isoformat") else v
 
 
@@ -37,4 +41,5 @@ def test_matches_sql(spark, duck, name):
 
 @pytest.mark.parametrize("name", sorted(set(registry.queries()) - set(registry.oracle_sql())))
 def test_runs(spark, name):
-    assert registry.queries()[name](spark, AT).schema is not None
+    rows = registry.queries()[name](spark, "/root/testdata/sf0.001").collect()
+    assert rows or name in MAY_BE_EMPTY

@@ -98,8 +98,11 @@ def test_anchor_kinds():
 
 
 def test_expand(spark):
-    e = one(spark, "the developer meetup", expand.expand_query)
-    assert e.keywords == ["developer", "meetup"] and "개발자" in e.expansions and len(e.expansions) <= 8
+    words = {"developer": ["engineer", "Developer"], "meet": ["gathering"], "지도": ["map"]}
+    e = one(spark, "the developer meetup 에서 지도", lambda t: expand.expand_query(t, words, [("developer.*meetup", ["guild"])]))
+    assert e.keywords == ["developer", "meetup", "지도"] and e.expansions == ["guild", "engineer", "gathering", "map"]
+    lexicon = expand.lexicon_of(spark.createDataFrame([("b", ["x"]), ("a", ["y", "z"])], "key string, related array<string>"))
+    assert lexicon == {"a": ["y", "z"], "b": ["x"]}
 
 
 def test_cdc_scenarios(spark):
