@@ -99,11 +99,11 @@ def test_fuzzy_join_and_link_lines_take_every_candidate(spark, tmp_path):
     for a in left:
         found = sorted((-similarity(a.lower(), b.lower()), b) for b in right)
         want |= {(a, b, -s, k) for k, (s, b) in enumerate(found[:5], 1) if -s >= 0.6}
-    got = registry.queries()["levenshtein_fuzzy_join_all"](spark, str(tmp_path))
+    got = registry.queries()["levenshtein_fuzzy_join"](spark, str(tmp_path))
     assert {(x.text, x.other, x.similarity, x["rank"]) for x in got.collect()} == want
 
     spark.createDataFrame([(k, f"text {k}") for k in range(30)], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
-    lines = {(x.path, x.target): x.n for x in registry.queries()["link_lines_all"](spark, str(tmp_path)).collect()}
+    lines = {(x.path, x.target): x.n for x in registry.queries()["link_lines"](spark, str(tmp_path)).collect()}
     assert lines == {(f"notes/doc-{k}.md", t): 1 for k in range(30) for t in (f"doc {(k * 7 + 3) % 33}", f"doc-{(k * 13 + 5) % 33}")}
 
 
