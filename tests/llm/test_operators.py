@@ -157,7 +157,7 @@ def test_byte_bpe_equals_the_library(spark, docs, odd):
     ranks = read_ranks(P.path("byte_bpe_multi_50k.tiktoken"))
     own = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=ranks, special_tokens={})
     white = spark.createDataFrame([(1, "a \n\n b\x85\xa0 c  　 d 's don't !!\x1cx"), (2, "\U0001f642 " * 9), (3, "y" * 5000)], DOCS)
-    for df in (docs, odd.select("doc_id", "text"), white):
+    for df in (docs, odd.withColumn("n_tokens", F.lit("clash")).withColumn("ids_sha256", F.lit(1)), white, odd.limit(0)):
         want = collections.Counter()
         for r in df.collect():
             ids = own.encode_ordinary(r.text or "")
@@ -183,6 +183,23 @@ def test_warc_round_trip(spark):
     assert read_archives(write_archives(pages.limit(0))).count() == 0
 
 
+def test_warc_of_very_long_payloads(spark):
+    from quillmesh.llm.warc import read_archives, write_archives
+
+    rows = [(1, "u", "z" * 9_000_000), (2, "u", "z" * 9_000_000), (3, "u", "y" * 20_000_000)]
+    got = {r.page_id: (r.payload_bytes, r.payload_digest, r.refers_to) for r in read_archives(write_archives(spark.createDataFrame(rows, "page_id long, url string, html string"))).collect()}
+    assert got == {k: (len(t), hashlib.sha256(t.encode()).hexdigest(), 1 if k == 2 else None) for k, _, t in rows}
+
+
+def test_encoders_are_kept_by_their_vocabulary():
+    from quillmesh.llm import bpe
+
+    letters = {bytes([k]): k for k in range(256)}
+    a, b = {**letters, b"ab": 256}, {**letters, b"bc": 256}
+    ids = [[np.frombuffer(raw, "<u4").tolist() for raw in bpe.text_encoder(bpe.vocabulary_key(r, "(?s).+", {}), r, "(?s).+", {})(["abc"])] for r in (a, b)]
+    assert ids == [[[256, 99]], [[97, 256]]]
+
+
 def test_bundles_are_plain_zstandard():
     import io
 
@@ -309,6 +326,17 @@ def test_packing_keeps_every_id_once(spark, docs, odd):
     assert pack_documents(df.limit(0), P.path("word_bpe_49k.json")).count() == 0
 
 
+def test_packing_of_repeated_rows(spark, odd):
+    import public_tokenizers as P
+
+    from quillmesh.llm.packing import pack_documents
+
+    df = odd.union(odd).withColumn("start", F.lit("clash")).withColumn("sequence_id", F.lit(2))
+    got = pack_documents(df, P.path("word_bpe_49k.json")).collect()
+    assert collections.Counter(r.doc_id for r in got if r.start == 0) == collections.Counter(d for d, _ in ODD + ODD)
+    assert sum(r.length for r in got) == sum(r.doc_tokens for r in got if r.start == 0)
+
+
 def test_extraction(spark):
     from quillmesh.llm.extraction import extract_pages
 
