@@ -576,3 +576,21 @@ def test_likeness_counts_spans_within():
     assert fp.likeness(mark(()), mark((3, 996))) > 0.95 and fp.likeness(mark(()), mark(range(5, 1000, 100))) > 0.85
     assert fp.likeness(mark(()), other) < 0.3
     assert fp.likeness(fp.fingerprint(fp.Prefixes("")), mark(())) == 0
+
+
+def test_run_cache_matches_library():
+    """Whole texts by the library itself, over letters whose case or normal form is more than a letter, and a cache that turns over."""
+    import public_tokenizers
+
+    from quillmesh.llm.wordids import CachedIds
+
+    cached = CachedIds(public_tokenizers.path("word_bpe_49k.json"), most=2000)
+    assert cached.folds
+    r = random.Random(5)
+    odd = "aAbJ\u030c\u0130\u03a3\u03c3\u03c2\u00c9e\u0301\u00df\u01c5\u0915\u093c\u0958.,'\"<|>$#@sS tT\n\t\x0b\x0c\x1c\u3000\xa01\u0662\uff13\u65e5\ufb01K\u0338=<"
+    texts = ["".join(r.choice(odd) for _ in range(r.randrange(60))) for _ in range(3000)]
+    texts += ["<|endoftext|> x<|startoftext|>. <|EndOfText|>", "It's DON'T. we'll' '' 's'S", "", "\u0130stanbul. \u039f\u0394\u039f\u03a3. \u0130, \u0958. Stra\u00dfe!! 3, ##,"]
+    for k in range(0, len(texts), 100):
+        part = texts[k : k + 100]
+        want = [np.array(cached.tokenizer.encode(t, add_special_tokens=False).ids, "<u4").tobytes() for t in part]
+        assert cached(part) == want
