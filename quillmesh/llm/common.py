@@ -22,6 +22,14 @@ def bound_batches(spark: SparkSession, rows: int = BATCH_ROWS, size: int = BATCH
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(size))
 
 
+def give_back() -> None:
+    """Returns freed memory of this process to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
+    if trim:
+        trim(0)
+
+
 def released(run):
     """A function over batches that gives what memory it has freed back to the system when it ends: Python workers are used
     again by other stages, and their peaks would add up."""
@@ -30,10 +38,7 @@ def released(run):
         try:
             yield from run(batches)
         finally:
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # where the C library has it
-            if trim:
-                trim(0)
+            give_back()
 
     return whole
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, as_bytes, blocks, bound_batches, released
+from .common import Words, as_bytes, blocks, bound_batches, give_back, released
 from .labelled import held_out, prior_shift, training_rows
 
 BUCKETS, BINS, RANK = 1 << 15, 16, 8
@@ -130,7 +130,9 @@ class FactorisationMachine:
 
 def train(docs: DataFrame, labels: DataFrame) -> FactorisationMachine:
     """The model of labels.quality; without labelled rows it scores every text near 0.5."""
-    return FactorisationMachine().fit(*training_rows(docs, labels, "quality", MODULUS, REST))
+    model = FactorisationMachine().fit(*training_rows(docs, labels, "quality", MODULUS, REST))
+    give_back()  # the driver's texts and features
+    return model
 
 
 def quality_scores(docs: DataFrame, model: FactorisationMachine, out: str = "score") -> DataFrame:

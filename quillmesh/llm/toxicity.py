@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import U64, Words, as_bytes, blocks, bound_batches, mix, released
+from .common import U64, Words, as_bytes, blocks, bound_batches, give_back, mix, released
 from .labelled import held_out, prior_shift, training_rows
 
 WIDTH, STRIDE, HIDDEN, EMBEDDED = 32, 24, 8, 6
@@ -293,7 +293,9 @@ def best_shift(z: np.ndarray, y: np.ndarray) -> float:
 
 def train(docs: DataFrame, labels: DataFrame) -> GatedNetwork:
     """The model of labels.toxic; without labels of both kinds it scores every text alike."""
-    return GatedNetwork().fit(*training_rows(docs, labels, "toxic", MODULUS, REST))
+    model = GatedNetwork().fit(*training_rows(docs, labels, "toxic", MODULUS, REST))
+    give_back()  # the driver's texts and features
+    return model
 
 
 def toxicity_scores(docs: DataFrame, model: GatedNetwork, out: str = "score") -> DataFrame:
