@@ -73,6 +73,24 @@ def op10_toxicity_gru(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classify_toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .periodicity import run_digests
+
+    return run_digests(table(spark, sf_dir, "documents"))
+
+
+def op12_va_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .negatives import mine_negatives
+
+    return mine_negatives(table(spark, sf_dir, "embeddings"))
+
+
+def op13_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .simhash import simhash_groups
+
+    return simhash_groups(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: f for k, f in globals().items() if k.startswith("op") and callable(f)}
 
@@ -88,4 +106,17 @@ def oracle_sql() -> dict[str, str]:
                    CASE WHEN first_id IS DISTINCT FROM page_id THEN first_id END AS refers_to
             FROM f
         """,
+        "op12_va_negatives": """
+            WITH e AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                              [floor(256 * CAST(x AS DOUBLE)) FOR x IN embedding] AS q
+                       FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len([1 FOR x IN embedding IF x IS NULL OR NOT isfinite(x)]) = 0),
+            s AS (SELECT a.vec_id AS anchor_id, e.vec_id AS other, a.label = e.label AS same, CAST(list_dot_product(a.q, e.q) AS BIGINT) AS score
+                  FROM e AS a, e WHERE a.vec_id % 50 = 0),
+            p AS (SELECT anchor_id, other AS positive_id, score AS positive_score FROM s WHERE same AND other <> anchor_id
+                  QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, other) <= 5)
+            SELECT p.anchor_id, positive_id, CAST(row_number() OVER (PARTITION BY p.anchor_id, positive_id ORDER BY score DESC, other) AS INTEGER) AS rank,
+                   other AS negative_id, positive_score, score AS negative_score
+            FROM p JOIN s ON s.anchor_id = p.anchor_id AND NOT same AND 50 * positive_score <= 100 * score AND 100 * score <= 95 * positive_score
+            QUALIFY rank <= 3
+        """,
     }
