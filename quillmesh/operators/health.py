@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import similarity as S
 from ..functions import text as T
 from . import graph as G
+from .fuzzy import fuzzy_candidates
 
 #: Shares from which a state is unhealthy.
 THRESHOLDS = {"no_backlinks": 0.6, "no_outlinks": 0.5, "orphans": 0.3, "hub": 0.2, "hub_high": 0.5, "dangling": 0.2}
@@ -71,35 +72,6 @@ def duplicate_links(resolved: DataFrame) -> DataFrame:
     return resolved.groupBy("src_path", "target").agg(F.count("*").alias("occurrences")).filter("occurrences > 1").withColumn("severity", F.when(F.col("occurrences") > 3, "medium").otherwise("low"))
 
 
-#: Parts of a length band.
-BAND_PARTS = 64
-
-
-def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6, k: int = 5) -> DataFrame:
-    """For each left text its k most similar right texts by Levenshtein similarity: text, other, similarity, rank.
-
-    Texts are normalized-distinct first. A pair can only reach the threshold if its lengths differ by at most (1 - t) of
-    the longer, so pairs are found by equal length bands, dealt in BAND_PARTS by a hash of the right text so that texts of one
-    length are not one task's load. Distances are only counted up to what the threshold allows. Within a band all pairs are
-    compared: what is alike to .6 need share no rare part by which fewer could be found.
-    """
-    parts = max(BAND_PARTS, int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
-    a = left.select("text").distinct().withColumns({"l": F.length("text"), "tl": F.lower("text")})
-    b = right.select(F.col("text").alias("other")).distinct().withColumns({"m": F.length("other"), "ol": F.lower("other")}).withColumn("deal", F.pmod(F.xxhash64("other"), F.lit(BAND_PARTS)).cast("int"))
-    low, high = F.ceil(F.col("l") * threshold - 1e-9).cast("int"), F.floor(F.col("l") / threshold + 1e-9).cast("int")
-    asked = a.select("text", "tl", "l", F.explode(F.sequence(low, high)).alias("m")).join(b.select("m").distinct(), "m", "left_semi")
-    asked = asked.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(BAND_PARTS - 1))))
-    # Few bytes but much work a row: a stated number of partitions is not merged into fewer.
-    pairs = asked.repartition(parts, "m", "deal").join(b.repartition(parts, "m", "deal"), ["m", "deal"])
-    longest = F.greatest("l", "m")
-    most = F.floor(longest * (1 - threshold) + 1e-9).cast("int")
-    distance = F.call_function("levenshtein", F.col("tl"), F.col("ol"), most)
-    near = pairs.select("text", "other", distance.alias("d"), longest.alias("longest")).filter("d >= 0")
-    sim = F.when(F.col("longest") == 0, 1.0).otherwise(1.0 - F.col("d") / F.greatest("longest", F.lit(1)))
-    near = near.select("text", "other", F.round(sim, 6).alias("similarity")).filter(F.col("similarity") >= threshold)
-    return near.select("text", "other", "similarity", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "other")).alias("rank")).filter(F.col("rank") <= k)
-
-
 def link_issues(notes: DataFrame, resolved: DataFrame, threshold: float = 0.6) -> DataFrame:
     """Dangling, duplicate and hub issues in one frame: kind, severity, src_path, target, suggested, action, confidence."""
     titles = notes.select(F.col("title").alias("text")).union(notes.select("basename")).distinct()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections.abc import Callable
 
 import pandas as pd
@@ -13,6 +14,7 @@ from pyspark.sql.types import StringType
 
 from ..functions import text as T
 from .links import LINK, apply_wikilinks
+from .titles import HITS, find_titles
 
 PROTECTED = re.compile(r"\[\[.*?\]\]|\[[^\]]*\]\([^)]*\)|```.*?```|`[^`\n]*`", re.S)
 
@@ -45,27 +47,35 @@ def rewrite_links(notes: DataFrame, mapping: DataFrame) -> DataFrame:
 
 
 def title_occurrences(notes: DataFrame, titles: DataFrame, least: int = 3, around: int = 50) -> DataFrame:
-    """path, target, start, end and context of every whole-word occurrence of a title outside links and code.
+    """path, target, start, end and context of whole-word occurrences of titles outside links and code, whatever their case.
 
-    A title is looked for only in notes that hold its first word, which is an equi-join; a note's own title is left out.
+    Of occurrences that overlap in a note the longest title has it, then the first by title, then by place. A note's own title
+    is left out unless another note has it, too. Found by automata over all titles (see titles.find_titles). Null contents
+    and titles have none; an empty table gives none.
     """
-    named = titles.select(F.col("path").alias("_owner"), "title").filter(F.length("title") >= least).withColumn("w", F.try_element_at(T.tokenize("title"), F.lit(1))).filter("w is not null")
-    words = notes.select("path", F.explode(F.array_distinct(T.tokenize("content"))).alias("w"))
-    asked = words.join(named, "w").filter("path <> _owner").groupBy("path").agg(F.array_sort(F.collect_set("title")).alias("titles"))
 
-    def run(batches):
-        for b in batches:
-            rows = []
-            for path, text, known in zip(b["path"], b["content"], b["titles"], strict=True):
+    def of_hits(path, text, hits):
+        found, taken = list(hits), None
+        for t, a, b in found:
+            if taken is None:
                 taken = [m.span() for m in PROTECTED.finditer(text)]
-                for t in sorted(known, key=lambda t: (-len(t), t)):
-                    for m in re.finditer(rf"(?<!\w){re.escape(t)}(?!\w)", text, re.I):
-                        if not any(m.start() < y and m.end() > x for x, y in taken):
-                            taken.append(m.span())
-                            rows.append((path, t, m.start(), m.end(), text[max(0, m.start() - around) : m.end() + around].replace("\n", " ")))
-            yield pd.DataFrame(rows, columns=["path", "target", "start", "end", "context"])
-
-    return notes.join(asked, "path").select("path", "content", "titles").mapInPandas(run, "path string, target string, start int, end int, context string")
+            if not any(a < y and b > x for x, y in taken):
+                yield path, t, a, b, text[max(0, a - around) : b + around].replace("\n", " ")
+
+    hits = find_titles(notes, titles, HITS, of_hits, least=least, whole_words=True)
+
+    def longest_first(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.assign(_n=own["start"] - own["end"]).sort_values(["_n", "target", "start"])
+        kept, ends, starts = [], [], []
+        for i, a, b in zip(own.index, own["start"], own["end"], strict=True):
+            at = bisect_left(starts, b)  # spans that begin before this one ends; they don't overlap one another
+            if not at or ends[at - 1] <= a:
+                starts.insert(at, a)
+                ends.insert(at, b)
+                kept.append(i)
+        return own.loc[kept].drop(columns="_n")
+
+    return hits.groupBy("path").applyInPandas(longest_first, HITS)
 
 
 def judge(candidates: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], threshold: float = 0.5) -> DataFrame:

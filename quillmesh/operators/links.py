@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..session import materialize
 
 #: Words that are no anchors by themselves.
 STOP_EN = frozenset(
@@ -25,15 +26,14 @@ LINK = re.compile(r"\[\[([^\]|#]+)(?:#([^\]|]+))?(?:\|([^\]]+))?\]\]")
 EDGE = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 #: Code points by which texts that may hold one another are found.
 BLOCK = 64
-#: Parts of the texts that share a bigram.
-GRAM_PARTS = 8
 ANCHORS = "path string, text string, start int, end int, kind string"
 
 
-def anchors_of(text: str, titles: list[str] = (), least: int = 2, most: int = 100, most_words: int = 10) -> list[tuple[str, int, int, str]]:
+def anchors_of(text: str, titles: list[str] = (), least: int = 2, most: int = 100, most_words: int = 10, spans: list[tuple[int, int]] = ()) -> list[tuple[str, int, int, str]]:
     """Non-overlapping anchor spans in order: at a start the best kind, then the longest; earlier spans win.
 
-    Spans within existing links are left out. Titles match as substrings whatever their case, kind title_match.
+    Spans within existing links are left out. Titles match as substrings whatever their case, kind title_match; `spans` are
+    places of titles that are found already.
     """
     taken = [m.span() for m in LINK.finditer(text)]
     found: list[tuple[int, int, int, str]] = []
@@ -42,6 +42,8 @@ def anchors_of(text: str, titles: list[str] = (), least: int = 2, most: int = 10
         if least <= end - start <= most and not any(start < b and end > a for a, b in taken):
             found.append((start, PRIORITY[kind], -(end - start), kind))
 
+    for a, b in spans:
+        add(a, b, "title_match")
     low = text.lower()
     for title in titles:
         t = title.lower()
@@ -72,17 +74,27 @@ def anchors_of(text: str, titles: list[str] = (), least: int = 2, most: int = 10
     return out
 
 
-def extract_anchors(notes: DataFrame, titles: list[str] | None = None) -> DataFrame:
-    """Anchor spans (see ANCHORS) of notes with path and content. `titles` is a bounded list that travels with the tasks;
-    for large vaults leave it out and use match_targets, which joins."""
-    titles = list(titles or [])
+def extract_anchors(notes: DataFrame, titles: list[str] | DataFrame | None = None) -> DataFrame:
+    """Anchor spans (see ANCHORS) of notes with path and content, and the places where titles stand, whatever their case.
+
+    `titles` are a bounded list that travels with the tasks, or any number of rows (path, title), which automata find; of
+    the latter, a note's own title counts only if another note has it, too. Null contents have no anchors.
+    """
+    from .titles import title_hits
+
+    few = [] if titles is None or isinstance(titles, DataFrame) else list(titles)
+    asked = notes.select("path", "content", F.lit(None).cast("array<struct<a:int,b:int>>").alias("spans"))
+    if isinstance(titles, DataFrame):
+        hits = title_hits(notes, titles, overlapping=True).groupBy("path").agg(F.collect_set(F.struct(F.col("start").alias("a"), F.col("end").alias("b"))).alias("spans"))
+        asked = notes.select("path", "content").join(hits, "path", "left")
 
     def run(batches):
         for b in batches:
-            rows = [(p, *a) for p, t in zip(b["path"], b["content"], strict=True) for a in anchors_of(t or "", titles)]
+            spans = [[(x["a"], x["b"]) for x in s] if s is not None else [] for s in b["spans"]]
+            rows = [(p, *a) for p, t, s in zip(b["path"], b["content"], spans, strict=True) for a in anchors_of(t or "", few, spans=s)]
             yield pd.DataFrame(rows, columns=["path", "text", "start", "end", "kind"])
 
-    return notes.select("path", "content").mapInPandas(run, ANCHORS)
+    return asked.mapInPandas(run, ANCHORS)
 
 
 def _blocks(texts: DataFrame, name: str, lengths: list[int], side: int) -> DataFrame:
@@ -101,7 +113,24 @@ def _first(rows: DataFrame, name: str, k: int) -> DataFrame:
     return rows.withColumn("_n", F.row_number().over(Window.partitionBy(name).orderBy("path"))).filter(F.col("_n") <= k + 1).drop("_n")
 
 
-def match_targets(anchors: DataFrame, notes: DataFrame, threshold: float = 0.3, k: int = 3) -> DataFrame:
+def semantic_targets(anchors: DataFrame, notes: DataFrame, index: DataFrame, quantizer, chunks: DataFrame, *, embedder=None, threshold: float = 0.3, k: int = 3, probes: int | None = None) -> DataFrame:
+    """key, path, title, base: for each distinct anchor text (key, in lower case without outer blanks) the notes of its 2 k
+    nearest chunks by meaning whose cosine reaches the threshold, with their best chunk's.
+
+    index and quantizer are an approximate vector index (see ann) of chunks (id, path); texts are embedded by the same
+    embedder as the chunks. probes: lists asked; None is the exact way. For match_targets.
+    """
+    from .ann import search
+    from .index import embed
+
+    keys = anchors.select(F.lower(F.trim("text")).alias("key")).filter("key is not null").distinct().withColumn("query_id", F.xxhash64("key"))
+    asked = embed(keys, "key", embedder).select("query_id", F.col("embedding").alias("vector"))
+    hits = search(index, quantizer, asked, 2 * k, probes=probes).filter(F.col("similarity") >= threshold)
+    best = hits.join(chunks.select("id", "path"), "id").groupBy("query_id", "path").agg(F.max("similarity").alias("base"))
+    return best.join(keys, "query_id").join(notes.select("path", "title"), "path").select("key", "path", "title", "base")
+
+
+def match_targets(anchors: DataFrame, notes: DataFrame, threshold: float = 0.3, k: int = 3, semantic: DataFrame | None = None) -> DataFrame:
     """anchors with their best k targets: exact title 1, alias .95, header .85, partial title .7 * overlap (at least half).
 
     Exact, alias and header matches are equi-joins on the lower-case text; every note with the header is a target, and of
@@ -109,6 +138,9 @@ def match_targets(anchors: DataFrame, notes: DataFrame, threshold: float = 0.3,
     text's first BLOCK code points with the longer's substrings of each length that titles have, over distinct texts, so
     all containments of at least half are found. A note is no target of its own anchors. Notes that share a header or title
     score alike and rank by path, so the first k + 1 of them, and of an anchor's targets, are enough for the best k.
+
+    With `semantic` (see semantic_targets) an anchor of fewer than k targets also gets notes that are near by meaning, at .8
+    of their similarity; a note that is a target already keeps its score.
     """
     low = F.lower(F.trim("title"))
     title = notes.groupBy(low.alias("key")).agg(F.max(F.struct("path", "title")).alias("m")).select("key", "m.path", "m.title", F.lit(1.0).alias("base"), F.lit("exact").alias("match"))
@@ -131,6 +163,13 @@ def match_targets(anchors: DataFrame, notes: DataFrame, threshold: float = 0.3,
     order = Window.partitionBy("key").orderBy(F.desc("score"), "path")
     targets = best.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= k + 1)
     best = asked.distinct().join(targets, "key").filter(F.col("src_path") != F.col("path")).select("src_path", "text", "start", "end", "kind", "path", "title", "score", "match")
+    if semantic is not None:
+        near = asked.distinct().join(semantic.select("key", "path", "title", (0.8 * F.col("base")).alias("score"), F.lit("semantic").alias("match")), "key").filter(F.col("src_path") != F.col("path"))
+        by, said = ["src_path", "start", "end"], F.col("match") != "semantic"
+        both = best.union(near.select(*best.columns)).withColumn("_direct", F.count_if(said).over(Window.partitionBy(*by)))
+        both = both.filter(said | ((F.col("_direct") < k) & (F.col("score") >= threshold)))
+        once = Window.partitionBy(*by, "path").orderBy((F.col("match") == "semantic").cast("int"))
+        best = both.withColumn("_o", F.row_number().over(once)).filter("_o = 1").drop("_direct", "_o")
     w = Window.partitionBy("src_path", "start", "end").orderBy(F.desc("score"), "path")
     return best.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -233,23 +272,13 @@ def similar_clusters(targets: DataFrame, threshold: float = 0.7, most: int | Non
     """Clusters of similar dangling targets (target, occurrences, sources): component, representative, member, similarity,
     total occurrences and the members' average similarity; with `most`, the clusters that occur most.
 
-    Pairs are those that reach the composite similarity; clusters are their components of two members or more; the
-    representative occurs most, then has most sources, then is first. Texts are compared where they share a bigram, as
-    without one they reach .4 at most; the texts of a bigram are dealt in GRAM_PARTS.
+    Pairs are those that reach the composite similarity (see fuzzy.similar_pairs); clusters are their components of two
+    members or more; the representative occurs most, then has most sources, then is first.
     """
-    from ..functions import similarity as S
+    from .fuzzy import similar_pairs
     from .graph import connected_components
 
-    grams = targets.select("target", F.explode(S._grams(F.col("target"), 2)).alias("g"))
-    deal = F.pmod(F.xxhash64("other"), F.lit(GRAM_PARTS)).cast("int")
-    other = grams.withColumnRenamed("target", "other").withColumn("part", deal)
-    asked = grams.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(GRAM_PARTS - 1))))
-    pairs = asked.join(other, ["g", "part"]).filter("target < other").select("target", "other").distinct()
-    # Jaro is between 0 and 1, so what can't reach the threshold with 1 need not be computed.
-    inside, rest = S.containment("target", "other"), 0.2 * S.dice("target", "other") + 0.2 * S.token_jaccard("target", "other")
-    bound = F.when(inside > 0.5, 0.3 + rest + 0.3 * inside).otherwise(0.4 + 1.5 * rest)
-    pairs = pairs.filter(bound >= threshold - 1e-6)
-    scored = pairs.withColumn("similarity", F.round(S.composite("target", "other"), 6)).filter(F.col("similarity") >= threshold)
+    scored = materialize(similar_pairs(targets, threshold), "similar-pairs")
     comp = connected_components(targets.select(F.col("target").alias("v")), scored.select(F.col("target").alias("a"), F.col("other").alias("b")))
     members = comp.withColumnRenamed("v", "target").join(targets, "target")
     sized = members.groupBy("component").agg(F.count("*").alias("size"), F.min(F.struct((-F.col("occurrences")).alias("o"), (-F.col("sources")).alias("s"), F.col("target"))).alias("r"), F.sum("occurrences").alias("total")).filter("size > 1")

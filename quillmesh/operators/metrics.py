@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from .percentiles import exact_percentiles
 
 
 def search_item_metrics(items: DataFrame, k: int = 10) -> DataFrame:
@@ -34,20 +35,31 @@ def search_item_metrics(items: DataFrame, k: int = 10) -> DataFrame:
 
 
 def search_summary(items: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """Means over answerable items with expectations; latency p50 and p95 over all. `by` adds slices by rollup."""
+    """Means over answerable items with expectations; latency p50 and p95 over all, exactly (see exact_percentiles). `by` adds
+    slices by rollup: each level's rows have null in the columns after it. An empty table gives one row without `by`."""
     use = F.col("answerable") & (F.size("expected") > 0)
     mean = lambda c: F.avg(F.when(use, F.col(c)))
-    grouped = items.rollup(*by) if by else items.groupBy()
-    return grouped.agg(
+    by, levels = by or [], len(by or []) + 1
+    # A row for each level of the rollup it counts for; what a level leaves out is null.
+    level = F.explode(F.array(*[F.struct(F.lit(d).alias("_level"), *[(F.col(c) if i < d else F.lit(None).cast(items.schema[c].dataType)).alias(c) for i, c in enumerate(by)]) for d in range(levels)]))
+    measured = ["answerable", "expected", "hit_at_1", "hit_at_k", "reciprocal_rank", "recall_at_k", "ndcg_at_k", "latency_ms"]
+    rows = items.select(*measured, level.alias("_s")).select(*measured, "_s.*")
+    means = rows.groupBy("_level", *by).agg(
         F.count("*").alias("items"),
         mean("hit_at_1").alias("hit_at_1"),
         mean("hit_at_k").alias("hit_at_k"),
         mean("reciprocal_rank").alias("mrr"),
         mean("recall_at_k").alias("recall_at_k"),
         mean("ndcg_at_k").alias("ndcg_at_k"),
-        F.percentile("latency_ms", F.lit(0.5)).alias("p50"),
-        F.percentile("latency_ms", F.lit(0.95)).alias("p95"),
     )
+    times = exact_percentiles(rows, "latency_ms", {"p50": 0.5, "p95": 0.95}, ["_level", *by]).select(F.col("_level").alias("_l"), *[F.col(c).alias(f"_{c}") for c in by], "p50", "p95")
+    same = F.col("_level") == F.col("_l")
+    for c in by:
+        same &= F.col(c).eqNullSafe(F.col(f"_{c}"))
+    out = means.join(times, same, "left").drop("_l", *[f"_{c}" for c in by])
+    if not by:
+        out = items.sparkSession.range(1).select(F.lit(0).alias("_level")).join(out, "_level", "left").withColumn("items", F.coalesce("items", F.lit(0)))
+    return out.drop("_level")
 
 
 def link_item_metrics(items: DataFrame, k: int = 5) -> DataFrame:

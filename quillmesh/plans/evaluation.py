@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import metrics as M
+from ..operators.percentiles import exact_percentiles
 from ..session import table
 from .common import tidy
 
@@ -68,7 +69,7 @@ def link_metrics(spark, sf):
 
 @query("percentile_latency", "SELECT event_type, round(quantile_cont(value, 0.5), 6) AS p50, round(quantile_cont(value, 0.95), 6) AS p95, round(quantile_cont(value, 0.99), 6) AS p99 FROM events GROUP BY event_type")
 def percentile_latency(spark, sf):
-    return table(spark, sf, "events").groupBy("event_type").agg(*[F.percentile("value", F.lit(p)).alias(n) for p, n in ((0.5, "p50"), (0.95, "p95"), (0.99, "p99"))])
+    return exact_percentiles(table(spark, sf, "events"), "value", {"p50": 0.5, "p95": 0.95, "p99": 0.99}, ["event_type"])
 
 
 @query("unanswerable_confusion", """WITH c AS (SELECT count(*) FILTER (WHERE t AND p) AS tp, count(*) FILTER (WHERE NOT t AND p) AS fp, count(*) FILTER (WHERE t AND NOT p) AS fn, count(*) FILTER (WHERE NOT t AND NOT p) AS tn FROM (SELECT quality = 0 AS t, toxic = 0 AS p FROM labels)),

@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators import ann
 from ..operators import graph as G
 from ..operators import health as H
 from ..operators import imports as I
 from ..operators import links as L
+from ..operators.index import embed
+from ..operators.titles import title_hits
 from ..session import table
 from .common import GRAPH_SQL, notes, resolved, tidy
 
@@ -229,6 +232,35 @@ def link_suggestions(spark, sf):
     return L.suggest_links(m, r.select("src_path", F.col("dst_path").alias("path"))).select("src_path", "text", "start", "path", "confidence", "reason", "rank")
 
 
+#: Notes named by the first two words of their text.
+WORDED = r"""worded AS (SELECT 'n' || doc_id AS path, regexp_extract(text, '^\s*(\S+\s+\S+)', 1) AS title, text AS content FROM documents WHERE text IS NOT NULL)"""
+
+
+def worded(spark, sf):
+    d = table(spark, sf, "documents").filter("text is not null")
+    return d.select(F.concat(F.lit("n"), F.col("doc_id").cast("string")).alias("path"), F.regexp_extract("text", r"^\s*(\S+\s+\S+)", 1).alias("title"), F.col("text").alias("content"))
+
+
+@query("title_mentions", f"""WITH {WORDED}, named AS (SELECT title, CASE WHEN min(path) = max(path) THEN min(path) END AS owner FROM worded WHERE length(title) >= 3 GROUP BY title),
+hit AS (SELECT path, named.title AS target, lower(content) AS c, lower(named.title) AS t FROM worded, named WHERE contains(lower(content), lower(named.title)) AND owner IS DISTINCT FROM path)
+SELECT path, target, CAST((length(c) - length(replace(c, t, ''))) // length(t) AS BIGINT) AS n FROM hit""")
+def title_mentions(spark, sf):
+    n = worded(spark, sf)
+    return title_hits(n, n, least=3).groupBy("path", "target").agg(F.count("*").alias("n"))
+
+
+@query("semantic_link_targets")
+def semantic_link_targets(spark, sf):
+    n = worded(spark, sf)
+    chunks = n.select(F.xxhash64("path").alias("id"), "path", "title")
+    vectors = embed(chunks, "title").select("id", F.col("embedding").alias("vector"))
+    quantizer = ann.train(vectors)
+    index = ann.build(vectors, quantizer)
+    anchors = L.extract_anchors(n).filter("kind = 'proper_noun'")
+    near = L.semantic_targets(anchors, n, index, quantizer, chunks)
+    return L.match_targets(anchors, n.withColumn("aliases", F.array().cast("array<string>")), semantic=near).select("src_path", "text", "start", "path", "score", "match", "rank")
+
+
 @query("hold_out_links")
 def hold_out_links(spark, sf):
     return L.hold_out_links(notes(spark, sf))

@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import vector as V
+from ..operators import ann
 from ..operators import retrieve as R
 from ..session import table
 from .common import docs, tidy
@@ -49,6 +50,25 @@ def vector_topk_batch(spark, sf):
     return R.vector_topk(chunks_of(spark, sf), vector_queries(spark, sf, "vec_id % 20 = 0"), 10)
 
 
+def ann_index(spark, sf):
+    """The inverted file of all embeddings and its quantizer."""
+    rows = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("vector"))
+    quantizer = ann.train(rows)
+    return ann.build(rows, quantizer), quantizer
+
+
+@query("ann_exact", BATCH.replace("chunk_id", "id"))
+def ann_exact(spark, sf):
+    return ann.search(*ann_index(spark, sf), vector_queries(spark, sf, "vec_id % 20 = 0"), 10)
+
+
+@query("ann_topk")
+def ann_topk(spark, sf):
+    index, quantizer = ann_index(spark, sf)
+    asked = vector_queries(spark, sf, "vec_id % 20 = 0")
+    return ann.search(index, quantizer, asked, 10, probes=ann.tuned_probes(index, quantizer, asked, 10))
+
+
 @query("vector_label_knn", f"""WITH h AS ({BATCH}), v AS (SELECT query_id, e.label, count(*) AS votes, sum(similarity) AS s FROM h JOIN embeddings e ON e.vec_id = chunk_id WHERE chunk_id <> query_id GROUP BY ALL),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY votes DESC, round(s, 6) DESC, label) AS r FROM v) SELECT query_id, CAST(label AS BIGINT) AS label, votes FROM r WHERE r = 1""")
 def vector_label_knn(spark, sf):

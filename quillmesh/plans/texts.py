@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import chunk, expand, index, links, search_text, sessions
+from ..operators import chunk, expand, index, links, merkle, search_text, sessions
 from ..session import table
 from ..streaming import jobs
 from .common import NOTES_SQL, docs, norm_sql, notes, tidy
@@ -165,6 +165,23 @@ def expand_query(spark, sf):
     return q.select("query_id", expand.expand_query("text", SYNONYMS, PHRASES).alias("e")).select("query_id", F.array_join("e.keywords", " ").alias("keywords"), F.array_join("e.expansions", ";").alias("expansions"))
 
 
+EDITED_SQL = """edited AS (SELECT doc_id, CASE WHEN doc_id % 7 = 0 THEN text || '!' ELSE text END AS text FROM documents WHERE doc_id % 11 <> 0
+UNION ALL SELECT doc_id + 1000000000, text FROM documents WHERE doc_id % 13 = 0)"""
+
+
+def edited(d):
+    """The corpus a while later: some texts changed, some notes gone, some new."""
+    same = d.filter("doc_id % 11 <> 0").select("doc_id", F.when(F.col("doc_id") % 7 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("text"))
+    return same.union(d.filter("doc_id % 13 = 0").select(F.col("doc_id") + 1_000_000_000, "text"))
+
+
+@query("merkle_changes", f"""WITH {EDITED_SQL} SELECT CAST(coalesce(d.doc_id, e.doc_id) AS VARCHAR) AS key, CASE WHEN d.doc_id IS NULL THEN 'added' WHEN e.doc_id IS NULL THEN 'removed' ELSE 'changed' END AS change
+FROM documents d FULL JOIN edited e ON d.doc_id = e.doc_id WHERE d.doc_id IS NULL OR e.doc_id IS NULL OR d.text IS DISTINCT FROM e.text""")
+def merkle_changes(spark, sf):
+    d = docs(spark, sf).select("doc_id", "text")
+    return merkle.changed_keys(d, edited(d))
+
+
 @query("corpus_hash", """SELECT corpus_hash, documents FROM (SELECT sha256(string_agg(h, chr(10) ORDER BY b)) AS corpus_hash, CAST(sum(n) AS BIGINT) AS documents FROM (
 SELECT b, sha256(string_agg(line, chr(10) ORDER BY doc_id)) AS h, count(*) AS n FROM (SELECT doc_id, CAST(doc_id AS VARCHAR) || chr(0) || sha256(coalesce(text, '')) AS line, doc_id % 4096 AS b FROM documents) GROUP BY b))""")
 def corpus_hash(spark, sf):
