@@ -81,7 +81,7 @@ def train(vectors: DataFrame, *, lists: int | None = None, parts: int = 16, samp
     square root of the number of rows, 4,096 at most. Rows without a vector are left out; without any there is one list."""
     some = vectors.filter("vector is not null").orderBy(F.xxhash64("id", F.lit(seed)), "id").limit(sample).select("vector").collect()
     if not some:
-        return Quantizer(np.zeros((1, 1)), np.zeros((1, 256, 1)))
+        return Quantizer(np.zeros((1, 0)), np.zeros((1, 256, 0)))
     m = unit([r.vector for r in some])
     n = lists or max(1, min(4096, int(np.sqrt(vectors.count()))))
     centres = means(m, n, seed)
@@ -131,6 +131,10 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int, *
         for b in batches:
             if len(b):
                 m = unit(b["vector"])
+                if not q.centres.shape[1]:  # learned of nothing, so nothing is in the index
+                    continue
+                if m.shape[1] != q.centres.shape[1]:
+                    raise ValueError(f"vectors differ in size: {m.shape[1]} and {q.centres.shape[1]}")
                 yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), n), "list": q.lists(m, n).ravel().astype(np.int32), "asked": [v.tobytes() for v in np.repeat(m, n, axis=0)]})
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:

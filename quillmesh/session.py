@@ -51,7 +51,8 @@ def shared_dir(spark: SparkSession) -> str:
     return f"{at}/quillmesh"
 
 
-def _path(spark: SparkSession, at: str):
+def file_system(spark: SparkSession, at: str):
+    """Hadoop's file system of a path, and the path, for any store that Spark can open."""
     path = spark._jvm.org.apache.hadoop.fs.Path(at)
     return path.getFileSystem(spark._jsc.hadoopConfiguration()), path
 
@@ -65,7 +66,7 @@ def materialize(df: DataFrame, name: str = "table", partition_by: list[str] | No
     if partition_by:
         writer = writer.partitionBy(*partition_by)
     writer.parquet(at)
-    fs, path = _path(spark, at)
+    fs, path = file_system(spark, at)
     fs.deleteOnExit(path)
     back = spark.read.schema(df.schema).parquet(at)
     back._quillmesh_path = at
@@ -76,6 +77,6 @@ def forget(*tables: DataFrame) -> None:
     """Deletes materialized tables that nothing reads any more."""
     for t in tables:
         if at := getattr(t, "_quillmesh_path", None):
-            fs, path = _path(t.sparkSession, at)
+            fs, path = file_system(t.sparkSession, at)
             fs.delete(path, True)
             fs.cancelDeleteOnExit(path)

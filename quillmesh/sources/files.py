@@ -3,13 +3,16 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 import pandas as pd
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions import vector as V
+from ..session import file_system
 
 SEARCH_SCHEMA = "id string, query string, answerable boolean, expected_notes array<string>, expected_spans array<struct<note_path:string,start:int,end:int,text:string>>, language string, difficulty string, tags array<string>, source string, created_at string, expected_answer_summary string, category string"
 LINKS_SCHEMA = "id string, source_note string, anchor string, expected_links array<string>, anchor_range struct<start:int,end:int>, context string, language string, tags array<string>, created_at string"
@@ -18,7 +21,11 @@ LANGUAGES, DIFFICULTIES = ("ko", "en", "ja", "zh", "es", "fr", "de"), ("easy", "
 
 
 def read_markdown(spark: SparkSession, root: str, skip: tuple[str, ...] = ("node_modules",)) -> DataFrame:
-    """path, basename, content and mtime of the .md files under root; dot folders and `skip` are left out."""
+    """path, basename, content and mtime of the .md files under root; dot folders and `skip` are left out. A root that does not
+    exist, or has none, gives no rows."""
+    fs, at = file_system(spark, root)
+    if not fs.exists(at):
+        return spark.createDataFrame([], "path string, basename string, content string, mtime timestamp")
     df = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").load(root)
     inner = F.substring("path", F.length(F.regexp_extract("path", "^(.*" + root.rstrip("/").replace("file://", "") + "/)", 1)) + 1, F.lit(1 << 20))
     for name in skip:
@@ -140,10 +147,28 @@ def read_sessions(spark: SparkSession, root: str) -> DataFrame:
     return df.select("id", F.col("createdAt").alias("created_at"), F.col("updatedAt").alias("updated_at"), "tags", "messages", F.regexp_extract(F.col("_metadata.file_path"), r"/(\d{4}-\d{2})/[^/]*$", 1).alias("month"))
 
 
-def read_snapshot(spark: SparkSession, path: str, version: str = "1.0") -> DataFrame:
-    """A snapshot's one row; one of another version fails when it is read."""
+#: The fields that a snapshot of an evaluation holds.
+SNAPSHOT_FIELDS = ("version", "created_at", "run_id", "dataset_hash", "notes_hash", "notes_hash_mode", "environment", "config", "metrics")
+
+
+def read_snapshot(spark: SparkSession, path: str, version: str = "1.0", required: tuple[str, ...] = ()) -> DataFrame:
+    """A snapshot's one row; one of another version, or that lacks a required field (a dotted path; see SNAPSHOT_FIELDS), fails
+    when it is read, and says what is wrong."""
     df = spark.read.option("multiLine", "true").json(path)
-    return df.withColumn("version", F.when(F.col("version") == version, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("snapshot version "), F.col("version").cast("string")))))
+    known = set(_paths(df.schema))
+    missing = F.lit(", ".join(f for f in required if f not in known))
+    right = F.when(F.col("version") == version, F.col("version")).otherwise(F.raise_error(F.concat(F.lit("snapshot version "), F.coalesce(F.col("version").cast("string"), F.lit("unknown")))))
+    return df.withColumn("version", F.when(missing == "", right).otherwise(F.raise_error(F.concat(F.lit("snapshot lacks "), missing))))
+
+
+def _paths(schema, before: str = "") -> list[str]:
+    """Dotted paths of all fields."""
+    out = []
+    for f in schema.fields:
+        out.append(before + f.name)
+        if hasattr(f.dataType, "fields"):
+            out += _paths(f.dataType, f"{before}{f.name}.")
+    return out
 
 
 def write_report(summary: DataFrame, per_item: DataFrame, errors: DataFrame, out: str) -> None:
@@ -161,36 +186,45 @@ def write_snapshot(spark: SparkSession, out: str, fields: dict, version: str = "
     spark.createDataFrame([tuple(row.values())], list(row)).coalesce(1).write.mode("overwrite").json(out)
 
 
+def _pointers(spark: SparkSession, root: str) -> list[str]:
+    """Names of the pointers under root, oldest first: CURRENT-<number>-<folder>."""
+    fs, at = file_system(spark, root)
+    if not fs.exists(at):
+        return []
+    return sorted(n for f in fs.listStatus(at) if re.fullmatch(r"CURRENT-\d{12}-v-[0-9a-f]{32}", n := f.getPath().getName()))
+
+
 def write_state(state: DataFrame, root: str) -> None:
-    """A table as the current state under root: written to a folder of its own, then named by the pointer, so that readers see
-    the old or the new one whole."""
-    import uuid
+    """A table as the current state under root.
 
+    It is written to a folder of its own; then a pointer with the next number names that folder. Readers take the pointer of
+    the highest number, and making one is a single step of any store, so at every moment the old or the new state is
+    whole and readable, whatever crashes. A reader may still hold the state before: it and its pointer stay until one more
+    has been written.
+    """
     spark, name = state.sparkSession, f"v-{uuid.uuid4().hex}"
     state.write.parquet(f"{root}/{name}")
-    jvm = spark._jvm
-    at = lambda p: jvm.org.apache.hadoop.fs.Path(p)
-    fs = at(root).getFileSystem(spark._jsc.hadoopConfiguration())
-    new = f"{root}/.next-{name}"
-    out = fs.create(at(new), True)
-    out.write(name.encode())
-    out.close()
-    fs.delete(at(f"{root}/CURRENT"), False)
-    fs.rename(at(new), at(f"{root}/CURRENT"))
+    old = _pointers(spark, root)
+    number = int(old[-1].split("-")[1]) + 1 if old else 1
+    fs, at = file_system(spark, f"{root}/CURRENT-{number:012d}-{name}")
+    fs.create(at, False).close()
+    for pointer in old[:-1]:
+        fs.delete(file_system(spark, f"{root}/{pointer}")[1], False)
+        fs.delete(file_system(spark, f"{root}/{pointer.split('-', 2)[2]}")[1], True)
 
 
 def read_state(spark: SparkSession, root: str) -> DataFrame | None:
-    """The current state under root, or None where there is none or it can't be read."""
-    jvm = spark._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{root}/CURRENT")
-    fs = path.getFileSystem(spark._jsc.hadoopConfiguration())
-    if not fs.exists(path):
+    """The current state under root; None where there is none, or where the pointer names a folder that is gone or no table.
+    Any other failure is the caller's."""
+    pointers = _pointers(spark, root)
+    if not pointers:
         return None
-    name = spark.read.text(f"{root}/CURRENT").first()
     try:
-        return spark.read.parquet(f"{root}/{name[0]}")
-    except Exception:  # a pointer to what is gone or no table counts as no state
-        return None
+        return spark.read.parquet(f"{root}/{pointers[-1].split('-', 2)[2]}")
+    except AnalysisException as e:
+        if e.getCondition() in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            return None
+        raise
 
 
 def append_chunks(chunks: DataFrame, path: str) -> None:
