@@ -259,7 +259,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halve
     mixed = rooted.groupBy("key").agg(F.min("root").alias("r0"), F.max("root").alias("r1"), F.count("*").alias("c")).filter("r0 <> r1 and c > 2").select("key", "c")
     open_ = materialize(rooted.join(_each_salt(mixed, "c", part).drop("c"), ["key", "salt"], "left_semi").select("sid", "root").distinct(), "mh-open")
     if open_.limit(1).count():
-        found = materialize(_confirmed(sets, _prefix_pairs(sets.join(open_, "sid"), percent), percent), "mh-links")
+        pairs, used = _prefix_pairs(sets.join(open_, "sid"), percent)
+        found = materialize(_confirmed(sets, pairs, percent), "mh-links")
+        forget(*used)
         comp = components(links.union(found))
         forget(found)
     # Only linked classes are named by their root; written first, so that Spark can split a component that is a third of them.
@@ -277,7 +279,9 @@ def near_duplicates(docs: DataFrame, *, width: int = 4, percent: int = 80, halve
         ((F.col("n_shingles") == 0) | (F.col("rid") == F.col("head"))).alias("stays"),
     )
     forget(sized, buckets, sets, open_, links)
-    return out.select(*["rid", "stays"] * keyed, "doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    result = out.select(*["rid", "stays"] * keyed, "doc_id", "n_shingles", "component_id", (F.col("component_id").isNull() | F.col("doc_id").eqNullSafe(F.col("component_id"))).alias("kept"))
+    result._written = [signed, classes, least]  # for callers that write the result themselves
+    return result
 
 
 def _member_sets(rows_in: DataFrame, classes: DataFrame, buckets: DataFrame, width: int) -> DataFrame:
@@ -306,8 +310,8 @@ def _tokens(batches):
             yield pa.RecordBatch.from_arrays([same("sid"), same("root"), pa.array(np.full(n, n, np.int32)), token], names=["sid", "root", "n", "token"])
 
 
-def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
-    """All pairs (p, x) of sets of different roots that can reach the threshold, and few more.
+def _prefix_pairs(sets: DataFrame, percent: int) -> tuple[DataFrame, list[DataFrame]]:
+    """All pairs (p, x) of sets of different roots that can reach the threshold, and few more; and the written tables behind them.
 
     Tokens are ordered by how many of these sets have them. A longer (or equal) set probes each class of sizes of the
     shorter with as many of its rarest tokens as that class needs; the shorter is filed under the fewest it needs. In a
@@ -339,7 +343,7 @@ def _prefix_pairs(sets: DataFrame, percent: int) -> DataFrame:
     one = _spread(asked.filter("root <> am").drop("salt"), hot).join(filed, ["key", "salt"]).filter(fits)
     two = asked.filter("root = am").join(_spread(filed.filter("yr <> major").drop("salt"), hot), ["key", "salt"]).filter(fits)
     cols = (F.least("sid", "y").alias("p"), F.greatest("sid", "y").alias("x"))
-    return one.select(*cols).union(two.select(*cols)).distinct()
+    return one.select(*cols).union(two.select(*cols)).distinct(), [tokens, flat, major, often]
 
 
 def _confirmed(sets: DataFrame, pairs: DataFrame, percent: int) -> DataFrame:
