@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quillmesh.llm.common import materialize
+from quillmesh.llm.common import forget, materialize, no_broadcasts
 from quillmesh.llm.minhash import near_duplicates, row_key
 from quillmesh.llm.packing import pack_documents
 from quillmesh.llm.quality import quality_scores
@@ -45,20 +45,25 @@ def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group: that of smallest doc_id, null last.
 
     Words are taken five at a time at a similarity of 0.8, as stages are to where no contract says otherwise (that of op6
-    says four). Rows are known by a hash of doc_id and text, so neither rows whose doc_id is null nor the texts of a doc_id
-    that repeats go with one another; of rows equal in both, one stays. Null and empty texts are in no group and all stay.
-    docs keeps its columns, whatever their names; an empty table gives no rows.
+    says four). Rows are known by their doc_id and a hash of doc_id and text, so neither rows whose doc_id is null nor the
+    texts of a doc_id that repeats go with one another; of rows equal in both, one stays. Null and empty texts are in no
+    group and all stay. docs keeps its columns, whatever their names; an empty table gives no rows.
 
-    Only the keys that go or repeat are joined, so most of the corpus is not dealt anew: they are under the broadcast
-    threshold or Spark sorts both sides.
+    Only the rows that go or repeat are joined, so most of the corpus is not dealt anew: they are under the broadcast
+    threshold or Spark sorts both sides. While groups are looked for nothing is broadcast unasked: the driver of a small
+    corpus would hold a hash table for each of some thirty joins.
     """
-    marked = near_duplicates(docs.select("doc_id", "text"), width=5, keyed=True).filter("n_shingles > 0")
-    fate = materialize(marked.groupBy("rid").agg(F.count("*").alias("rows"), F.bool_or("stays").alias("stays")).filter("rows > 1 or not stays"), "fate")
+    with no_broadcasts(spark):
+        groups = near_duplicates(docs.select("doc_id", "text"), width=5, keyed=True)
+        marked = groups.filter("n_shingles > 0").groupBy("rid", F.col("doc_id").alias("id")).agg(F.count("*").alias("rows"), F.bool_or("stays").alias("stays"))
+        fate = materialize(marked.filter("rows > 1 or not stays"), "fate")
+        forget(*groups._written)
     key = row_key(docs)
-    once = docs.join(fate, key == fate.rid, "left_anti")
-    again = fate.filter("stays").select("rid")
+    once = docs.join(fate, (key == fate.rid) & docs["doc_id"].eqNullSafe(fate.id), "left_anti")
+    again = fate.filter("stays").select("rid", "id")
     row = F.struct(*[docs[c] for c in docs.columns])
-    one = docs.join(again, key == again.rid).groupBy(again.rid).agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("_row"))
+    same = docs.join(again, (key == again.rid) & docs["doc_id"].eqNullSafe(again.id))
+    one = same.groupBy(again.rid, again.id).agg(F.min_by(row, F.xxhash64(*[docs[c] for c in docs.columns])).alias("_row"))
     return once.union(one.select("_row.*"))
 
 
@@ -83,5 +88,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every stage in order over the whole of documents; the last one's rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        before, docs = docs, materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+        forget(before)  # the table before the first stage is the input, which is no written one
     return docs
