@@ -104,6 +104,43 @@ def chunk_notes(notes: DataFrame, size: int = 1000, overlap: int = 200, by_heade
     return notes.select("path", "content").mapInPandas(run, CHUNKS)
 
 
+class ChunkNotes:
+    """A table function for SQL: chunks (see CHUNKS) of the rows of a table with path and content, and of size and overlap.
+
+        SELECT * FROM chunk_notes(TABLE(notes))
+        SELECT * FROM chunk_notes(TABLE(notes), size => 500, overlap => 50)
+
+    The rows are taken where they are; nothing is dealt anew unless the query says PARTITION BY.
+    """
+
+    @staticmethod
+    def analyze(notes, size=None, overlap=None, by_headers=None):
+        from pyspark.sql import types as X
+        from pyspark.sql.udtf import AnalyzeResult
+
+        if not notes.isTable:
+            raise ValueError("chunk_notes takes a table: chunk_notes(TABLE(notes))")
+        missing = {"path", "content"} - {f.name for f in notes.dataType.fields}
+        if missing:
+            raise ValueError(f"chunk_notes needs columns path and content; missing: {', '.join(sorted(missing))}")
+        for name, arg in (("size", size), ("overlap", overlap), ("by_headers", by_headers)):
+            if arg is not None and not arg.isConstantExpression:
+                raise ValueError(f"{name} must be a constant")
+        if size is not None and size.value <= 0 or overlap is not None and overlap.value < 0:
+            raise ValueError("size must be positive, and overlap not negative")
+        kinds = {"string": X.StringType(), "int": X.IntegerType(), "boolean": X.BooleanType(), "array<string>": X.ArrayType(X.StringType())}
+        return AnalyzeResult(schema=X.StructType([X.StructField(name, kinds[kind]) for name, kind in (f.split(" ") for f in CHUNKS.split(", "))]))
+
+    def eval(self, notes, size=1000, overlap=200, by_headers=True):
+        for c in chunk_text(notes["content"] or "", size, overlap, by_headers):
+            yield (notes["path"], *c.values())
+
+
+def register(spark, name: str = "chunk_notes") -> None:
+    """Makes the table function known to a session's SQL."""
+    spark.udtf.register(name, F.udtf(ChunkNotes))
+
+
 #: Lengths of context and headings that say nothing.
 MOST_TITLE, MOST_HEADER, MOST_LEVEL, HEADER_CHUNKS = 80, 80, 3, 2
 STOP_HEADERS = (

@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -18,6 +19,8 @@ from ..session import materialize
 K1, B = 1.2, 0.75
 #: Queries that travel with the tasks at once; more are done in blocks of so many.
 QUERY_BLOCK, TERM_BLOCK = 2048, 256
+#: Distinct words of all queries that travel with the tasks; more are joined.
+ASKED_MOST = 200_000
 
 
 def _blocks(rows: DataFrame, key: str, size: int):
@@ -74,16 +77,17 @@ def vector_topk(chunks: DataFrame, queries: DataFrame, k: int, id_col: str = "ch
 
     Queries (query_id, vector) are taken in blocks of QUERY_BLOCK, of which the driver holds one; each task keeps the k best
     of what it scans, so only k rows a query and task are shuffled. Similarity is the cosine, at least 0, 0 for zero vectors;
-    rounded to 1e-6 before ranking, so that the order of additions doesn't matter. Chunks without a vector are left out.
+    rounded to 1e-6 before ranking, so that the order of additions doesn't matter. Chunks and queries without a vector are left
+    out; an empty side gives no rows.
     """
 
     def block(rows: list) -> DataFrame:
         ids = np.array([r["query_id"] for r in rows], np.int64)
-        m = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1)
+        m = np.array([r["vector"] for r in rows], np.float64).reshape(len(rows), -1 if rows else 0)
         length = np.sqrt((m * m).sum(axis=1, keepdims=True))
         return _topk_block(chunks, ids, m / np.where(length > 0, length, 1), k, id_col, vec_col)
 
-    found = _over_blocks(_blocks(queries.select("query_id", "vector"), "query_id", QUERY_BLOCK), block)
+    found = _over_blocks(_blocks(queries.select("query_id", "vector").filter("query_id is not null and vector is not null"), "query_id", QUERY_BLOCK), block)
     w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), id_col)
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
@@ -134,39 +138,70 @@ def bm25_scores(chunks: DataFrame, terms: DataFrame, id_col: str = "chunk_id", n
     return chunk.groupBy("query_id", note_col).agg(F.round(F.max("s"), 6).alias("score"))
 
 
+def _counted_words(chunks: DataFrame, asked: list[str]) -> DataFrame:
+    """c, note, len, words (places in the sorted list `asked`) and tfs of chunks (c, note, len, t), where any is asked: counted
+    within each chunk's own row, so nothing is shuffled. The list is of proven size, so it is broadcast."""
+    shared = chunks.sparkSession.sparkContext.broadcast(asked)
+
+    def run(batches):
+        known = pa.array(shared.value, pa.string())
+        for b in batches:
+            lists = b.column("t")
+            sizes = np.nan_to_num(lists.value_lengths().to_numpy(zero_copy_only=False)).astype(np.int64)
+            found = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
+            pair = np.repeat(np.arange(b.num_rows), sizes) * len(known) + found
+            pair, tf = np.unique(pair[found >= 0], return_counts=True)
+            row = pair // max(len(known), 1)
+            some, starts = np.unique(row, return_index=True)
+            cuts = pa.array(np.append(starts, len(row)).astype(np.int32))
+            kept = b.select(["c", "note", "len"]).take(pa.array(some))
+            words = pa.ListArray.from_arrays(cuts, pa.array((pair % max(len(known), 1)).astype(np.int32)))
+            yield pa.RecordBatch.from_arrays([*kept.columns, words, pa.ListArray.from_arrays(cuts, pa.array(tf.astype(np.int32)))], names=["c", "note", "len", "words", "tfs"])
+
+    return chunks.mapInArrow(run, f"c {chunks.schema['c'].dataType.simpleString()}, note long, len int, words array<int>, tfs array<int>")
+
+
 def bm25_best(chunks: DataFrame, terms: DataFrame, k: int, id_col: str = "chunk_id", note_col: str = "note_id", text_col: str = "content") -> DataFrame:
     """The k best notes (long ids) of each query by bm25_scores: query_id, note, score, rank; ties go to the smaller note.
 
     Chunks are tokenized once: how often each has the queries' words is a written table, from which document frequencies
-    are counted. Then each task multiplies its chunks' weights with the weights of a block of queries and keeps k notes a
-    query, so that neither postings nor scores are shuffled. Terms (query_id, term, weight) are taken in blocks of
-    TERM_BLOCK queries, of which the driver holds one.
+    are counted. Up to ASKED_MOST distinct words travel with the tasks, and each chunk's are counted where it is read; more
+    are joined. Then each task multiplies its chunks' weights with the weights of a block of queries and keeps k notes a
+    query, so scores are not shuffled. Terms (query_id, term, weight) are taken in blocks of TERM_BLOCK queries, of which
+    the driver holds one.
     """
-    asked = terms.select("term").distinct()
+    asked = terms.select("term").filter("term is not null").distinct()
     one = chunks.select(F.col(id_col).alias("c"), F.col(note_col).cast("long").alias("note"), F.length(text_col).alias("len"), T.tokenize(text_col).alias("t"))
     stats = chunks.agg(F.countDistinct(note_col).alias("n"), F.avg(F.length(text_col)).alias("mean_len")).first()
-    found = one.select("c", "note", "len", F.explode("t").alias("term")).join(asked, "term", "left_semi").groupBy("c", "note", "len", "term").agg(F.count("*").alias("tf"))
-    post = materialize(found.groupBy("c", "note", "len").agg(F.collect_list("term").alias("terms"), F.collect_list("tf").alias("tfs")), "postings")
-    df = post.select("note", F.explode("terms").alias("term")).groupBy("term").agg(F.countDistinct("note").alias("df"))
-    weighted = terms.join(df, "term").select("query_id", "term", (F.col("weight") * F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
+    few = sorted(r.term for r in asked.limit(ASKED_MOST + 1).collect())
+    if len(few) <= ASKED_MOST:
+        post = materialize(_counted_words(one, few), "postings")
+        names = terms.sparkSession.createDataFrame(list(enumerate(few)), "word int, term string")
+    else:
+        found = one.select("c", "note", "len", F.explode("t").alias("word")).join(asked.withColumnRenamed("term", "word"), "word", "left_semi").groupBy("c", "note", "len", "word").agg(F.count("*").cast("int").alias("tf"))
+        post = materialize(found.groupBy("c", "note", "len").agg(F.collect_list("word").alias("words"), F.collect_list("tf").alias("tfs")), "postings")
+        names = asked.select(F.col("term").alias("word"), "term")
+    df = post.select("note", F.explode("words").alias("word")).groupBy("word").agg(F.countDistinct("note").alias("df")).join(names, "word").select("word", "term", "df")
+    weighted = terms.join(df, "term").select("query_id", "word", (F.col("weight") * F.log((stats["n"] - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1)).alias("w"))
     mean_len = stats["mean_len"] or 1.0
 
     def block(rows: list) -> DataFrame:
         queries = sorted({r["query_id"] for r in rows})
-        place, words = {q: i for i, q in enumerate(queries)}, {t: i for i, t in enumerate(sorted({r["term"] for r in rows}))}
+        place, own = {q: i for i, q in enumerate(queries)}, sorted({r["word"] for r in rows})
+        words = {t: i for i, t in enumerate(own)}
         weights = np.zeros((len(words), len(queries)))
         for r in rows:
-            weights[words[r["term"]], place[r["query_id"]]] += r["w"]
+            weights[words[r["word"]], place[r["query_id"]]] += r["w"]
 
         def run(batches):
-            best = _Best(len(queries), k)
+            best, known = _Best(len(queries), k), pa.array(own, pa.int32() if not own or isinstance(own[0], int) else pa.string())
             for b in batches:
                 if not b.num_rows or not queries:
                     continue
-                lists, notes = b.column("terms"), b.column("note").to_numpy()
+                lists, notes = b.column("words"), b.column("note").to_numpy()
                 size = np.repeat(b.column("len").to_numpy().astype(float), lists.value_lengths().to_numpy())
                 row = np.repeat(np.arange(b.num_rows), lists.value_lengths().to_numpy())
-                word = np.array([words.get(t, -1) for t in lists.flatten().to_pylist()], np.int64)
+                word = pc.fill_null(pc.index_in(lists.flatten(), value_set=known), -1).to_numpy(zero_copy_only=False).astype(np.int64)
                 tf = b.column("tfs").flatten().to_numpy().astype(float)
                 weight = tf * (K1 + 1) / (tf + K1 * (1 - B + B * size / mean_len))
                 row, word, weight = row[word >= 0], word[word >= 0], weight[word >= 0]

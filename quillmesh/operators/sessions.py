@@ -9,7 +9,10 @@ from ..functions import text as T
 
 
 def message_search(turns: DataFrame, terms: list[str], limit: int = 20) -> DataFrame:
-    """Turns that hold every term, newest conversation first, with the text around the first term (30 before, 70 after)."""
+    """Turns that hold every term, newest conversation first, with the text around the first term (30 before, 70 after).
+    Without terms, or of an empty table, there are none; a null text holds no term."""
+    if not terms:
+        return turns.limit(0).select("conv_id", "turn", "role", F.col("text").alias("context"))
     asked = F.array(*[F.lit(t.lower()) for t in terms])
     at = F.instr(F.lower("text"), terms[0].lower())
     start = F.greatest(at - 30, F.lit(1))

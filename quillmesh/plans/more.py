@@ -219,16 +219,36 @@ def link_summary(spark, sf):
     return M.link_summary(M.link_item_metrics(i))
 
 
-@query("snapshot_compatibility", "SELECT * FROM (VALUES ('model', 'error', 'a', 'b'), ('notes_hash', 'warning', 'n', NULL), ('schema_version', 'warning', '1', '2')) t(key, level, base, cur)")
+#: Two runs over the given tables: all events, and those of a later dataset; each snapshot names what it was made of.
+SNAPSHOTS_SQL = """d AS (SELECT count(*) || ':' || sum(length(text)) AS notes_hash FROM documents), parts AS (SELECT 'base' AS run, * FROM events UNION ALL SELECT 'cur', * FROM events WHERE event_id % 3 <> 0 AND event_type <> (SELECT max(event_type) FROM events)),
+models AS (SELECT run, event_type AS model FROM (SELECT run, event_type, row_number() OVER (PARTITION BY run ORDER BY n DESC, event_type) AS r FROM (SELECT run, event_type, count(*) AS n FROM parts GROUP BY ALL)) WHERE r = 1),
+snaps AS (SELECT run, model, count(*) || ':' || sum(event_id) AS dataset_hash, any_value(d.notes_hash) AS notes_hash, CAST(count(DISTINCT event_type) AS VARCHAR) AS schema_version FROM parts JOIN models USING (run), d GROUP BY run, model),
+long_ AS (UNPIVOT snaps ON model, dataset_hash, notes_hash, schema_version INTO NAME key VALUE v),
+both_ AS (SELECT b.key, b.v AS base, c.v AS cur, b.v = c.v AS same FROM long_ b JOIN long_ c ON b.key = c.key AND b.run = 'base' AND c.run = 'cur')"""
+
+
+def snapshot_of(spark, sf, events):
+    """One row that names the events and documents a run was made of."""
+    notes_hash = docs(spark, sf).agg(F.concat_ws(":", F.count("*"), F.sum(F.length("text"))).alias("notes_hash"))
+    model = events.groupBy("event_type").agg(F.count("*").alias("n")).agg(F.min(F.struct(-F.col("n"), "event_type"))["event_type"].alias("model"))
+    one = events.agg(F.concat_ws(":", F.count("*"), F.sum("event_id")).alias("dataset_hash"), F.countDistinct("event_type").cast("string").alias("schema_version"))
+    return one.crossJoin(notes_hash).crossJoin(model)  # single rows
+
+
+def two_snapshots(spark, sf):
+    e = table(spark, sf, "events")
+    last = e.agg(F.max("event_type")).first()[0]
+    return snapshot_of(spark, sf, e), snapshot_of(spark, sf, e.filter((F.col("event_id") % 3 != 0) & (F.col("event_type") != last)))
+
+
+@query("snapshot_compatibility", f"WITH {SNAPSHOTS_SQL} SELECT key, CASE WHEN key = 'model' THEN 'error' ELSE 'warning' END AS level, base, cur FROM both_ WHERE NOT same")
 def snapshot_compatibility(spark, sf):
-    kind = "model string, dataset_hash string, notes_hash string, schema_version int"
-    return M.snapshot_compatibility(spark.createDataFrame([("a", "d", "n", 1)], kind), spark.createDataFrame([("b", "d", None, 2)], kind))
+    return M.snapshot_compatibility(*two_snapshots(spark, sf))
 
 
-@query("preconditions", "SELECT * FROM (VALUES ('dataset_hash', 'd', 'd', true), ('notes_hash', 'n', NULL, false), ('model', 'a', 'b', false)) t(key, base, cur, same)")
+@query("preconditions", f"WITH {SNAPSHOTS_SQL} SELECT * FROM both_ WHERE key <> 'schema_version'")
 def preconditions(spark, sf):
-    kind = "model string, dataset_hash string, notes_hash string"
-    return M.preconditions(spark.createDataFrame([("a", "d", "n")], kind), spark.createDataFrame([("b", "d", None)], kind))
+    return M.preconditions(*two_snapshots(spark, sf))
 
 
 # Judges
@@ -317,12 +337,12 @@ def cache_status(spark, sf):
 # Retrieval and scalar functions
 
 
-@query("context_expansion", """WITH h AS (SELECT doc_id AS note_id, text, CASE WHEN doc_id % 9 = 0 THEN 'not in any text' ELSE substring(text, 21 + doc_id % 40, 30) END AS content FROM documents WHERE length(text) > 100),
+@query("context_expansion", """WITH h AS (SELECT doc_id AS note_id, text, CASE WHEN doc_id % 9 = 0 THEN 'not in any text' ELSE substring(text, 21 + doc_id % 40, 30) END AS content FROM documents),
 p AS (SELECT *, instr(text, content) AS p0, string_split(text, chr(10)) AS l FROM h), q AS (SELECT *, len(string_split(text[1:p0 - 1], chr(10))) AS b, len(string_split(text[p0 + length(content):], chr(10))) AS a FROM p),
 w AS (SELECT note_id, content, p0, trim(array_to_string(l[greatest(b - 3, 0) + 1:least(len(l), b + least(a, 3)) + 1], chr(10)), ' ') AS wide FROM q)
 SELECT note_id, CASE WHEN p0 > 0 AND length(wide) > length(content) THEN wide ELSE content END AS expanded FROM w""")
 def context_expansion(spark, sf):
-    d = docs(spark, sf).filter(F.length("text") > 100)
+    d = docs(spark, sf)
     cut = F.when(F.col("doc_id") % 9 == 0, "not in any text").otherwise(F.substring("text", (F.col("doc_id") % 40 + 21).cast("int"), F.lit(30)))
     hits = d.select(F.col("doc_id").alias("note_id"), cut.alias("content"))
     return R.context_expansion(hits, d.select(F.col("doc_id").alias("note_id"), "text")).select("note_id", "expanded")
