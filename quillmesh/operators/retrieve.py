@@ -239,13 +239,35 @@ def max_normalize(scores: DataFrame, score: str = "score", floor: float = 0.001)
 
 
 def hybrid_fuse(vector: DataFrame, keyword: DataFrame, keyword_weight: float = 0.1) -> DataFrame:
-    """(1 - w) * vector + w * keyword / largest keyword, over the notes of either; what is missing counts 0."""
+    """(1 - w) * vector + w * keyword / largest keyword, over the notes of either; what is missing counts 0, and so does a null
+    score. An empty side leaves the other's notes; hybrid_chunks also keeps their chunks."""
     kw = max_normalize(keyword.select("query_id", "note_id", "score")).select("query_id", "note_id", F.col("normalized").alias("kw"))
     both = vector.select("query_id", "note_id", F.col("score").alias("vec")).join(kw, ["query_id", "note_id"], "full_outer")
     vec, key = F.coalesce("vec", F.lit(0.0)), F.coalesce("kw", F.lit(0.0))
     return both.select("query_id", "note_id", vec.alias("vector_score"), key.alias("keyword_score"), ((1 - keyword_weight) * vec + keyword_weight * key).alias("score"))
 
 
+def hybrid_chunks(vector: DataFrame, keyword: DataFrame, keyword_weight: float = 0.1) -> DataFrame:
+    """query_id, note_id, vector_score, keyword_score, score, and chunks (chunk_index, score, best first): the fusion of chunk hits
+    (query_id, note_id, chunk_index, score) of both searches, by note.
+
+    Vector scores are taken between 0 and 1, keyword scores by their query's largest. A note has the chunks of both; one that
+    both found has its vector score, and of a chunk that one search found more than once the best counts. Hits without a
+    note, chunk or score are left out; an empty side counts 0.
+    """
+    some = lambda df: df.select("query_id", "note_id", "chunk_index", "score").dropna()
+    by = ["query_id", "note_id", "chunk_index"]
+    v = some(vector).groupBy(*by).agg(F.max(F.least(F.greatest("score", F.lit(0.0)), F.lit(1.0))).alias("v"))
+    k = some(keyword).groupBy(*by).agg(F.max("score").alias("s"))
+    top = F.max("s").over(Window.partitionBy("query_id"))
+    k = k.select(*by, F.when(top > 0, F.col("s") / F.when(top > 0, top).otherwise(1.0)).otherwise(0.0).alias("k"))
+    both = v.join(k, by, "full_outer").withColumn("c", F.struct((-F.coalesce("v", "k")).alias("neg"), "chunk_index"))
+    note = both.groupBy("query_id", "note_id").agg(F.coalesce(F.max("v"), F.lit(0.0)).alias("vector_score"), F.coalesce(F.max("k"), F.lit(0.0)).alias("keyword_score"), F.array_sort(F.collect_list("c")).alias("c"))
+    chunks = F.transform("c", lambda x: F.struct(x["chunk_index"].alias("chunk_index"), (-x["neg"]).alias("score")))
+    score = (1 - keyword_weight) * F.col("vector_score") + keyword_weight * F.col("keyword_score")
+    return note.select("query_id", "note_id", "vector_score", "keyword_score", score.alias("score"), chunks.alias("chunks"))
+
+
 def fast_path(hits: DataFrame, threshold: float = 0.85) -> DataFrame:
     """hits with fast: whether their query's best score is above the threshold, so that vectors alone decide."""
     return hits.withColumn("fast", F.max("similarity").over(Window.partitionBy("query_id")) > threshold)

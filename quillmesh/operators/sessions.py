@@ -33,7 +33,9 @@ def session_stats(turns: DataFrame) -> DataFrame:
 
 
 def merge_messages(base: DataFrame, local: DataFrame, remote: DataFrame) -> DataFrame:
-    """One row per role and first 100 characters of a conversation: local's if there is one, else base's, else remote's."""
+    """One row per role and first 100 characters of a conversation: local's if there is one, else base's, else remote's.
+
+    A null role or text counts as an empty one for the key; of equal rows the first by turn stays; empty tables add none."""
     tag = lambda df, p: df.select("conv_id", "turn", "role", "text", F.lit(p).alias("priority"))
     all_ = tag(local, 0).union(tag(base, 1)).union(tag(remote, 2)).withColumn("key", F.concat_ws(":", "role", F.substring("text", 1, 100)))
     w = Window.partitionBy("conv_id", "key").orderBy("priority", "turn", "text")
@@ -41,7 +43,8 @@ def merge_messages(base: DataFrame, local: DataFrame, remote: DataFrame) -> Data
 
 
 def export_markdown(turns: DataFrame) -> DataFrame:
-    """conv_id and the conversation as Markdown, turns in order."""
+    """conv_id and the conversation as Markdown, turns in order; a turn whose role or text is null is left out, and an empty
+    table gives no rows."""
     lines = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.concat(F.lit("## "), F.initcap(m["role"]), F.lit("\n\n"), m["text"]))
     return turns.groupBy("conv_id").agg(F.array_join(lines, "\n\n").alias("markdown"))
 

@@ -148,6 +148,20 @@ def fused(spark, sf):
     return R.hybrid_fuse(vec, kw)
 
 
+@query("hybrid_chunks", f"""WITH b AS ({BATCH}), v AS (SELECT query_id, chunk_id // 4 AS note_id, chunk_id % 4 AS chunk_index, similarity AS score FROM b),
+k0 AS (SELECT q.vec_id AS query_id, c.vec_id // 4 AS note_id, c.vec_id % 4 AS chunk_index, 1.0::DOUBLE + c.vec_id % 13 AS score FROM embeddings c JOIN embeddings q ON q.vec_id % 20 = 0 AND q.label = c.label AND (c.vec_id * 7 + q.vec_id) % 9 = 0),
+k AS (SELECT query_id, note_id, chunk_index, score / max(score) OVER (PARTITION BY query_id) AS score FROM k0),
+c AS (SELECT coalesce(v.query_id, k.query_id) AS query_id, coalesce(v.note_id, k.note_id) AS note_id, coalesce(v.chunk_index, k.chunk_index) AS chunk_index, v.score AS v, k.score AS k FROM v FULL JOIN k ON v.query_id = k.query_id AND v.note_id = k.note_id AND v.chunk_index = k.chunk_index)
+SELECT query_id, note_id, coalesce(max(v), 0) AS vector_score, round(coalesce(max(k), 0), 7) AS keyword_score, round(0.9::DOUBLE * coalesce(max(v), 0) + 0.1::DOUBLE * coalesce(max(k), 0), 7) AS score, string_agg(chunk_index::VARCHAR, ',' ORDER BY coalesce(v, k) DESC, chunk_index) AS chunks FROM c GROUP BY query_id, note_id""", digits=7)
+def hybrid_chunks(spark, sf):
+    at = lambda c: (F.floor(F.col(c) / 4).alias("note_id"), (F.col(c) % 4).alias("chunk_index"))
+    vec = vector_topk_batch(spark, sf).select("query_id", *at("chunk_id"), F.col("similarity").alias("score"))
+    e = table(spark, sf, "embeddings").select("vec_id", "label")
+    q = e.filter("vec_id % 20 = 0").select(F.col("vec_id").alias("query_id"), "label")
+    kw = e.join(q, "label").filter((F.col("vec_id") * 7 + F.col("query_id")) % 9 == 0).select("query_id", *at("vec_id"), (1.0 + F.col("vec_id") % 13).alias("score"))
+    return R.hybrid_chunks(vec, kw).withColumn("chunks", F.array_join(F.transform("chunks", lambda c: c["chunk_index"].cast("string")), ","))
+
+
 @query("hybrid_fuse", f"WITH {bm25_sql(MANY)}, {HYBRID} SELECT query_id, note_id, round(vector_score, 7) AS vector_score, round(keyword_score, 7) AS keyword_score, round(score, 7) AS score FROM fused", digits=7)
 def hybrid_fuse(spark, sf):
     return fused(spark, sf)

@@ -44,10 +44,12 @@ def tumbling(events: DataFrame, size: str = "1 hour", late: str = "10 minutes")
 
 
 def sliding(events: DataFrame, size: str = "2 hours", step: str = "1 hour", late: str = "10 minutes") -> DataFrame:
+    """start, event_type and n of windows that begin each `step`; events without a time are in none, an empty table gives none."""
     w = _marked(events, late)
     return w.groupBy(F.window("ts", size, step), "event_type").agg(F.count("*").alias("n")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
 def sessions(events: DataFrame, gap: str = "30 minutes", late: str = "10 minutes") -> DataFrame:
+    """user_id, start, end, n and total of each user's events that follow one another within `gap`; a null user is one."""
     w = _marked(events, late)
     return w.groupBy(F.session_window("ts", gap).alias("s"), "user_id").agg(F.count("*").alias("n"), F.sum("value").alias("total")).select("user_id", F.col("s.start").alias("start"), F.col("s.end").alias("end"), "n", "total")
