@@ -16,6 +16,7 @@ STOP_EN = frozenset(
     "the a an is are was were be been being have has had do does did will would could should may might must can this that these those i you he she it we they what which who when where why how all each every both few more most other some such no nor not only own same so than too very just also".split()
 )
 STOP_KO = frozenset("이 그 저 것 수 등 및 또는 그리고 하지만 때문에 위해 통해 대해 에서 으로 에게 부터".split())
+#: Kinds of anchors, best first, and the patterns that find them.
 PRIORITY = {"title_match": 0, "header_match": 1, "technical_term": 2, "proper_noun": 3, "noun_phrase": 4}
 TECHNICAL = [re.compile(p, re.A) for p in (r"\b[A-Z][a-z]+(?:[A-Z][a-z]+)+\b", r"\b[A-Z]{2,6}\b", r"\b[a-zA-Z]+-[a-zA-Z]+(?:-[a-zA-Z]+)*\b")]
 PROPER = re.compile(r"\b[A-Z][a-z]+(?:\s+[A-Z][a-z]+){0,4}\b", re.A)
