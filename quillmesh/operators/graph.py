@@ -154,6 +154,13 @@ def graph_nodes(notes: DataFrame, resolved: DataFrame) -> DataFrame:
     return real.union(open_.select(F.concat(F.lit("dangling:"), "target"), F.col("target"), F.lit("dangling"), "connections"))
 
 
+def node_keys(notes: DataFrame) -> DataFrame:
+    """key, path and title by which the graph API resolves links: titles and basenames in normal form, without aliases and ids;
+    of notes that share one the first by path has it. For resolve(); notes without a path or key have none."""
+    keys = notes.filter("path is not null").select("path", "title", F.explode(F.array("title", "basename")).alias("k")).select("path", "title", T.normalize_title("k").alias("key"))
+    return keys.filter("key is not null").groupBy("key").agg(F.min(F.struct("path", "title")).alias("m")).select("key", "m.path", "m.title")
+
+
 def graph_links(resolved: DataFrame) -> DataFrame:
     """source and target ids of the graph, dangling targets included."""
     return resolved.select(F.col("src_path").alias("source"), F.coalesce("dst_path", F.concat(F.lit("dangling:"), "target")).alias("target")).distinct()

@@ -12,7 +12,7 @@ from ..operators import links as L
 from ..operators.index import embed
 from ..operators.titles import title_hits
 from ..session import table
-from .common import GRAPH_SQL, notes, resolved, tidy
+from .common import GRAPH_SQL, norm_sql, notes, resolved, tidy
 
 QUERIES, SQL = {}, {}
 
@@ -128,6 +128,13 @@ def graph_page_links(spark, sf):
     return G.page_of(G.graph_nodes(n, r), G.graph_links(r), 0, 400)[1].select("source", "target")
 
 
+@query("api_links", graph(f"""SELECT DISTINCT src_path AS source, coalesce(first_.path, 'dangling:' || target) AS target FROM mentions LEFT JOIN first_ ON {norm_sql('mentions.target')} = first_.key""",
+f"first_ AS (SELECT key, min(path) AS path FROM (SELECT {norm_sql('title')} AS key, path FROM notes UNION ALL SELECT {norm_sql('basename')}, path FROM notes) GROUP BY key)"))
+def api_links(spark, sf):
+    n = notes(spark, sf)
+    return G.graph_links(G.resolve(G.mentions(n), G.node_keys(n)))
+
+
 HITS = """hits AS (SELECT q.query_id, n.path, round(1.0::DOUBLE / (1 + (n.doc_id * (q.query_id + 3)) % 97), 6) AS base_score FROM notes n, (SELECT unnest([1, 2, 3]) AS query_id) q WHERE (n.doc_id * (q.query_id + 3)) % 97 < 10),
 top AS (SELECT query_id, path AS top_path, row_number() OVER (PARTITION BY query_id ORDER BY base_score DESC, path) AS rank FROM hits QUALIFY rank <= 3),
 bi AS (SELECT src_path AS path, dst_path AS top_path FROM edges UNION SELECT dst_path, src_path FROM edges),

@@ -132,3 +132,11 @@ def test_targets_match_brute_force(spark):
     for start in {x[0] for x in want}:
         first = sorted((-score, path) for at, path, score in want if at == start)[:2]
         assert sorted((-round(x.score, 6), x.path) for x in few if x.start == start) == first
+
+
+def test_api_links_take_the_first_node(spark):
+    """Title or basename, the first by path; no aliases, no ids."""
+    rows = [("b.md", "1", "Same", "b", ["Nick"], "[[Same]] [[a]] [[Nick]] [[2]]"), ("a.md", "2", "same", "a", [], "[[SAME]] [[b]]"), ("c.md", "3", "b", "c", [], "[[none]]")]
+    n = spark.createDataFrame(rows, SCHEMA)
+    got = {(r.source, r.target) for r in G.graph_links(G.resolve(G.mentions(n), G.node_keys(n))).collect()}
+    assert got == {("b.md", "a.md"), ("b.md", "dangling:Nick"), ("b.md", "dangling:2"), ("a.md", "a.md"), ("a.md", "b.md"), ("c.md", "dangling:none")}
