@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..operators import chunk, expand, index, links, merkle, search_text, sessions
+from ..operators import chunk, expand, index, links, merkle, retrieve, search_text, sessions
 from ..session import table
 from ..streaming import jobs
 from .common import NOTES_SQL, docs, norm_sql, notes, tidy
@@ -36,8 +36,7 @@ def tokenize_docs(spark, sf):
 
 @query("term_df", f"SELECT term, count(DISTINCT doc_id) AS df, count(*) AS tf FROM (SELECT doc_id, unnest({tok('text')}) AS term FROM documents) GROUP BY term")
 def term_df(spark, sf):
-    per = docs(spark, sf).select("doc_id", F.explode(T.tokenize("text")).alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("n"))
-    return per.groupBy("term").agg(F.count("*").alias("df"), F.sum("n").alias("tf"))
+    return retrieve.term_stats(docs(spark, sf), "doc_id", "text").select("term", "df", "tf")
 
 
 @query("normalize_titles", f"SELECT page_id, {norm_sql('url')} AS title, CAST(length(url) AS BIGINT) AS n FROM pages")

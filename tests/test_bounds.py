@@ -47,3 +47,27 @@ def test_keyword_scores_shuffle_no_words_that_are_not_asked(spark):
     scores = R.bm25_scores(chunks, terms)
     assert any("/postings-" in f for f in scores.inputFiles())  # counted where chunks are read, in a written table
     assert scores.count() == 50
+
+
+def test_term_counts_of_rows_and_of_repeated_notes(spark):
+    rows = [(1, "river river stone"), (2, "stone light"), (2, "stone stone stone"), (None, "light"), (None, "light river"), (3, None), (4, "")]
+    want = {"river": (2, 3, 2), "stone": (2, 5, 4), "light": (2, 3, 2)}
+    docs = spark.createDataFrame(rows, "note_id long, content string")
+    assert {r.term: (r.df, r.tf, r.most) for r in R.term_stats(docs).collect()} == want
+    got = R.term_stats(docs.filter("note_id = 1"))
+    plan = got._jdf.queryExecution().sparkPlan().toString()
+    assert "Generate" not in plan and "MapInArrow" in plan  # counted where rows are read
+    assert {r.term: (r.df, r.tf, r.most) for r in got.collect()} == {"river": (1, 2, 2), "stone": (1, 1, 1)}
+    assert R.term_stats(docs.limit(0)).count() == 0
+
+
+def test_text_operators_bound_their_batches(spark):
+    from quillmesh.operators import chunk, imports, links
+
+    notes = spark.createDataFrame([("p", "t", "a b")], "path string, title string, content string")
+    for run in (chunk.chunk_notes, imports.generate_queries, links.extract_anchors):
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
+        spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(1 << 30))
+        run(notes)
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) <= 2000
+        assert int(spark.conf.get("spark.sql.execution.arrow.maxBytesPerBatch")) <= 8 << 20
