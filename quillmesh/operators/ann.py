@@ -17,6 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 #: Rows of which centres and words are learned, members of a list and queries that meet in a task.
 SAMPLE, PART_ROWS, QUERY_ROWS = 20_000, 20_000, 5_000
 INDEX = "id long, list int, deal int, code binary, vector binary"
@@ -95,6 +97,7 @@ def train(vectors: DataFrame, *, lists: int | None = None, parts: int = 16, samp
 
 def build(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
     """The index (see INDEX) of all rows (id, vector) that have a vector; sizes that differ from the quantizer's are an error."""
+    bound_batches(vectors.sparkSession)
     shared = vectors.sparkSession.sparkContext.broadcast(quantizer)
 
     def run(batches):
@@ -122,6 +125,7 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int, *
     With probes None every list is asked and every member scored, which is the exact way. queries: query_id, vector; a query
     without a vector has no rows. Each task hands on k rows a query.
     """
+    bound_batches(index.sparkSession)
     shared = index.sparkSession.sparkContext.broadcast(quantizer)
     every = probes is None
     n = len(quantizer.centres) if every else min(probes, len(quantizer.centres))

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 #: Korean sentence endings; otherwise . ! ? before a blank, or a line's end, ends a sentence.
 ENDINGS = ("다.", "요.", "죠.", "네.", "군요.", "습니다.", "니다.", "입니다.", "ㅂ니다.", "까?", "요?", "니?", "죠?", "가요?", "나요?", "자.", "세요.", "시오.", "라.", "구나.", "군.", "네!", "요!")
 SENTENCE = re.compile("|".join(map(re.escape, ENDINGS)) + r"|[.!?](?=\s|\Z)|\n")
@@ -101,6 +103,7 @@ def chunk_notes(notes: DataFrame, size: int = 1000, overlap: int = 200, by_heade
             frame["header_level"] = frame["header_level"].astype("Int32")
             yield frame
 
+    bound_batches(notes.sparkSession)
     return notes.select("path", "content").mapInPandas(run, CHUNKS)
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import forget, materialize
+from ..session import bound_batches, forget, materialize
 
 
 def mentions(notes: DataFrame) -> DataFrame:
@@ -231,6 +231,7 @@ def links_with_places(notes: DataFrame) -> DataFrame:
                     base += len(line) + 1
             yield pd.DataFrame(rows, columns=["src_path", "pos", "target", "section", "alias", "start", "end", "line"])
 
+    bound_batches(notes.sparkSession)
     return notes.select("path", "content").mapInPandas(run, "src_path string, pos int, target string, section string, alias string, start int, end int, line int")
 
 

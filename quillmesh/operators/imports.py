@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
 from ..functions import text as T
+from ..session import bound_batches
 from .links import LINK, apply_wikilinks
 from .titles import HITS, find_titles
 
@@ -86,6 +87,7 @@ def judge(candidates: DataFrame, scorer: Callable[[pd.DataFrame], pd.Series], th
         for b in batches:
             yield b.assign(score=scorer(b).astype("float64"))
 
+    bound_batches(once.sparkSession)
     scored = once.mapInPandas(run, "target string, context string, score double")
     return candidates.join(scored, ["target", "context"], "left").withColumn("approved", F.coalesce(F.col("score") >= threshold, F.lit(False)))
 
@@ -148,6 +150,7 @@ def generate_queries(notes: DataFrame, per_note: int = 3, seed: int = 42) -> Dat
             yield pd.DataFrame(rows, columns=["id", "query", "expected", "language", "topic"])
 
     n = notes.select("path", "title", "content", T.detect_language("content").alias("language"))
+    bound_batches(notes.sparkSession)
     return n.mapInPandas(run, "id string, query string, expected string, language string, topic string")
 
 
@@ -173,6 +176,7 @@ def headings(notes: DataFrame) -> DataFrame:
                         rows.append((path, len(m[1]), m[2].strip(), m.start(), m.end()))
             yield pd.DataFrame(rows, columns=["path", "level", "heading", "start", "end"])
 
+    bound_batches(notes.sparkSession)
     return notes.select("path", "content").mapInPandas(run, "path string, level int, heading string, start int, end int")
 
 

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 
 def cdc(files: DataFrame, meta: DataFrame) -> DataFrame:
     """path and change (added, removed, changed, same): by content hash, or a modified time later than the stored one."""
@@ -66,6 +68,7 @@ def hashing_embedder(dimensions: int = 64) -> Callable[[pd.Series], pd.Series]:
 
 def embed(df: DataFrame, text: str = "content", embedder: Callable[[pd.Series], pd.Series] | None = None, prefix: str = "") -> DataFrame:
     """df with an embedding column; each distinct text is embedded once and joined back."""
+    bound_batches(df.sparkSession)
     run = embedder or hashing_embedder()
     udf = F.pandas_udf(lambda s: run(s), "array<float>")
     once = df.select(text).distinct().withColumn("embedding", udf(F.concat(F.lit(prefix), F.coalesce(F.col(text), F.lit("")))))

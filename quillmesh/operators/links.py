@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..session import materialize
+from ..session import bound_batches, materialize
 
 #: Words that are no anchors by themselves.
 STOP_EN = frozenset(
@@ -95,6 +95,7 @@ def extract_anchors(notes: DataFrame, titles: list[str] | DataFrame | None = Non
             rows = [(p, *a) for p, t, s in zip(b["path"], b["content"], spans, strict=True) for a in anchors_of(t or "", few, spans=s)]
             yield pd.DataFrame(rows, columns=["path", "text", "start", "end", "kind"])
 
+    bound_batches(notes.sparkSession)
     return asked.mapInPandas(run, ANCHORS)
 
 
@@ -234,6 +235,7 @@ def hold_out_links(notes: DataFrame, ratio: float = 0.2, seed: int = 42) -> Data
                     gone += len(m[0]) - len(anchor)
             yield pd.DataFrame(rows, columns=["path", "target", "alias", "start", "end"])
 
+    bound_batches(notes.sparkSession)
     return notes.select("path", "content").mapInPandas(run, "path string, target string, alias string, start int, end int")
 
 

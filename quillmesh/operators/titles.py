@@ -16,6 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..session import bound_batches
+
 #: Code points of the titles of an automaton, and notes that meet one shard in a task.
 SHARD_CHARS, NOTES_PART = 1 << 20, 5000
 HITS = "path string, target string, start int, end int, context string"
@@ -75,6 +77,7 @@ def find_titles(notes: DataFrame, titles: DataFrame, schema: str, of_hits, *, le
     """of_hits(path, text, hits) -> rows of schema, over all notes (path, content) and the hits of titles (path, title) of one
     shard; a note that has hits of several shards is given to of_hits once for each."""
     spark, own = notes.sparkSession, named(titles, least)
+    bound_batches(spark)
     size = int(own.agg(F.sum(F.length("title") + 1)).first()[0] or 0)
     shards = max(1, -(-size // SHARD_CHARS))
     columns = [c.split()[0] for c in schema.split(", ")]
