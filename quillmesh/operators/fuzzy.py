@@ -29,6 +29,8 @@ RIGHT_PART, LEFT_PART = 2048, 8192
 GRAM_ROWS = 2000
 #: Cells of distance tables at once in a task.
 TABLE_CELLS = 1 << 21
+#: Pairs that a task holds before it keeps the k nearest of each text, and right texts of a beginning or end that give bounds.
+HELD_PAIRS, BOUNDING = 1 << 20, 8
 
 
 def codes_of(texts: list[str], length: int) -> np.ndarray:
@@ -52,9 +54,11 @@ class Trie:
             self.chars.append(rows[below, t])
             starts = below
 
-    def near(self, left: np.ndarray, budget: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(left rows, trie's rows, distances) of all pairs within the budget; left rows are of one length, too. Counts of
-        the tables' rows that were filled are added to `self.steps`."""
+    def near(self, left: np.ndarray, budget: int | np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """(left rows, trie's rows, distances) of all pairs within the budget, one for all or one for each left row, which
+        may shrink while pairs are taken; left rows are of one length, too. Counts of the tables' rows that were filled are
+        added to `self.steps`."""
+        budget = np.broadcast_to(budget, len(left))
         width, m = left.shape[1], self.length
         columns = np.arange(width + 1, dtype=np.int16)
         first = np.broadcast_to(columns, (len(left), width + 1))
@@ -80,13 +84,38 @@ class Trie:
             new = np.concatenate((before[:, :1] + 1, best), axis=1).astype(np.int16)
             new = np.minimum.accumulate(new - columns, axis=1) + columns
             rest = np.abs((width - columns) - (m - depth - 1))
-            keep = (new + rest).min(axis=1) <= budget
+            keep = (new + rest).min(axis=1) <= budget[who]
             waiting.append((depth + 1, who[keep], child[keep], new[keep]))
 
 
+class _Nearest:
+    """The k most similar rows of each left text so far, ties by the rows' order; HELD_PAIRS and k a text at most are held."""
+
+    def __init__(self, k: int, order: np.ndarray):
+        self.k, self.order, self.size = k, order, 0
+        self.held = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+
+    def add(self, at: np.ndarray, row: np.ndarray, sim: np.ndarray) -> bool:
+        """Whether there are so many that `best` is due."""
+        self.held.append((at, row, sim))
+        self.size += len(at)
+        return self.size > HELD_PAIRS
+
+    def best(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Left texts, rows, similarities and places (from 0) of the k best, best first."""
+        at, row, sim = (np.concatenate(x) for x in zip(*self.held, strict=True))
+        order = np.lexsort((self.order[row], -sim, at))
+        at, row, sim = at[order], row[order], sim[order]
+        place = np.arange(len(at)) - np.searchsorted(at, at)
+        own = place < self.k
+        at, row, sim, place = at[own], row[own], sim[own], place[own]
+        self.held, self.size = [(at, row, sim)], 0
+        return at, row, sim, place
+
+
 def _pairs(threshold: float, k: int):
-    """cogroup: left (text, low, length) and right (other, low, length) of one run and length -> text, other, similarity:
-    each left text's k nearest of these."""
+    """cogroup: left (text, low, length, bound) and right (other, low, length) of one run and length -> text, other,
+    similarity: each left text's k nearest of these. What is less similar than a text's bound is not looked for."""
 
     def run(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
@@ -97,9 +126,13 @@ def _pairs(threshold: float, k: int):
             upto = np.append(first[1:], len(right))
             trie = Trie(codes_of(list(lows), m))
             others, long_of = right["other"].to_numpy(object), right["length"].to_numpy(np.int64)
+            order = np.empty(len(others), np.int64)
+            order[np.argsort(others, kind="stable")] = np.arange(len(others))
             for width, own in left.groupby(left["low"].str.len()):
                 texts, longs = own["text"].to_numpy(object), own["length"].to_numpy(np.int64)
-                budget = floor(max(width, m, longs.max(), long_of.max()) * (1 - threshold) + 1e-9)
+                most = np.maximum(longs, max(width, m, long_of.max()))
+                within = lambda least, most: np.floor(most * (1 - least) + 1e-9).astype(np.int64)
+                budget, nearest = within(np.maximum(own["bound"].to_numpy(float) - 1e-6, threshold), most), _Nearest(k, order)
                 for at, node, d in trie.near(codes_of(list(own["low"]), int(width)), budget):
                     # texts that differ in case only are one leaf
                     n = upto[node] - first[node]
@@ -109,30 +142,56 @@ def _pairs(threshold: float, k: int):
                     size = np.maximum(longest, 1)
                     sim = np.where(longest == 0, 1.0, (2_000_000 * (longest - d.astype(np.int64)) + size) // (2 * size) / 1e6)  # to six digits, halves up
                     near = sim >= threshold
-                    out.append(pd.DataFrame({"text": texts[at[near]], "other": others[row[near]], "similarity": sim[near]}))
+                    if nearest.add(at[near], row[near], sim[near]):
+                        at, _, sim, place = nearest.best()
+                        full, kth = at[place == k - 1], sim[place == k - 1]
+                        budget[full] = np.minimum(budget[full], within(kth - 1e-6, most[full]))
+                at, row, sim, _ = nearest.best()
+                out.append(pd.DataFrame({"text": texts[at], "other": others[row], "similarity": sim}))
         if not out:
             return pd.DataFrame({"text": [], "other": [], "similarity": []}).astype({"text": object, "other": object})
-        found = pd.concat(out).sort_values(["text", "similarity", "other"], ascending=[True, False, True])
-        return found.groupby("text", sort=False).head(k)
+        return pd.concat(out)
 
     return run
 
 
+def _bounded(left: DataFrame, right: DataFrame, threshold: float, k: int) -> DataFrame:
+    """left with `bound`: the similarity of the k-th most similar of some right texts, those that begin or end alike, up to
+    BOUNDING of each beginning and end; the threshold where there are fewer than k. So the k best of all reach the bound."""
+    n = F.length("low")
+    sizes = F.filter(F.array_distinct(F.array(n, n - 1, n - 2, F.floor(n * 3 / 4).cast("int"), F.floor(n / 2).cast("int"), F.floor(n / 4).cast("int"))), lambda m: m > 0)
+    ends = F.concat(F.transform(sizes, lambda m: F.xxhash64(F.lit(0), F.substring(F.col("low"), F.lit(1), m))), F.transform(sizes, lambda m: F.xxhash64(F.lit(1), F.right(F.col("low"), m))))
+    filed = right.select("other", F.col("low").alias("_low"), F.col("length").alias("_length"), F.explode(ends).alias("_end"))
+    filed = filed.withColumn("_r", F.row_number().over(Window.partitionBy("_end").orderBy("other"))).filter(F.col("_r") <= BOUNDING)
+    met = left.select("text", "low", "length", F.explode(ends).alias("_end")).join(filed, "_end")
+    longest = F.greatest("length", "_length")
+    met = met.select("text", "other", F.when(longest == 0, 1.0).otherwise(1 - F.levenshtein("low", "_low") / longest).alias("s"))
+    best = F.sort_array(F.transform(F.collect_set(F.struct("other", "s")), lambda x: x["s"]), asc=False)
+    bounds = met.filter(F.col("s") > threshold).groupBy("text").agg(F.try_element_at(best, F.lit(k)).alias("bound"))
+    return left.join(bounds.filter("bound is not null"), "text", "left").withColumn("bound", F.coalesce("bound", F.lit(float(threshold))))
+
+
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6, k: int = 5) -> DataFrame:
     """For each left text its k most similar right texts by Levenshtein similarity (case aside): text, other, similarity, rank.
 
     Texts are taken once each, nulls left out; an empty side gives no rows, and empty texts are alike to each other. The
     right texts, sorted by length and lower case, are a written table of runs; a left text meets the runs that have lengths
-    within its reach. A run is as long as RIGHT_PART on average, whatever the lengths or beginnings of the texts, and its left
-    texts are dealt in parts, so no task grows with the data. Each task hands on k rows a text.
+    within its reach. How similar its k best are at least is known beforehand by texts that begin or end alike, so that only
+    what is as near is walked. A run is RIGHT_PART long on average (of very many texts up to 32 times that), whatever the
+    lengths or beginnings, and its left texts are dealt in parts (up to 8 times LEFT_PART), so no task grows with the data
+    beyond that. Each task holds bounded pairs and hands on k rows a text.
     """
     side = lambda df, c, name: df.select(F.col(c).alias(name)).filter(F.col(name).isNotNull()).distinct().withColumns({"low": F.lower(name), "length": F.length(name)}).withColumn("m", F.length("low"))
-    a, b = side(left, "text", "text"), materialize(side(right, "text", "other"), "fuzzy-right")
-    runs, deals = -(-b.count() // RIGHT_PART), -(-a.count() // LEFT_PART)
+    a, b = materialize(side(left, "text", "text"), "fuzzy-left"), materialize(side(right, "text", "other"), "fuzzy-right")
+    lefts, rights = a.count(), b.count()
+    runs = -(-rights // max(RIGHT_PART, min(32 * RIGHT_PART, rights // 128)))
+    deals = -(-lefts // max(LEFT_PART, min(8 * LEFT_PART, lefts // 16)))
+    a = materialize(_bounded(a, b, threshold, k), "fuzzy-bounds")
     b = materialize(b.repartitionByRange(max(runs, 1), "m", "low", "other").withColumn("run", F.spark_partition_id()), "fuzzy-runs")
     a = a.withColumn("deal", F.pmod(F.xxhash64("text"), F.lit(max(deals, 1))).cast("int")).withColumnRenamed("m", "l")
-    low, high = F.ceil(F.col("l") * threshold - 1e-9).cast("int"), F.floor(F.col("l") / threshold + 1e-9).cast("int")
-    asked = a.select("text", "low", "length", "deal", F.explode(F.sequence(low, high)).alias("m")).join(b.select("run", "m").distinct(), "m")
+    least = F.greatest(F.col("bound") - 1e-6, F.lit(threshold))
+    low, high = F.ceil(F.col("l") * least - 1e-9).cast("int"), F.floor(F.col("l") / least + 1e-9).cast("int")
+    asked = a.select("text", "low", "length", "bound", "deal", F.explode(F.sequence(low, high)).alias("m")).join(b.select("run", "m").distinct(), "m")
     told = b.select(*[F.col(c).alias(c) for c in b.columns], F.explode(F.sequence(F.lit(0), F.lit(max(deals, 1) - 1))).alias("deal"))
     # Few bytes but much work a row: a stated number of partitions is not merged into fewer.
     parts = max(2 * runs * max(deals, 1), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))

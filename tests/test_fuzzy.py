@@ -175,3 +175,36 @@ def test_clusters_of_all_names(spark):
             want |= {(head, n, sum(len(names[m]) for m in own)) for n in own}
     got = registry.queries()["similar_link_clusters"](spark, "/root/testdata/sf0.01").collect()
     assert {(x.representative, x.member, x.total) for x in got} == want
+
+
+def test_a_task_holds_bounded_pairs_and_walks_what_is_near(monkeypatch):
+    import pandas as pd
+
+    monkeypatch.setattr(fuzzy, "HELD_PAIRS", 500)
+    rows = [f"customer#{i:09d}" for i in range(1500)]
+    right = pd.DataFrame({"other": rows, "low": rows, "length": 18})
+    asked = [f"supplier#{i:09d}" for i in range(60)]
+    held = []
+    best = fuzzy._Nearest.best
+    monkeypatch.setattr(fuzzy._Nearest, "best", lambda self: held.append(self.size) or best(self))
+    left = pd.DataFrame({"text": asked, "low": asked, "length": 18, "bound": 0.6})
+    got = fuzzy._pairs(0.6, 5)(left, right)
+    want = sorted((a, b, -s) for a, b, s, _ in nearest(asked, rows, 0.6, 5))
+    assert sorted((a, b, -s) for a, b, s in got.itertuples(index=False)) == want and len(held) > 1
+    steps = []
+    near = fuzzy.Trie.near
+    monkeypatch.setattr(fuzzy.Trie, "near", lambda self, *a: (yield from near(self, *a)) or steps.append(self.steps))
+    for bound in (0.6, 0.666):
+        left["bound"] = bound
+        assert sorted((a, b, -s) for a, b, s in fuzzy._pairs(0.6, 5)(left, right).itertuples(index=False)) == want
+    assert 3 * steps[1] < steps[0]
+
+
+def test_bounds_are_reached_by_the_k_best(spark):
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("aB c") for _ in range(r.randint(0, 9)))
+    left, right = [word() for _ in range(60)], [word() for _ in range(80)]
+    side = lambda rows, c: spark.createDataFrame([(x,) for x in set(rows)], f"{c} string").selectExpr(c, f"lower({c}) AS low", f"length({c}) AS length")
+    kth = {a: s for a, _, s, n in nearest(left, right, 0.4, 2) if n == 2}
+    got = {x.text: x.bound for x in fuzzy._bounded(side(left, "text"), side(right, "other"), 0.4, 2).collect()}
+    assert all(b <= kth.get(a, 0.4) + 1e-6 for a, b in got.items()) and max(got.values()) > 0.4 and set(got) == set(left)
