@@ -17,10 +17,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import bound_batches
+from ..session import bound_batches, materialize
 
 #: Rows of which centres and words are learned, members of a list and queries that meet in a task.
 SAMPLE, PART_ROWS, QUERY_ROWS = 20_000, 20_000, 5_000
+#: Members and queries that meet in a task of the exact way.
+EXACT_ROWS, EXACT_QUERIES = 40_000, 40_000
 INDEX = "id long, list int, deal int, code binary, vector binary"
 
 
@@ -118,17 +120,68 @@ def build(vectors: DataFrame, quantizer: Quantizer) -> DataFrame:
     return coded.join(F.broadcast(sizes), "list").select("id", "list", F.pmod(F.xxhash64("id"), F.col("deals")).cast("int").alias("deal"), "code", "vector")
 
 
+def _partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+
+
+def _dealt(queries: DataFrame) -> DataFrame:
+    """Queries over all tasks: a small table is one file, but each row is much work."""
+    return queries.repartition(_partitions(queries), "query_id")
+
+
+def _exact(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, similarity: each query's k best of every part of the index, by scores of every member."""
+    from .retrieve import CELLS, _Best
+
+    width = quantizer.centres.shape[1]
+
+    def ask(batches):
+        for b in batches:
+            if len(b) and width:
+                m = unit(b["vector"])
+                if m.shape[1] != width:
+                    raise ValueError(f"vectors differ in size: {m.shape[1]} and {width}")
+                yield pd.DataFrame({"query_id": b["query_id"], "asked": [v.tobytes() for v in m]})
+
+    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
+        found = []
+        members, ids = np.frombuffer(b"".join(right["vector"]), np.float64).reshape(len(right), -1), right["id"].to_numpy(np.int64)
+        asked, names = np.frombuffer(b"".join(left["asked"]), np.float64).reshape(len(left), -1), left["query_id"].to_numpy(np.int64)
+        for a in range(0, len(names) if len(ids) else 0, 1024):
+            own = asked[a : a + 1024]
+            best, some = _Best(len(own), k), CELLS // len(own)
+            for start in range(0, len(ids), some):
+                best.add(np.round(np.maximum(own @ members[start : start + some].T, 0), 6), ids[start : start + some])
+            q, name, score = best.cut()
+            found.append(pd.DataFrame({"query_id": names[a + q], "id": name, "similarity": score}))
+        return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "similarity": []}).astype({"query_id": int, "id": int})
+
+    asked = materialize(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and vector is not null"), "asked")
+    index = materialize(index.select("id", "vector"), "members")  # both are counted first
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((index, EXACT_ROWS), (asked, EXACT_QUERIES)))
+    stated = max(parts * blocks, _partitions(index))
+    place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
+    every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = _dealt(asked).mapInPandas(ask, "query_id long, asked binary").withColumn("block", place("query_id", blocks)).withColumn("part", every_of(parts))
+    right = index.withColumn("part", place("id", parts)).withColumn("block", every_of(blocks))
+    keys = ["block", "part"]
+    return left.repartition(stated, *keys).groupBy(*keys).cogroup(right.repartition(stated, *keys).groupBy(*keys)).applyInPandas(meet, "query_id long, id long, similarity double")
+
+
 def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int, *, probes: int | None = None, rerank: int = 200) -> DataFrame:
     """query_id, id, similarity, rank: the k members of highest cosine (at least 0, to six digits; ties by smaller id) of those
     that each query's `probes` nearest lists hold and whose estimate is among the `rerank` best of their part.
 
-    With probes None every list is asked and every member scored, which is the exact way. queries: query_id, vector; a query
-    without a vector has no rows. Each task hands on k rows a query.
+    With probes None every member is scored, which is the exact way: parts of the index meet blocks of queries, whatever the
+    lists, and a task holds a bounded number of scores. queries: query_id, vector; a query without a vector has no rows.
+    Each task hands on k rows a query.
     """
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    if probes is None:
+        return _exact(index, quantizer, queries, k).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
     bound_batches(index.sparkSession)
     shared = index.sparkSession.sparkContext.broadcast(quantizer)
-    every = probes is None
-    n = len(quantizer.centres) if every else min(probes, len(quantizer.centres))
+    n = min(probes, len(quantizer.centres))
 
     def ask(batches):
         q = shared.value
@@ -139,7 +192,7 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int, *
                     continue
                 if m.shape[1] != q.centres.shape[1]:
                     raise ValueError(f"vectors differ in size: {m.shape[1]} and {q.centres.shape[1]}")
-                yield pd.DataFrame({"query_id": np.repeat(b["query_id"].to_numpy(), n), "list": q.lists(m, n).ravel().astype(np.int32), "asked": [v.tobytes() for v in np.repeat(m, n, axis=0)]})
+                yield pd.DataFrame({"query_id": b["query_id"], "lists": list(q.lists(m, n).astype(np.int32)), "asked": [v.tobytes() for v in m]})
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         q, out = shared.value, []
@@ -150,14 +203,15 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int, *
             for name, raw in zip(left["query_id"], left["asked"], strict=True):
                 v = np.frombuffer(raw, np.float64)
                 best = np.arange(len(ids))
-                if not every and len(ids) > rerank:
+                if len(ids) > rerank:
                     best = np.argpartition(-q.estimates(v, of, codes), rerank - 1)[:rerank]
                 score = np.round(np.maximum(vectors[best] @ v, 0), 6)
                 first = np.lexsort((ids[best], -score))[:k]
                 out.append(pd.DataFrame({"query_id": np.full(len(first), name), "id": ids[best[first]], "similarity": score[first]}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "id": [], "similarity": []}).astype({"query_id": int, "id": int})
 
-    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and vector is not null").mapInPandas(ask, "query_id long, list int, asked binary")
+    asked = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and vector is not null")
+    asked = _dealt(asked).mapInPandas(ask, "query_id long, lists array<int>, asked binary").select("query_id", F.explode("lists").alias("list"), "asked")
     parts = index.groupBy("list").agg((F.max("deal") + 1).alias("deals"))
     asks = asked.groupBy("list").agg(F.ceil(F.count("*") / QUERY_ROWS).cast("int").alias("blocks"))
     both = F.broadcast(parts.join(asks, "list"))
@@ -165,8 +219,9 @@ def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int, *
     left = asked.join(both, "list").withColumn("block", F.pmod(F.xxhash64("query_id"), F.col("blocks")).cast("int")).withColumn("deal", every_of("deals")).select("query_id", "list", "asked", "block", "deal")
     right = index.join(both, "list").withColumn("block", every_of("blocks")).select("id", "list", "code", "vector", "block", "deal")
     keys = ["list", "deal", "block"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, id long, similarity double")
-    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    # Few bytes but much work a row: a stated number of partitions is not merged into fewer.
+    stated = max(len(quantizer.centres), _partitions(index))
+    found = left.repartition(stated, *keys).groupBy(*keys).cogroup(right.repartition(stated, *keys).groupBy(*keys)).applyInPandas(meet, "query_id long, id long, similarity double")
     return found.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
 
 

@@ -115,3 +115,21 @@ def test_semantic_targets_fill_up(spark):
         want = sorted(((p, s, kind) for p, (s, kind) in found.items()), key=lambda x: (-x[1], x[0]))[:2]
         assert [(p, pytest.approx(s, abs=1e-5), kind) for p, s, kind in want] == got[src, text], (src, text)
     assert any(k == "semantic" for hits in got.values() for _, _, k in hits)
+
+
+def test_the_exact_way_does_not_repeat_queries_by_list(spark, monkeypatch):
+    r = np.random.default_rng(8)
+    rows = [(i, r.normal(size=6).tolist()) for i in range(120)] + [(200, [0.0] * 6)]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    quantizer = ann.train(vectors, lists=11)
+    index = ann.build(vectors, quantizer)
+    queries = vectors.selectExpr("id AS query_id", "vector")
+    monkeypatch.setattr(ann, "EXACT_ROWS", 50)
+    monkeypatch.setattr(ann, "EXACT_QUERIES", 60)
+    found = ann.search(index, quantizer, queries, 4)
+    assert "list" not in found._jdf.queryExecution().analyzed().toString().split("FlatMapCoGroupsInPandas")[1].split("\n")[0]
+    m = ann.unit([v for _, v in rows])
+    score = np.round(np.maximum(m @ m.T, 0), 6)
+    ids = np.array([i for i, _ in rows])
+    want = {(int(q), int(ids[j]), n) for a, q in enumerate(ids) for n, j in enumerate(np.lexsort((ids, -score[a]))[:4], 1)}
+    assert {(x.query_id, x.id, x["rank"]) for x in found.collect()} == want
