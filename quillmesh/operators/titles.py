@@ -1,25 +1,24 @@
 """Occurrences of many titles in many texts, by Aho-Corasick automata.
 
 One automaton finds every title in one pass over a text, so the work does not grow with the number of titles. Titles are
-dealt in shards of SHARD_CHARS by how they begin. A single shard is of proven size: it is broadcast, each worker builds its
-automaton once, and texts are not shuffled. Of more shards, a text goes only to those that have a title beginning with two
-code points that the text has.
+dealt in shards of SHARD_CHARS. Each shard is broadcast, and a worker builds its automaton once; the texts are read again for
+every shard, as titles are few beside texts. Neither texts nor what is found in them is shuffled.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections import Counter
 from collections.abc import Iterator
-from zlib import crc32
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import bound_batches
+from ..session import bound_batches, forget, materialize
 
-#: Code points of the titles of an automaton, and notes that meet one shard in a task.
-SHARD_CHARS, NOTES_PART = 1 << 20, 5000
+#: Code points of the titles of an automaton, and notes of a text batch that are searched before their rows are handed on.
+SHARD_CHARS, NOTES_PART = 1 << 22, 500
 HITS = "path string, target string, start int, end int, context string"
 _KEPT: dict[object, object] = {}
 
@@ -30,10 +29,6 @@ def fold(text: str) -> str:
     return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
-def shard_of(text: str, shards: int) -> int:
-    return crc32(text[:2].encode("utf-8", "surrogatepass")) % shards
-
-
 class Finder:
     """An automaton over (title, owner): the path of the one note that has the title, or None if several have it."""
 
@@ -83,12 +78,10 @@ def find_titles(notes: DataFrame, titles: DataFrame, schema: str, of_hits, *, le
     columns = [c.split()[0] for c in schema.split(", ")]
     texts = notes.select("path", "content").filter("content is not null")
 
-    def rows_of(finder: Finder, paths, contents) -> pd.DataFrame:
-        rows = [r for p, t in zip(paths, contents, strict=True) for r in of_hits(p, t, finder.hits(p, t, whole_words, overlapping))]
-        return pd.DataFrame(rows, columns=columns)
+    own = materialize(own.withColumn("shard", F.pmod(F.xxhash64("title"), F.lit(shards)).cast("int")), "titles") if shards > 1 else own.withColumn("shard", F.lit(0))
 
-    if shards == 1:
-        shared, name = spark.sparkContext.broadcast([tuple(r) for r in own.collect()]), uuid.uuid4().hex
+    def found_in(shard: int) -> DataFrame:
+        shared, name = spark.sparkContext.broadcast([tuple(r) for r in own.filter(F.col("shard") == shard).select("title", "owner").collect()]), uuid.uuid4().hex
 
         def scan(batches):
             finder = _KEPT.get(name)
@@ -96,28 +89,18 @@ def find_titles(notes: DataFrame, titles: DataFrame, schema: str, of_hits, *, le
                 _KEPT.clear()
                 finder = _KEPT[name] = Finder(shared.value)
             for b in batches:
-                yield rows_of(finder, b["path"], b["content"])
+                for k in range(0, len(b), NOTES_PART):
+                    part = b.iloc[k : k + NOTES_PART]
+                    rows = [r for p, t in zip(part["path"], part["content"], strict=True) for r in of_hits(p, t, finder.hits(p, t, whole_words, overlapping))]
+                    yield pd.DataFrame(rows, columns=columns)
 
         return texts.mapInPandas(scan, schema)
 
-    shard = F.udf(lambda title: shard_of(fold(title), shards), "int")
-
-    begun = own.withColumn("shard", shard("title"))
-    deals = -(-texts.count() // NOTES_PART)
-
-    def route(batches):
-        for b in batches:
-            where = [sorted({shard_of(low[i : i + 2], shards) for i in range(len(low))}) for low in map(fold, b["content"])]
-            yield b.assign(shard=where).explode("shard").dropna(subset="shard").astype({"shard": "int32"})
-
-    asked = texts.mapInPandas(route, "path string, content string, shard int").withColumn("deal", F.pmod(F.xxhash64("path", "content"), F.lit(deals)).cast("int"))
-    told = begun.withColumn("deal", F.explode(F.sequence(F.lit(0), F.lit(max(deals, 1) - 1))))
-
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        finder = Finder([(t, o) for t, o in zip(right["title"], right["owner"], strict=True)]) if len(left) else None
-        return rows_of(finder, left["path"], left["content"]) if finder else pd.DataFrame([], columns=columns)
-
-    return asked.groupBy("shard", "deal").cogroup(told.groupBy("shard", "deal")).applyInPandas(meet, schema)
+    out = found_in(0)
+    for shard in range(1, shards):
+        out = out.union(found_in(shard))
+    forget(own)
+    return out
 
 
 def title_hits(notes: DataFrame, titles: DataFrame, *, least: int = 2, whole_words: bool = False, overlapping: bool = False) -> DataFrame:
@@ -125,3 +108,10 @@ def title_hits(notes: DataFrame, titles: DataFrame, *, least: int = 2, whole_wor
     of one title in one note from the left, without overlap unless asked for. A note's own title counts only if another note has it, too.
     Null contents and titles have none; of an empty table there are none; repeated notes are each searched."""
     return find_titles(notes, titles, "path string, target string, start int, end int", lambda p, t, hits: [(p, *h) for h in hits], least=least, whole_words=whole_words, overlapping=overlapping)
+
+
+def title_counts(notes: DataFrame, titles: DataFrame, *, least: int = 2) -> DataFrame:
+    """path, target and n: how often each title (path, title) occurs in each note (path, content), as title_hits finds it, counted
+    where the note is read. Repeated notes have rows of their own."""
+    count = lambda p, t, hits: [(p, title, n) for title, n in Counter(h[0] for h in hits).items()]
+    return find_titles(notes, titles, "path string, target string, n long", count, least=least, whole_words=False)

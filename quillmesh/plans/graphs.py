@@ -10,7 +10,7 @@ from ..operators import health as H
 from ..operators import imports as I
 from ..operators import links as L
 from ..operators.index import embed
-from ..operators.titles import title_hits
+from ..operators.titles import title_counts
 from ..session import table
 from .common import GRAPH_SQL, norm_sql, notes, resolved, tidy
 
@@ -253,7 +253,7 @@ hit AS (SELECT path, named.title AS target, lower(content) AS c, lower(named.tit
 SELECT path, target, CAST((length(c) - length(replace(c, t, ''))) // length(t) AS BIGINT) AS n FROM hit""")
 def title_mentions(spark, sf):
     n = worded(spark, sf)
-    return title_hits(n, n, least=3).groupBy("path", "target").agg(F.count("*").alias("n"))
+    return title_counts(n, n, least=3)
 
 
 @query("semantic_link_targets")

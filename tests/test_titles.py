@@ -102,3 +102,13 @@ def test_anchors_of_any_number_of_titles(spark):
     got = sorted(map(tuple, L.extract_anchors(n.filter("path <> 'd' and path <> 'a'"), t.filter("path <> 'd'")).collect()))
     want = sorted((p, *a) for p, c in ODD_NOTES if p not in "ad" for a in L.anchors_of(c or "", [*few, "Graph"]))
     assert got == want and any(x[4] == "title_match" for x in got)
+
+
+def test_counts_of_many_titles_shuffle_neither_texts_nor_hits(spark, monkeypatch):
+    monkeypatch.setattr(N, "SHARD_CHARS", 12)
+    n, t = frames(spark, [*ODD_NOTES, ODD_NOTES[0]], ODD_TITLES)
+    n = n.localCheckpoint()
+    found = N.title_counts(n, t)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    want = sorted((h[0], h[1]) for x in [*ODD_NOTES, ODD_NOTES[0]] if x[0] != "d" for h in brute_hits([x], ODD_TITLES))
+    assert sorted((x.path, x.target) for x in found.collect() if x.path != "d" for _ in range(x.n)) == want
