@@ -62,7 +62,7 @@ def normalize_path(path: Column | str) -> Column:
 
 def wikilinks(text: Column | str) -> Column:
     """array<struct<target, section, alias>> of a text's links, in order; line by line, so none spans lines."""
-    lines = F.split(col(text), "\n")
+    lines = F.filter(F.split(col(text), "\n"), lambda line: F.contains(line, F.lit("[[")))
 
     def of_line(line: Column) -> Column:
         part = lambda k: F.regexp_extract_all(line, F.lit(WIKILINK), F.lit(k))

@@ -5,6 +5,9 @@ of the sorted rows. The left texts walk down it together, a row of the distance
 level at once. A node is left as soon as no text below it can be near enough, and texts that begin alike are compared with
 their common beginning once. So work grows with the nodes that stay within reach, not with the product of the sides.
 
+Before that, texts at distance 1 or less are joined by what is left of them without one code point. A left text whose k best
+are among those, or that nothing farther can be similar enough to, does not walk at all.
+
 The composite similarity is bounded by the sets of bigrams and tokens of two texts, so a pair that reaches the threshold has
 so many bigrams or tokens in common, or the one text holds the other. Such pairs share a member among the rarest few of both.
 """
@@ -29,6 +32,8 @@ RIGHT_PART, LEFT_PART = 2048, 8192
 GRAM_ROWS = 2000
 #: Cells of distance tables at once in a task.
 TABLE_CELLS = 1 << 21
+#: Code points of a left text up to which it is joined without one of them; longer ones walk.
+CLOSE_LENGTH = 256
 #: Pairs that a task holds before it keeps the k nearest of each text, and right texts of a beginning or end that give bounds.
 HELD_PAIRS, BOUNDING = 1 << 20, 8
 
@@ -171,11 +176,41 @@ def _bounded(left: DataFrame, right: DataFrame, threshold: float, k: int) -> Dat
     return left.join(bounds.filter("bound is not null"), "text", "left").withColumn("bound", F.coalesce("bound", F.lit(float(threshold))))
 
 
+def _shortened(low: Column) -> Column:
+    """Hashes of a text and of what is left of it without each of its code points. Texts at distance 1 or less share one; as a
+    hash stands for few texts that are one code point longer, however many texts there are, few others do."""
+    n = F.length(low)
+    without = F.transform(F.sequence(F.lit(1), F.greatest(n, F.lit(1))), lambda i: F.xxhash64(F.concat(F.substring(low, F.lit(1), i - 1), F.substring(low, i + 1, n))))
+    return F.array_distinct(F.concat(F.array(F.xxhash64(low)), without))
+
+
+def _close(left: DataFrame, right: DataFrame, threshold: float, k: int) -> DataFrame:
+    """text, other, similarity, rank: the k most similar right texts of those left texts of which all are at distance 1 or
+    less, for certain; a row of null other for those that have none at all. Other left texts have no row.
+
+    At a distance d of 2 or more the longer text has m + d code points at most, if the left one has m in lower case, as lower
+    case is never shorter than what it is made of. So 1 - 2 / (m + 2) bounds the similarity of all that is farther.
+    """
+    some = left.filter(F.col("m") <= CLOSE_LENGTH)
+    filed = right.filter(F.col("m") <= CLOSE_LENGTH + 1).select("other", F.col("low").alias("_low"), F.col("length").alias("_length"), F.explode(_shortened(F.col("low"))).alias("_key"))
+    met = some.select("text", "low", "length", F.explode(_shortened(F.col("low"))).alias("_key")).join(filed, "_key")
+    longest = F.greatest("length", "_length").cast("long")
+    d, size = F.levenshtein("low", "_low", 1).cast("long"), F.greatest(longest, F.lit(1))
+    met = met.select("text", "other", longest.alias("longest"), size.alias("size"), d.alias("d")).filter("d >= 0")
+    exact = F.expr("(2000000L * (longest - d) + size) div (2 * size)") / F.lit(1e6)  # to six digits, halves up
+    met = met.select("text", "other", F.when(F.col("longest") == 0, 1.0).otherwise(exact).alias("similarity")).filter(F.col("similarity") >= threshold).distinct()
+    best = met.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
+    best = materialize(best, "fuzzy-close")
+    kth = best.filter(F.col("rank") == k).select("text", F.col("similarity").alias("kth"))
+    settled = some.join(kth, "text", "left").filter(F.coalesce("kth", F.lit(float(threshold))) > 1 - 2 / (F.col("m") + 2) + 1e-6)
+    return settled.select("text").join(best, "text", "left").select("text", "other", "similarity", "rank")
+
+
 def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6, k: int = 5) -> DataFrame:
     """For each left text its k most similar right texts by Levenshtein similarity (case aside): text, other, similarity, rank.
 
-    Texts are taken once each, nulls left out; an empty side gives no rows, and empty texts are alike to each other. The
-    right texts, sorted by length and lower case, are a written table of runs; a left text meets the runs that have lengths
+    Texts are taken once each, nulls left out; an empty side gives no rows, and empty texts are alike to each other. Left texts
+    whose k best are at distance 1 or less are known by a join. For the others the right texts, sorted by length and lower case, are a written table of runs; a left text meets the runs that have lengths
     within its reach. How similar its k best are at least is known beforehand by texts that begin or end alike, so that only
     what is as near is walked. A run is RIGHT_PART long on average (of very many texts up to 32 times that), whatever the
     lengths or beginnings, and its left texts are dealt in parts (up to 8 times LEFT_PART), so no task grows with the data
@@ -183,7 +218,12 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6,
     """
     side = lambda df, c, name: df.select(F.col(c).alias(name)).filter(F.col(name).isNotNull()).distinct().withColumns({"low": F.lower(name), "length": F.length(name)}).withColumn("m", F.length("low"))
     a, b = materialize(side(left, "text", "text"), "fuzzy-left"), materialize(side(right, "text", "other"), "fuzzy-right")
+    close = materialize(_close(a, b, threshold, k), "fuzzy-settled")
+    found = close.filter("other is not null")
+    a = materialize(a.join(close.select("text"), "text", "left_anti"), "fuzzy-left")
     lefts, rights = a.count(), b.count()
+    if not lefts:
+        return found
     runs = -(-rights // max(RIGHT_PART, min(32 * RIGHT_PART, rights // 128)))
     deals = -(-lefts // max(LEFT_PART, min(8 * LEFT_PART, lefts // 16)))
     a = materialize(_bounded(a, b, threshold, k), "fuzzy-bounds")
@@ -197,7 +237,7 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6,
     parts = max(2 * runs * max(deals, 1), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))
     keys = ["run", "m", "deal"]
     near = asked.repartition(parts, *keys).groupBy(*keys).cogroup(told.repartition(parts, *keys).groupBy(*keys)).applyInPandas(lambda x, y: _pairs(threshold, k)(x, y), "text string, other string, similarity double")
-    return near.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k)
+    return found.union(near.withColumn("rank", F.row_number().over(Window.partitionBy("text").orderBy(F.desc("similarity"), "other"))).filter(F.col("rank") <= k))
 
 
 def _ranked_sets(texts: DataFrame, members: Column) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
+from ..session import materialize
 from . import graph as G
 from .fuzzy import fuzzy_candidates
 
@@ -73,7 +74,11 @@ def duplicate_links(resolved: DataFrame) -> DataFrame:
 
 
 def link_issues(notes: DataFrame, resolved: DataFrame, threshold: float = 0.6) -> DataFrame:
-    """Dangling, duplicate and hub issues in one frame: kind, severity, src_path, target, suggested, action, confidence."""
+    """Dangling, duplicate and hub issues in one frame: kind, severity, src_path, target, suggested, action, confidence.
+
+    The links are found once and written: all three kinds of issues read them, some twice.
+    """
+    resolved = materialize(resolved, "issue-links")
     titles = notes.select(F.col("title").alias("text")).union(notes.select("basename")).distinct()
     open_ = G.dangling(resolved)
     best = fuzzy_candidates(open_.select(F.col("target").alias("text")), titles, threshold, 1)

@@ -208,3 +208,29 @@ def test_bounds_are_reached_by_the_k_best(spark):
     kth = {a: s for a, _, s, n in nearest(left, right, 0.4, 2) if n == 2}
     got = {x.text: x.bound for x in fuzzy._bounded(side(left, "text"), side(right, "other"), 0.4, 2).collect()}
     assert all(b <= kth.get(a, 0.4) + 1e-6 for a, b in got.items()) and max(got.values()) > 0.4 and set(got) == set(left)
+
+
+def test_near_texts_are_joined_without_a_walk(spark, monkeypatch):
+    """Where the k best are at distance 1 the right texts are neither bounded nor walked."""
+    names = [f"{p}{i}" for i in range(300) for p in ("Doc ", "doc-")]
+    left, right = names[400:], names[:400]
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "text string")
+    monkeypatch.setattr(fuzzy, "_bounded", lambda *a: pytest.fail("walks"))
+    for k in (1, 2):
+        got = fuzzy.fuzzy_candidates(frame(left), frame(right), 0.6, k).collect()
+        assert {tuple(x) for x in got} == nearest(left, right, 0.6, k) and len(got) == k * len(left)
+    assert fuzzy.fuzzy_candidates(frame(["far from it"]), frame(right), 0.93, 1).collect() == []
+
+
+@pytest.mark.parametrize(("threshold", "k"), [(0.3, 1), (0.5, 2), (0.6, 1), (0.8, 3)])
+def test_near_and_far_texts_equal_all_pairs(spark, monkeypatch, threshold, k):
+    monkeypatch.setattr(fuzzy, "CLOSE_LENGTH", 5)
+    r = random.Random(k)
+    make = lambda n: ["".join(r.choice("aAbİ1") for _ in range(r.randint(0, 8))) for _ in range(n)]
+    left, right = make(70), make(120)
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "text string")
+    got = fuzzy.fuzzy_candidates(frame(left), frame(right), threshold, k).collect()
+    assert {tuple(x) for x in got} == nearest(left, right, threshold, k) and len(got) == len(set(got))
+    side = lambda xs, c: spark.createDataFrame([(x,) for x in set(xs)], f"{c} string").selectExpr(c, f"lower({c}) AS low", f"length({c}) AS length", f"length(lower({c})) AS m")
+    settled = {x.text for x in fuzzy._close(side(left, "text"), side(right, "other"), threshold, k).collect()}
+    assert 0 < len(settled) < len(set(left))  # both ways were taken

@@ -81,6 +81,16 @@ def test_health_and_repair(spark):
     assert fixed.repaired == "[[Beta]] [[Beta]] [[Beta]]" and fixed.applied == 1
 
 
+def test_link_issues_read_the_notes_once(spark, tmp_path):
+    """What the issues are made of is written, so that no text is searched for links again."""
+    at = f"{tmp_path}/notes"
+    notes(spark, ("Alpha", "[[Beta]] [[Beta]] [[Bet]]"), ("Beta", "")).write.parquet(at)
+    n = spark.read.parquet(at)
+    issues = H.link_issues(n, resolved(n))
+    assert not [f for f in issues.inputFiles() if at in f]
+    assert sorted((x.kind, x.src_path, x.target, x.suggested) for x in issues.filter("kind <> 'hub'").collect()) == [("dangling", "Alpha.md", "Bet", "Beta"), ("duplicate", "Alpha.md", "Beta", None)]
+
+
 def test_fuzzy_join_and_link_lines_take_every_candidate(spark, tmp_path):
     from quillmesh.plans import registry
 
