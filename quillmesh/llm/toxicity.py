@@ -21,7 +21,7 @@ from .labelled import held_out, prior_shift, training_rows
 WIDTH, STRIDE, HIDDEN, EMBEDDED = 32, 24, 8, 6
 WORD_BUCKETS, GRAM_BUCKETS = 1 << 18, 1 << 14
 MODULUS, REST, THRESHOLD = 4, 2, 0.3
-GATES, CHUNK = 3 * HIDDEN, 1024
+GATES, CHUNK, WORDS_AT_ONCE = 3 * HIDDEN, 1024, 1 << 16
 #: Pseudo-texts behind a word's odds; texts that must have it to have odds.
 SMOOTH, LEAST_TEXTS = 4.0, 3
 
@@ -40,25 +40,36 @@ class Inputs:
 
     def __call__(self, data: np.ndarray, offsets: np.ndarray):
         """at: word positions of each text; step: the distinct word of each position; bucket of each distinct word; ptr, grams: its trigrams."""
-        found = []
-        for lo, hi in blocks(offsets):  # the words' scratch arrays are several times a block's size
+        parts = []
+        for lo, hi in blocks(offsets):  # a block's arrays are several times its size: only its distinct words and their places are kept
             s, e, h, w = self.words(data[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
-            found.append((s + offsets[lo], e + offsets[lo], h, np.diff(w)))
-        starts, ends, h, counts = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 4
-        at = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
-        if not len(h):
+            own, first, back = np.unique(h, return_index=True, return_inverse=True)
+            parts.append((np.diff(w), own, s[first] + offsets[lo], (e - s)[first], back.astype(np.int32)))
+        counts, known, starts, sizes, places = zip(*parts, strict=True) if parts else ((np.zeros(0, np.int64),),) * 5
+        at = np.concatenate(([0], np.cumsum(np.concatenate(counts)))).astype(np.int64)
+        if not at[-1]:
             return at, np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(1, np.int64), np.zeros(0, np.int64)
-        _, first, step = np.unique(h, return_index=True, return_inverse=True)
-        s, n = starts[first], (ends - starts)[first]
+        h, first, back = np.unique(np.concatenate(known), return_index=True, return_inverse=True)
+        s, n = np.concatenate(starts)[first], np.concatenate(sizes)[first]
+        step, a, b = np.empty(at[-1], np.int32), 0, 0
+        for own, place in zip(known, places, strict=True):
+            step[a : a + len(place)] = back[b : b + len(own)][place]
+            a, b = a + len(place), b + len(own)
         ptr = np.concatenate(([0], np.cumsum(n)))
-        where = np.arange(ptr[-1]) - np.repeat(ptr[:-1] - s, n)
-        b = self.fold[data[where]]
+        grams = np.empty(ptr[-1], np.int32)
+        for a in range(0, len(n), WORDS_AT_ONCE):
+            own = ptr[a : a + WORDS_AT_ONCE + 1]
+            grams[own[0] : own[-1]] = self.trigrams(data, s[a : a + WORDS_AT_ONCE], own - own[0])
+        return at, step, (h >> U64(40)).astype(np.int64) % WORD_BUCKETS, ptr, grams
+
+    def trigrams(self, data: np.ndarray, starts: np.ndarray, ptr: np.ndarray) -> np.ndarray:
+        """Trigram buckets of the words that begin at `starts`; ptr: where each word's own begin."""
+        b = self.fold[data[np.arange(ptr[-1]) - np.repeat(ptr[:-1] - starts, np.diff(ptr))]]
         left = np.concatenate((b[:1], b[:-1]))
         left[ptr[:-1]] = 1
         right = np.concatenate((b[1:], b[:1]))
         right[ptr[1:] - 1] = 2
-        grams = (mix(left << U64(16) | b << U64(8) | right) >> U64(40)).astype(np.int64) % GRAM_BUCKETS
-        return at, step, (h[first] >> U64(40)).astype(np.int64) % WORD_BUCKETS, ptr, grams
+        return (mix(left << U64(16) | b << U64(8) | right) >> U64(40)).astype(np.int64) % GRAM_BUCKETS
 
 
 def windows(at: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -83,9 +94,12 @@ class GatedNetwork:
 
     def embedded(self, bucket: np.ndarray, ptr: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Each distinct word's input: its own embedding, and its trigrams' largest components."""
-        if not len(bucket):
-            return np.zeros((0, 2 * EMBEDDED), np.float32)
-        return np.concatenate((self.p["word"][bucket], np.maximum.reduceat(self.p["gram"][grams], ptr[:-1], axis=0)), axis=1)
+        out = np.empty((len(bucket), 2 * EMBEDDED), np.float32)
+        out[:, :EMBEDDED] = self.p["word"][bucket]
+        for a in range(0, len(bucket), WORDS_AT_ONCE):
+            own = ptr[a : a + WORDS_AT_ONCE + 1]
+            out[a : a + WORDS_AT_ONCE, EMBEDDED:] = np.maximum.reduceat(self.p["gram"][grams[own[0] : own[-1]]], own[:-1] - own[0], axis=0)
+        return out
 
     def projected(self, bucket: np.ndarray, ptr: np.ndarray, grams: np.ndarray) -> np.ndarray:
         """Both directions' gate inputs of each distinct word."""
@@ -195,6 +209,7 @@ class GatedNetwork:
         raw = [t.encode() for t in texts]
         offs = np.concatenate(([0], np.cumsum([len(t) for t in raw])))
         data, y = np.frombuffer(b"".join(raw), np.uint8), np.array(ys, np.float32)
+        del raw
         at, step, bucket, ptr, grams = Inputs()(data, offs)
         text, start, length = windows(at)
         r = np.random.default_rng(seed)
@@ -255,8 +270,6 @@ def laid_out(step: np.ndarray, start: np.ndarray, length: np.ndarray) -> tuple[n
 
 def telling(at, step, bucket, ptr, grams, y) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """How much presence in a text speaks for label 1, as smoothed log odds: of each distinct word (its own, or its best trigram's), of all word buckets, of all trigram buckets."""
-    row = np.repeat(np.arange(len(y)), np.diff(at))
-
     def odds(present, size):
         """Log odds of each key from (text, key) pairs, given a block of texts at a time to bound memory."""
         ones, both = np.zeros(size), np.zeros(size)
@@ -267,16 +280,20 @@ def telling(at, step, bucket, ptr, grams, y) -> tuple[np.ndarray, np.ndarray, np
         share = y.sum() / len(y)
         return (both >= LEAST_TEXTS) * (np.log((ones + SMOOTH * share) / (both - ones + SMOOTH * (1 - share))) - np.log(share / (1 - share)))
 
-    def grams_of_texts(texts: int = 100):
-        n = np.diff(ptr)
+    def words_of_texts(texts: int = 100):
         for a in range(0, len(y), texts):
-            lo, hi = at[a], at[min(a + texts, len(y))]
-            seen = np.unique(row[lo:hi] * len(bucket) + step[lo:hi])
+            ends = at[a : a + texts + 1]
+            yield np.repeat(np.arange(a, a + len(ends) - 1), np.diff(ends)), step[ends[0] : ends[-1]]
+
+    def grams_of_texts():
+        n = np.diff(ptr)
+        for rows, words in words_of_texts():
+            seen = np.unique(rows * len(bucket) + words)
             word = seen % len(bucket)
             own = np.concatenate(([0], np.cumsum(n[word])))
             yield np.repeat(seen // len(bucket), n[word]), grams[np.arange(own[-1]) - np.repeat(own[:-1] - ptr[word], n[word])]
 
-    by_word = odds([(row, bucket[step])], WORD_BUCKETS)
+    by_word = odds(((rows, bucket[words]) for rows, words in words_of_texts()), WORD_BUCKETS)
     by_gram = odds(grams_of_texts(), GRAM_BUCKETS)
     return np.maximum(by_word[bucket], np.maximum.reduceat(by_gram[grams], ptr[:-1])), by_word, by_gram
 

@@ -439,6 +439,33 @@ def test_factorisation_identity():
     assert abs(z[0] - want) < 1e-4
 
 
+def test_toxicity_features_hold_words_not_scratch():
+    """Peak memory over many blocks of texts grows by little more than their words' places, and each text's features are those it has alone."""
+    import tracemalloc
+
+    from quillmesh.llm import toxicity
+
+    r = np.random.default_rng(4)
+    vocab = np.array([f"w{k}" for k in range(60_000)])
+    texts = [" ".join(vocab[r.integers(0, len(vocab), 10_000)]).encode() for _ in range(200)]
+
+    def peak(raw):
+        data, offs = np.frombuffer(b"".join(raw), np.uint8), np.concatenate(([0], np.cumsum([len(t) for t in raw])))
+        tracemalloc.start()
+        got = toxicity.Inputs()(data, offs)
+        most = tracemalloc.get_traced_memory()[1]
+        tracemalloc.stop()
+        return most, got
+
+    (few, _), (many, (at, step, bucket, ptr, grams)) = peak(texts[:50]), peak(texts)
+    assert many - few < 6 * sum(map(len, texts[50:]))  # 13 times, where all blocks' arrays are held together
+    for k in (0, 77, 199):
+        _, (_, s, b, p, g) = peak(texts[k : k + 1])
+        mine = step[at[k] : at[k + 1]]
+        assert (bucket[mine] == b[s]).all()
+        assert all((grams[ptr[x] : ptr[x + 1]] == g[p[y] : p[y + 1]]).all() for x, y in zip(mine[:300], s[:300], strict=True))
+
+
 def test_pipeline_stages(spark):
     import corpus_pipeline
 
