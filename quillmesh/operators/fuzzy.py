@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ..functions import similarity as S
 from ..functions import text as T
-from ..session import materialize
+from ..session import materialize, no_broadcasts
 
 #: Right texts in a run and left texts that meet it in one task.
 RIGHT_PART, LEFT_PART = 2048, 8192
@@ -214,24 +214,26 @@ def fuzzy_candidates(left: DataFrame, right: DataFrame, threshold: float = 0.6,
     within its reach. How similar its k best are at least is known beforehand by texts that begin or end alike, so that only
     what is as near is walked. A run is RIGHT_PART long on average (of very many texts up to 32 times that), whatever the
     lengths or beginnings, and its left texts are dealt in parts (up to 8 times LEFT_PART), so no task grows with the data
-    beyond that. Each task holds bounded pairs and hands on k rows a text.
+    beyond that. Each task holds bounded pairs and hands on k rows a text. Only the runs' lengths are broadcast: texts by their
+    keys or ends are many times the files that Spark would judge them by.
     """
-    side = lambda df, c, name: df.select(F.col(c).alias(name)).filter(F.col(name).isNotNull()).distinct().withColumns({"low": F.lower(name), "length": F.length(name)}).withColumn("m", F.length("low"))
-    a, b = materialize(side(left, "text", "text"), "fuzzy-left"), materialize(side(right, "text", "other"), "fuzzy-right")
-    close = materialize(_close(a, b, threshold, k), "fuzzy-settled")
-    found = close.filter("other is not null")
-    a = materialize(a.join(close.select("text"), "text", "left_anti"), "fuzzy-left")
-    lefts, rights = a.count(), b.count()
-    if not lefts:
-        return found
-    runs = -(-rights // max(RIGHT_PART, min(32 * RIGHT_PART, rights // 128)))
-    deals = -(-lefts // max(LEFT_PART, min(8 * LEFT_PART, lefts // 16)))
-    a = materialize(_bounded(a, b, threshold, k), "fuzzy-bounds")
-    b = materialize(b.repartitionByRange(max(runs, 1), "m", "low", "other").withColumn("run", F.spark_partition_id()), "fuzzy-runs")
+    with no_broadcasts(left.sparkSession):
+        side = lambda df, c, name: df.select(F.col(c).alias(name)).filter(F.col(name).isNotNull()).distinct().withColumns({"low": F.lower(name), "length": F.length(name)}).withColumn("m", F.length("low"))
+        a, b = materialize(side(left, "text", "text"), "fuzzy-left"), materialize(side(right, "text", "other"), "fuzzy-right")
+        close = materialize(_close(a, b, threshold, k), "fuzzy-settled")
+        found = close.filter("other is not null")
+        a = materialize(a.join(close.select("text"), "text", "left_anti"), "fuzzy-left")
+        lefts, rights = a.count(), b.count()
+        if not lefts:
+            return found
+        runs = -(-rights // max(RIGHT_PART, min(32 * RIGHT_PART, rights // 128)))
+        deals = -(-lefts // max(LEFT_PART, min(8 * LEFT_PART, lefts // 16)))
+        a = materialize(_bounded(a, b, threshold, k), "fuzzy-bounds")
+        b = materialize(b.repartitionByRange(max(runs, 1), "m", "low", "other").withColumn("run", F.spark_partition_id()), "fuzzy-runs")
     a = a.withColumn("deal", F.pmod(F.xxhash64("text"), F.lit(max(deals, 1))).cast("int")).withColumnRenamed("m", "l")
     least = F.greatest(F.col("bound") - 1e-6, F.lit(threshold))
     low, high = F.ceil(F.col("l") * least - 1e-9).cast("int"), F.floor(F.col("l") / least + 1e-9).cast("int")
-    asked = a.select("text", "low", "length", "bound", "deal", F.explode(F.sequence(low, high)).alias("m")).join(b.select("run", "m").distinct(), "m")
+    asked = a.select("text", "low", "length", "bound", "deal", F.explode(F.sequence(low, high)).alias("m")).join(F.broadcast(b.select("run", "m").distinct()), "m")
     told = b.select(*[F.col(c).alias(c) for c in b.columns], F.explode(F.sequence(F.lit(0), F.lit(max(deals, 1) - 1))).alias("deal"))
     # Few bytes but much work a row: a stated number of partitions is not merged into fewer.
     parts = max(2 * runs * max(deals, 1), int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")))

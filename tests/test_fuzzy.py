@@ -234,3 +234,18 @@ def test_near_and_far_texts_equal_all_pairs(spark, monkeypatch, threshold, k):
     side = lambda xs, c: spark.createDataFrame([(x,) for x in set(xs)], f"{c} string").selectExpr(c, f"lower({c}) AS low", f"length({c}) AS length", f"length(lower({c})) AS m")
     settled = {x.text for x in fuzzy._close(side(left, "text"), side(right, "other"), threshold, k).collect()}
     assert 0 < len(settled) < len(set(left))  # both ways were taken
+
+
+def test_no_texts_are_broadcast(spark, monkeypatch):
+    """Small written tables whose exploded rows are many: no join but that of the runs' lengths is broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    was, plans, write = spark.conf.get(name), [], fuzzy.materialize
+    monkeypatch.setattr(fuzzy, "materialize", lambda df, *a: plans.append(df._jdf.queryExecution().sparkPlan().toString()) or write(df, *a))
+    frame = lambda xs: spark.createDataFrame([(x,) for x in xs], "text string")
+    left, right = [f"supplier {i:03d}" for i in range(30)], [f"customer {i:03d}" for i in range(80)]
+    got = fuzzy.fuzzy_candidates(frame(left), frame(right), 0.5, 3)
+    assert len(plans) > 4 and not [p for p in plans if "Broadcast" in p]
+    last = got._jdf.queryExecution().sparkPlan().toString()
+    assert last.count("BroadcastHashJoin") == 1 and "Join" not in last.replace("BroadcastHashJoin", "")
+    assert {tuple(x) for x in got.collect()} == nearest(left, right, 0.5, 3)
+    assert spark.conf.get(name) == was
