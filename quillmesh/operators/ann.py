@@ -10,6 +10,7 @@ Lists may be of any size: a list's members are dealt in parts, and each part mee
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
@@ -23,6 +24,8 @@ from ..session import bound_batches, materialize
 SAMPLE, PART_ROWS, QUERY_ROWS = 20_000, 20_000, 5_000
 #: Members and queries that meet in a task of the exact way.
 EXACT_ROWS, EXACT_QUERIES = 40_000, 40_000
+#: More than scores of unit vectors in single precision are off, and scores rounded to six digits.
+ROUGH = 1e-4
 INDEX = "id long, list int, deal int, code binary, vector binary"
 
 
@@ -129,45 +132,106 @@ def _dealt(queries: DataFrame) -> DataFrame:
     return queries.repartition(_partitions(queries), "query_id")
 
 
-def _exact(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int) -> DataFrame:
-    """query_id, id, similarity: each query's k best of every part of the index, by scores of every member."""
-    from .retrieve import CELLS, _Best
-
-    width = quantizer.centres.shape[1]
+def _units(vectors: DataFrame, name: str, width: int | None) -> DataFrame:
+    """(name, unit): vectors (name, vector) as bytes of unit length."""
 
-    def ask(batches):
+    def run(batches):
         for b in batches:
-            if len(b) and width:
-                m = unit(b["vector"])
-                if m.shape[1] != width:
-                    raise ValueError(f"vectors differ in size: {m.shape[1]} and {width}")
-                yield pd.DataFrame({"query_id": b["query_id"], "asked": [v.tobytes() for v in m]})
+            if len(b) and width != 0:  # of nothing learned, so nothing is in the index
+                sizes = sorted({len(v) for v in b["vector"]} | ({width} if width else set()))
+                if len(sizes) > 1:
+                    raise ValueError(f"vectors differ in size: {' and '.join(map(str, sizes))}")
+                yield pd.DataFrame({name: b[name], "unit": [v.tobytes() for v in unit(b["vector"])]})
+
+    bound_batches(vectors.sparkSession)
+    return vectors.mapInPandas(run, f"{name} long, unit binary")
+
+
+def _rows(units: pd.Series) -> np.ndarray:
+    if len(sizes := {len(v) for v in units}) > 1:
+        raise ValueError(f"vectors differ in size: {' and '.join(str(n // 8) for n in sorted(sizes))}")
+    return np.frombuffer(b"".join(units), np.float64).reshape(len(units), -1)
+
+
+def _near(asked: np.ndarray, names: np.ndarray, members: np.ndarray, ids: np.ndarray, k: int, least: float) -> Iterator[pd.DataFrame]:
+    """Each query's k best members of at least `least`. Scores of single precision, which are off by less than ROUGH, tell which pairs are scored."""
+    from .retrieve import CELLS, _Best
+
+    if asked.shape[1] != members.shape[1]:
+        raise ValueError(f"vectors differ in size: {asked.shape[1]} and {members.shape[1]}")
+    rough = members.astype(np.float32)
+    for a in range(0, len(names), 1024):
+        own = asked[a : a + 1024]
+        best, some, single = _Best(len(own), k), max(1, CELLS // len(own)), own.astype(np.float32)
+        for start in range(0, len(ids), some):
+            guess = single @ rough[start : start + some].T
+            if least <= 0:
+                np.maximum(guess, 0, out=guess)
+            bar = (np.maximum(best.floor, least) - ROUGH).astype(np.float32)
+            q, r = np.divmod(np.flatnonzero(guess >= bar[:, None]), guess.shape[1])
+            r += start
+            score = np.empty(len(q))
+            for x in range(0, len(q), 1 << 16):  # their vectors, a bounded number at once
+                y = slice(x, x + (1 << 16))
+                score[y] = np.einsum("ij,ij->i", own[q[y]], members[r[y]])
+            score = np.round(np.maximum(score, 0), 6)
+            kept = (score >= best.floor[q]) & (score >= least)
+            best.held.append((q[kept], ids[r[kept]], score[kept]))
+            best.size += int(kept.sum())
+            if not start or best.size > 4 * k * len(own) + 100_000:
+                best.cut()
+        q, name, score = best.cut()
+        yield pd.DataFrame({"query_id": names[a + q], "id": name, "similarity": score})
+
+
+def _met(members: DataFrame, asked: DataFrame, k: int, least: float) -> DataFrame:
+    """query_id, id, similarity: the k best of at least `least` that each part of the members (id, unit) has for each query (query_id, unit)."""
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        found = []
-        members, ids = np.frombuffer(b"".join(right["vector"]), np.float64).reshape(len(right), -1), right["id"].to_numpy(np.int64)
-        asked, names = np.frombuffer(b"".join(left["asked"]), np.float64).reshape(len(left), -1), left["query_id"].to_numpy(np.int64)
-        for a in range(0, len(names) if len(ids) else 0, 1024):
-            own = asked[a : a + 1024]
-            best, some = _Best(len(own), k), CELLS // len(own)
-            for start in range(0, len(ids), some):
-                best.add(np.round(np.maximum(own @ members[start : start + some].T, 0), 6), ids[start : start + some])
-            q, name, score = best.cut()
-            found.append(pd.DataFrame({"query_id": names[a + q], "id": name, "similarity": score}))
+        found = [*_near(_rows(left["unit"]), left["query_id"].to_numpy(np.int64), _rows(right["unit"]), right["id"].to_numpy(np.int64), k, least)] if len(left) and len(right) else []
         return pd.concat(found) if found else pd.DataFrame({"query_id": [], "id": [], "similarity": []}).astype({"query_id": int, "id": int})
 
-    asked = materialize(queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and vector is not null"), "asked")
-    index = materialize(index.select("id", "vector"), "members")  # both are counted first
-    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((index, EXACT_ROWS), (asked, EXACT_QUERIES)))
-    stated = max(parts * blocks, _partitions(index))
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((members, EXACT_ROWS), (asked, EXACT_QUERIES)))
+    while parts * blocks < _partitions(members):  # few, but much work each
+        parts, blocks = (parts + 1, blocks) if parts <= blocks else (parts, blocks + 1)
     place = lambda c, n: F.pmod(F.xxhash64(c), F.lit(n)).cast("int")
     every_of = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = _dealt(asked).mapInPandas(ask, "query_id long, asked binary").withColumn("block", place("query_id", blocks)).withColumn("part", every_of(parts))
-    right = index.withColumn("part", place("id", parts)).withColumn("block", every_of(blocks))
-    keys = ["block", "part"]
+    left = asked.withColumn("block", place("query_id", blocks)).withColumn("part", every_of(parts))
+    right = members.withColumn("part", place("id", parts)).withColumn("block", every_of(blocks))
+    keys, stated = ["block", "part"], 2 * parts * blocks
     return left.repartition(stated, *keys).groupBy(*keys).cogroup(right.repartition(stated, *keys).groupBy(*keys)).applyInPandas(meet, "query_id long, id long, similarity double")
 
 
+def _asked(queries: DataFrame, width: int | None) -> DataFrame:
+    some = queries.select(F.col("query_id").cast("long").alias("query_id"), "vector").filter("query_id is not null and vector is not null")
+    return materialize(_units(_dealt(some), "query_id", width), "asked")
+
+
+def exact(vectors: DataFrame, queries: DataFrame, k: int, least: float = 0.0) -> DataFrame:
+    """query_id, id, similarity, rank: the k rows of vectors (id, vector) of highest cosine (at least 0, to six digits; ties by
+    smaller id) for each query (query_id, vector), of those whose cosine is `least` or more. Every row counts; no index is made.
+
+    Equal vectors meet a query once, under the least of their ids: only the k least ids of a vector can be among its k best. An
+    id of several vectors, which counts by its nearest one, stands for itself.
+    """
+    rows = vectors.select(F.col("id").cast("long").alias("id"), "vector").filter("id is not null and vector is not null").distinct()
+    rows = rows.withColumn("own", F.when(F.count("*").over(Window.partitionBy("id")) > 1, F.col("id")))
+    same = Window.partitionBy("vector", "own").orderBy("id")
+    rows = rows.withColumns({"n": F.row_number().over(same), "head": F.first("id").over(same)}).filter(F.col("n") <= k)
+    rows = materialize(rows, "members")
+    heads = materialize(_units(rows.filter("n = 1").select("id", "vector"), "id", None), "heads")
+    w = Window.partitionBy("query_id").orderBy(F.desc("similarity"), "id")
+    first = _met(heads, _asked(queries, None), k, least).withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+    found = first.select("query_id", F.col("id").alias("head"), "similarity").join(rows.select("head", "id").distinct(), "head")
+    return found.select("query_id", "id", "similarity").withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= k)
+
+
+def _exact(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int) -> DataFrame:
+    """query_id, id, similarity: each query's k best of every part of the index, by scores of every member."""
+    members = materialize(index.select("id", F.col("vector").alias("unit")), "members")  # they are counted first
+    return _met(members, _asked(queries, quantizer.centres.shape[1]), k, 0.0)
+
+
 def search(index: DataFrame, quantizer: Quantizer, queries: DataFrame, k: int, *, probes: int | None = None, rerank: int = 200) -> DataFrame:
     """query_id, id, similarity, rank: the k members of highest cosine (at least 0, to six digits; ties by smaller id) of those
     that each query's `probes` nearest lists hold and whose estimate is among the `rerank` best of their part.

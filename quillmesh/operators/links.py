@@ -120,14 +120,16 @@ def semantic_targets(anchors: DataFrame, notes: DataFrame, index: DataFrame, qua
     nearest chunks by meaning whose cosine reaches the threshold, with their best chunk's.
 
     index and quantizer are an approximate vector index (see ann) of chunks (id, path); texts are embedded by the same
-    embedder as the chunks. probes: lists asked; None is the exact way. For match_targets.
+    embedder as the chunks. probes: lists asked; None is the exact way, for which index may also be the chunks' vectors (id,
+    vector) and quantizer None. For match_targets.
     """
-    from .ann import search
+    from .ann import exact, search
     from .index import embed
 
     keys = anchors.select(F.lower(F.trim("text")).alias("key")).filter("key is not null").distinct().withColumn("query_id", F.xxhash64("key"))
     asked = embed(keys, "key", embedder).select("query_id", F.col("embedding").alias("vector"))
-    hits = search(index, quantizer, asked, 2 * k, probes=probes).filter(F.col("similarity") >= threshold)
+    hits = exact(index, asked, 2 * k, threshold) if quantizer is None else search(index, quantizer, asked, 2 * k, probes=probes)
+    hits = hits.filter(F.col("similarity") >= threshold)
     best = hits.join(chunks.select("id", "path"), "id").groupBy("query_id", "path").agg(F.max("similarity").alias("base"))
     return best.join(keys, "query_id").join(notes.select("path", "title"), "path").select("key", "path", "title", "base")
 

@@ -4,14 +4,13 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import ann
 from ..operators import graph as G
 from ..operators import health as H
 from ..operators import imports as I
 from ..operators import links as L
 from ..operators.index import embed
 from ..operators.titles import title_counts
-from ..session import table
+from ..session import materialize, table
 from .common import GRAPH_SQL, norm_sql, notes, resolved, tidy
 
 QUERIES, SQL = {}, {}
@@ -261,10 +260,8 @@ def semantic_link_targets(spark, sf):
     n = worded(spark, sf)
     chunks = n.select(F.xxhash64("path").alias("id"), "path", "title")
     vectors = embed(chunks, "title").select("id", F.col("embedding").alias("vector"))
-    quantizer = ann.train(vectors)
-    index = ann.build(vectors, quantizer)
-    anchors = L.extract_anchors(n).filter("kind = 'proper_noun'")
-    near = L.semantic_targets(anchors, n, index, quantizer, chunks)
+    anchors = materialize(L.extract_anchors(n).filter("kind = 'proper_noun'"), "anchors")  # asked for several times
+    near = L.semantic_targets(anchors, n, vectors, None, chunks)
     return L.match_targets(anchors, n.withColumn("aliases", F.array().cast("array<string>")), semantic=near).select("src_path", "text", "start", "path", "score", "match", "rank")
 
 

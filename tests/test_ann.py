@@ -133,3 +133,29 @@ def test_the_exact_way_does_not_repeat_queries_by_list(spark, monkeypatch):
     ids = np.array([i for i, _ in rows])
     want = {(int(q), int(ids[j]), n) for a, q in enumerate(ids) for n, j in enumerate(np.lexsort((ids, -score[a]))[:4], 1)}
     assert {(x.query_id, x.id, x["rank"]) for x in found.collect()} == want
+
+
+def test_equal_vectors_meet_a_query_once(spark, monkeypatch):
+    """Against loops: rows of equal vectors, repeated rows, an id of two vectors, a bound below which nothing counts."""
+    r = np.random.default_rng(9)
+    some = [r.normal(size=5).tolist() for _ in range(12)]
+    rows = [(int(i), some[int(i) % 12 if i < 100 else 3]) for i in r.permutation(140)] + [(7, some[3]), (7, some[7]), (5, some[0]), (900, [0.0] * 5), (901, None), (None, some[0])]
+    vectors = spark.createDataFrame(rows, "id long, vector array<double>")
+    queries = spark.createDataFrame([(i, r.normal(size=5).tolist()) for i in range(30)] + [(50, [0.0] * 5), (51, None)], "query_id long, vector array<double>")
+    met, formed = ann._met, []
+    monkeypatch.setattr(ann, "_met", lambda members, *a: formed.append(members.count()) or met(members, *a))
+    monkeypatch.setattr(ann, "EXACT_ROWS", 7)
+    for k, least in ((1, 0.0), (4, 0.0), (25, 0.0), (4, 0.5)):
+        want = {}
+        for q, v in queries.filter("vector is not null").collect():
+            best = {}
+            for i, w in rows:
+                if i is not None and w is not None:
+                    best[i] = max(best.get(i, 0), round(max(float(ann.unit([w])[0] @ ann.unit([v])[0]), 0), 6))
+            hits = [(i, s) for i, s in sorted(best.items(), key=lambda x: (-x[1], x[0])) if s >= least][:k]
+            want |= {q: hits} if hits else {}
+        assert held(ann.exact(vectors, queries, k, least)) == want
+    assert formed == [12 + 1 + 2 + 2] * 4  # the vectors, the one of zeros, and both of two ids that have two
+    with pytest.raises(Exception, match="vectors differ in size"):
+        ann.exact(spark.createDataFrame([(1, [1.0]), (2, [1.0, 2.0])], "id long, vector array<double>"), queries, 3).collect()
+    assert ann.exact(vectors.limit(0), queries, 3).count() == 0 and ann.exact(vectors, queries.limit(0), 3).count() == 0
